@@ -12,6 +12,13 @@ they are computed the way ``zipWithIndex`` works:
    from a per-partition count table that has one row per partition and is
    therefore safe to broadcast.
 
+Range bounds come from sampling, and the rows of a shuffle partition arrive in
+no fixed order, so two evaluations of the same range shuffle may draw
+different bounds.  The range-partitioned frame is therefore checkpointed
+(reliable storage under ``spark.checkpoint.dir``) and both the local ranks and
+the per-partition counts read that single materialized copy; the checkpoint
+also cuts the lineage, so a lost executor does not replay the upstream plan.
+
 Per-group top-k uses ``row_number() <= k``; Spark inserts a partial
 ``WindowGroupLimit`` below the shuffle, so each map task ships at most k rows
 per group and a hot group never reaches one task whole.
@@ -27,6 +34,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shiftwise.session import checkpoint_dir
+
 _PID = "_sw_pid"
 _LOCAL = "_sw_local"
 
@@ -116,9 +125,11 @@ def global_rank(df: DataFrame, order: Sequence, method: str = "rank", out: str =
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_exprs = [_sort_col(c) for c in order]
     keys = _key_names(df, order)
+    checkpoint_dir(spark)
     part = (df.repartitionByRange(n, *sort_exprs)
               .sortWithinPartitions(*sort_exprs)
-              .withColumn(_PID, F.spark_partition_id()))
+              .withColumn(_PID, F.spark_partition_id())
+              .checkpoint(eager=True))
     out_fields = part.schema.fields + [T.StructField(_LOCAL, T.LongType(), False)]
     schema = T.StructType(out_fields)
     local = part.mapInPandas(_local_ranker(keys, method, [f.name for f in out_fields]), schema)
@@ -147,17 +158,12 @@ def assign_keys(df: DataFrame, order: Sequence, key_col: str, start_after: Colum
 def next_key(existing: DataFrame, pk: str, base: int = 0) -> DataFrame:
     """One-row frame with ``COALESCE(MAX(pk), base)`` as ``next_base``.
 
-    Use as ``assign_keys(..., start_after=F.col('next_base'))`` after a
-    broadcast cross of this single row (one row: size bound is 1).
+    Use as ``assign_keys(..., start_after=next_key(df, pk).scalar())``: a
+    scalar subquery, evaluated once.
     """
     return existing.agg(F.coalesce(F.max(pk).cast("long"), F.lit(base).cast("long")).alias("next_base"))
 
 
-def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row (broadcast of 1 row)."""
-    return df.join(F.broadcast(one_row), how="left_outer", on=F.lit(True))
-
-
 def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence, k: int,
                     rank_col: str | None = None) -> DataFrame:
     """First ``k`` rows per group in ``order`` (ties broken by the order itself).

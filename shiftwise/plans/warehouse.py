@@ -1,3 +1,233 @@
-"""Driver queries: warehouse."""
+"""Driver queries for warehouse maintenance (section 2.7): SCD2, upserts, audit log."""
 
-from shiftwise.plans.registry import query  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shiftwise.operators import warehouse as wh
+from shiftwise.operators.windows import assign_keys
+from shiftwise.plans.common import c, money, ts_text
+from shiftwise.plans.registry import query
+from shiftwise.sources.tables import Tables
+
+SCD_ATTRS = ["c_name", "c_nationkey", "c_mktsegment"]
+
+
+@query("scd2_apply", """
+WITH hist AS (
+  SELECT c_custkey + 1 AS history_id, c_custkey, c_name, c_nationkey, c_mktsegment,
+         TIMESTAMP '1995-01-01 00:00:00' AS start_ts, CAST(NULL AS TIMESTAMP) AS end_ts, 'Y' AS is_active
+  FROM customer WHERE c_nationkey <> 0),
+snap AS (
+  SELECT c_custkey, c_name, c_nationkey,
+         CASE WHEN c_acctbal < 0 THEN 'DEBTOR' ELSE c_mktsegment END AS c_mktsegment
+  FROM customer),
+cmp AS (
+  SELECT s.*, CASE WHEN h.history_id IS NULL THEN 'new'
+                   WHEN s.c_name IS DISTINCT FROM h.c_name OR s.c_nationkey IS DISTINCT FROM h.c_nationkey
+                        OR s.c_mktsegment IS DISTINCT FROM h.c_mktsegment THEN 'changed'
+                   ELSE 'same' END AS status
+  FROM snap s LEFT JOIN (SELECT * FROM hist WHERE is_active = 'Y') h ON s.c_custkey = h.c_custkey),
+res AS (
+  SELECT h.history_id, h.c_custkey, h.c_name, h.c_nationkey, h.c_mktsegment, h.start_ts,
+         CASE WHEN x.c_custkey IS NOT NULL AND h.is_active = 'Y' THEN TIMESTAMP '1996-01-01 00:00:00'
+              ELSE h.end_ts END AS end_ts,
+         CASE WHEN x.c_custkey IS NOT NULL AND h.is_active = 'Y' THEN 'N' ELSE h.is_active END AS is_active
+  FROM hist h LEFT JOIN (SELECT c_custkey FROM cmp WHERE status = 'changed') x ON h.c_custkey = x.c_custkey
+  UNION ALL
+  SELECT (SELECT COALESCE(MAX(history_id), 0) FROM hist) + ROW_NUMBER() OVER (ORDER BY c_custkey),
+         c_custkey, c_name, c_nationkey, c_mktsegment, TIMESTAMP '1996-01-01 00:00:00', CAST(NULL AS TIMESTAMP), 'Y'
+  FROM cmp WHERE status IN ('new', 'changed'))
+SELECT CAST(history_id AS BIGINT) AS history_id, c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey,
+       c_mktsegment, strftime(start_ts, '%Y-%m-%d %H:%M:%S') AS start_ts,
+       strftime(end_ts, '%Y-%m-%d %H:%M:%S') AS end_ts, is_active
+FROM res
+""")
+def scd2_apply_q(spark, sf):
+    t = Tables(spark, sf)
+    cust = t.customer
+    history = cust.where(c("c_nationkey") != 0).select(
+        (c("c_custkey") + 1).alias("history_id"), "c_custkey", *SCD_ATTRS,
+        F.lit("1995-01-01 00:00:00").cast("timestamp_ntz").alias("start_ts"),
+        F.lit(None).cast("timestamp_ntz").alias("end_ts"), F.lit("Y").alias("is_active"))
+    snapshot = cust.select("c_custkey", "c_name", "c_nationkey",
+                           F.when(c("c_acctbal") < 0, "DEBTOR").otherwise(c("c_mktsegment")).alias("c_mktsegment"))
+    res = wh.scd2_apply(history, snapshot, ["c_custkey"], SCD_ATTRS, "1996-01-01 00:00:00")
+    return res.select(c("history_id").cast("long").alias("history_id"), "c_custkey", "c_name",
+                      c("c_nationkey").cast("long").alias("c_nationkey"), "c_mktsegment",
+                      ts_text("start_ts").alias("start_ts"), ts_text("end_ts").alias("end_ts"), "is_active")
+
+
+@query("upsert", """
+SELECT c_custkey, c_name, c_acctbal FROM customer
+WHERE c_mktsegment <> 'BUILDING'
+  AND c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))
+UNION ALL
+SELECT c_custkey, c_name, c_acctbal + 100 FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')
+""")
+def upsert_q(spark, sf):
+    cust = Tables(spark, sf).customer
+    current = cust.where(c("c_mktsegment") != "BUILDING").select("c_custkey", "c_name", "c_acctbal")
+    incoming = (cust.where(c("c_mktsegment").isin("BUILDING", "MACHINERY"))
+                .select("c_custkey", "c_name", (c("c_acctbal") + 100).alias("c_acctbal")))
+    return wh.upsert(current, incoming, ["c_custkey"])
+
+
+@query("partial_update", """
+SELECT s.s_suppkey, COALESCE(p.s_name, s.s_name) AS s_name,
+       CAST(COALESCE(p.s_nationkey, s.s_nationkey) AS BIGINT) AS s_nationkey,
+       COALESCE(p.s_acctbal, s.s_acctbal) AS s_acctbal
+FROM supplier s
+LEFT JOIN (SELECT s_suppkey, CAST(NULL AS VARCHAR) AS s_name, 0 AS s_nationkey, CAST(0.0 AS DOUBLE) AS s_acctbal
+           FROM supplier WHERE s_acctbal < 0) p ON s.s_suppkey = p.s_suppkey
+""")
+def partial_update_q(spark, sf):
+    sup = Tables(spark, sf).supplier.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    patch = sup.where(c("s_acctbal") < 0).select(
+        "s_suppkey", F.lit(None).cast("string").alias("s_name"), F.lit(0).alias("s_nationkey"),
+        F.lit(0.0).alias("s_acctbal"))
+    res = wh.partial_update(sup, patch, ["s_suppkey"])
+    return res.withColumn("s_nationkey", c("s_nationkey").cast("long"))
+
+
+def _tags(labels, with_quality=True):
+    tags = F.array(F.lit("labelled"), F.when(c("quality") == 1, F.lit("quality")),
+                   F.when(c("toxic") == 1, F.lit("toxic")))
+    return labels.select("doc_id", F.explode(F.filter(tags, lambda x: x.isNotNull())).alias("tag"))
+
+
+@query("replace_set", """
+WITH cur AS (
+  SELECT doc_id, 'labelled' AS tag FROM labels
+  UNION ALL SELECT doc_id, 'quality' FROM labels WHERE quality = 1
+  UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1),
+inc AS (
+  SELECT doc_id, 'reviewed' AS tag FROM labels WHERE toxic = 1
+  UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1
+  UNION ALL SELECT doc_id, 'reviewed' FROM labels WHERE toxic = 1)
+SELECT doc_id, tag FROM cur WHERE doc_id NOT IN (SELECT doc_id FROM inc)
+UNION ALL
+SELECT DISTINCT doc_id, tag FROM inc
+""")
+def replace_set_q(spark, sf):
+    labels = Tables(spark, sf).labels
+    current = _tags(labels)
+    toxic = labels.where(c("toxic") == 1)
+    incoming = toxic.select("doc_id", F.explode(F.array(F.lit("reviewed"), F.lit("toxic"), F.lit("reviewed")))
+                            .alias("tag"))
+    return wh.replace_set(current, incoming, ["doc_id"])
+
+
+@query("insert_unique", """
+WITH inc AS (
+  SELECT c_custkey, lower(c_mktsegment) || CAST(c_nationkey AS VARCHAR) AS username,
+         'supplier#' || lpad(CAST(c_custkey % 150 AS VARCHAR), 9, '0') || '@corp.test' AS email
+  FROM customer),
+cur AS (SELECT 'u' || CAST(s_nationkey AS VARCHAR) AS username, lower(s_name) || '@corp.test' AS email FROM supplier),
+f AS (SELECT *, MIN(c_custkey) OVER (PARTITION BY username) AS fu,
+                MIN(c_custkey) OVER (PARTITION BY email) AS fe FROM inc),
+g AS (SELECT *, (username IN (SELECT username FROM cur) OR c_custkey <> fu) AS bad_u,
+                (email IN (SELECT email FROM cur) OR c_custkey <> fe) AS bad_e FROM f)
+SELECT c_custkey, username, email,
+       CASE WHEN bad_u OR bad_e THEN 'rejected' ELSE 'accepted' END AS status,
+       CASE WHEN bad_u THEN 'username taken' WHEN bad_e THEN 'email taken' END AS reason
+FROM g
+""")
+def insert_unique_q(spark, sf):
+    t = Tables(spark, sf)
+    incoming = t.customer.select(
+        "c_custkey",
+        F.concat(F.lower("c_mktsegment"), c("c_nationkey").cast("string")).alias("username"),
+        F.concat(F.lit("supplier#"), F.lpad((c("c_custkey") % 150).cast("string"), 9, "0"),
+                 F.lit("@corp.test")).alias("email"))
+    current = t.supplier.select(F.concat(F.lit("u"), c("s_nationkey").cast("string")).alias("username"),
+                                F.concat(F.lower("s_name"), F.lit("@corp.test")).alias("email"))
+    return wh.insert_unique(current, incoming, ["username", "email"], ["c_custkey"])
+
+
+@query("delete_by_key", """
+SELECT o_orderkey, o_custkey, o_orderstatus FROM orders
+WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders
+                         WHERE o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1996-01-01')
+""")
+def delete_by_key_q(spark, sf):
+    orders = Tables(spark, sf).orders
+    keys = orders.where((c("o_orderstatus") == "F") &
+                        (c("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))).select("o_orderkey")
+    return wh.delete_by_key(orders.select("o_orderkey", "o_custkey", "o_orderstatus"), keys, ["o_orderkey"])
+
+
+@query("ensure_rows", """
+WITH d AS (SELECT CAST(n_nationkey * 5 AS BIGINT) AS s_suppkey, 'Contact ' || n_name AS s_name,
+                  n_nationkey AS s_nationkey, CAST(0.0 AS DOUBLE) AS s_acctbal FROM nation)
+SELECT s.s_suppkey, s.s_name, CAST(COALESCE(d.s_nationkey, s.s_nationkey) AS BIGINT) AS s_nationkey, s.s_acctbal
+FROM supplier s LEFT JOIN d ON s.s_suppkey = d.s_suppkey
+UNION ALL
+SELECT d.s_suppkey, d.s_name, CAST(d.s_nationkey AS BIGINT), d.s_acctbal FROM d
+WHERE d.s_suppkey NOT IN (SELECT s_suppkey FROM supplier)
+""")
+def ensure_rows_q(spark, sf):
+    t = Tables(spark, sf)
+    current = t.supplier.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    defaults = t.nation.select((c("n_nationkey") * 5).cast("long").alias("s_suppkey"),
+                               F.concat(F.lit("Contact "), c("n_name")).alias("s_name"),
+                               c("n_nationkey").alias("s_nationkey"), F.lit(0.0).alias("s_acctbal"))
+    res = wh.ensure_rows(current, defaults, ["s_suppkey"], ["s_nationkey"])
+    return res.withColumn("s_nationkey", c("s_nationkey").cast("long"))
+
+
+def _adjusted(t: Tables):
+    nations = F.broadcast(t.nation.select("n_nationkey", "n_regionkey"))  # 25 rows by definition
+    base = t.supplier.join(nations, c("s_nationkey") == c("n_nationkey")).select(
+        "s_suppkey", c("s_acctbal").cast("decimal(12,2)").alias("salary"),
+        F.when(c("n_regionkey") == 0, F.lit(None)).otherwise(c("n_regionkey") * F.lit(0.05))
+        .cast("decimal(4,2)").alias("commission_pct"))
+    return wh.adjust_salary(base, "salary", "commission_pct")
+
+
+_ADJ_SQL = """
+SELECT s.s_suppkey, CAST(s.s_acctbal AS DECIMAL(12,2)) AS old,
+       CASE WHEN n.n_regionkey = 0 THEN NULL ELSE CAST(n.n_regionkey * 0.05 AS DECIMAL(4,2)) END AS com,
+       CAST(ROUND(CAST(s.s_acctbal AS DECIMAL(12,2)) *
+             CASE WHEN n.n_regionkey = 0 THEN CAST(1.02 AS DECIMAL(4,2))
+                  ELSE CAST(1 + n.n_regionkey * 0.05 AS DECIMAL(4,2)) END, 2) AS DECIMAL(12,2)) AS new,
+       CASE WHEN n.n_regionkey = 0 THEN 'DEFAULT' ELSE 'COMMISSION' END AS branch
+FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
+"""
+
+
+@query("adjust_salary", f"""
+SELECT s_suppkey, CAST(old AS DOUBLE) AS old_salary, CAST(com AS DOUBLE) AS commission_pct,
+       CAST(new AS DOUBLE) AS new_salary, branch
+FROM ({_ADJ_SQL}) a
+""")
+def adjust_salary_q(spark, sf):
+    adj = _adjusted(Tables(spark, sf))
+    return adj.select("s_suppkey", money("salary").alias("old_salary"),
+                      money("commission_pct").alias("commission_pct"),
+                      money("new_salary").alias("new_salary"), "branch")
+
+
+@query("audit_log", f"""
+WITH adj AS (SELECT a.*, ROW_NUMBER() OVER (ORDER BY s_suppkey) AS seq FROM ({_ADJ_SQL}) a),
+body AS (
+  SELECT 1 + (seq - 1) * 3 + 1 AS log_id, 'INFO' AS log_level,
+         'employee ' || CAST(s_suppkey AS VARCHAR) || ' old salary ' || CAST(old AS VARCHAR) AS log_message FROM adj
+  UNION ALL
+  SELECT 1 + (seq - 1) * 3 + 2, CASE WHEN branch = 'DEFAULT' THEN 'WARNING' ELSE 'INFO' END,
+         CASE WHEN branch = 'DEFAULT' THEN 'employee ' || CAST(s_suppkey AS VARCHAR) || ' has no commission, default used'
+              ELSE 'employee ' || CAST(s_suppkey AS VARCHAR) || ' commission applied' END FROM adj
+  UNION ALL
+  SELECT 1 + (seq - 1) * 3 + 3, 'INFO',
+         'employee ' || CAST(s_suppkey AS VARCHAR) || ' new salary ' || CAST(new AS VARCHAR) FROM adj)
+SELECT CAST(log_id AS BIGINT) AS log_id, 'SALARY.ADJUST' AS module_name, log_level, log_message FROM body
+UNION ALL SELECT CAST(1 AS BIGINT), 'SALARY.ADJUST', 'INFO', 'START'
+UNION ALL SELECT CAST((SELECT COUNT(*) FROM adj) * 3 + 2 AS BIGINT), 'SALARY.ADJUST', 'INFO', 'END'
+""")
+def audit_log_q(spark, sf):
+    adj = _adjusted(Tables(spark, sf))
+    seq = assign_keys(adj, ["s_suppkey"], "seq")
+    body = wh.audit_rows(seq, "s_suppkey", "salary", "new_salary", "seq")
+    total = adj.agg(F.count(F.lit(1))).scalar()
+    log = wh.bracket_log(body, total)
+    return wh.filter_log(log, debug=True)
