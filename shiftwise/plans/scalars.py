@@ -1,3 +1,262 @@
-"""Driver queries: scalars."""
+"""Driver queries for scalar parsing, JSON, sections, costs and requests (2.1, 2.2, P26, T5, T6)."""
 
-from shiftwise.plans.registry import query  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shiftwise.functions import scalars as sc
+from shiftwise.operators import requests as rq
+from shiftwise.plans.common import c, money
+from shiftwise.plans.registry import query
+from shiftwise.sources.sections import split_sections
+from shiftwise.sources.tables import Tables
+
+# DuckDB spelling of Python's str.strip() used by several oracles.
+_STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _strip_sql(x: str) -> str:
+    return _STRIP.format(x=x)
+
+
+# --- P1 / P2 -----------------------------------------------------------------
+def _duration_text(q, ln):
+    return (F.when(ln == 1, F.concat(q.cast("string"), F.lit("s")))
+             .when(ln == 2, F.concat(q.cast("string"), F.lit("m "), ln.cast("string"), F.lit("s")))
+             .when(ln == 7, F.lit("n/a"))
+             .otherwise(F.concat(F.floor(q / 10).cast("string"), F.lit("h "), q.cast("string"), F.lit("m "),
+                                 ln.cast("string"), F.lit("s"))))
+
+
+@query("parse_duration", """
+WITH t AS (
+  SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(l_quantity AS BIGINT) AS q,
+         CASE WHEN l_linenumber = 1 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || 's'
+              WHEN l_linenumber = 2 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || 'm ' || CAST(l_linenumber AS VARCHAR) || 's'
+              WHEN l_linenumber = 7 THEN 'n/a'
+              ELSE CAST(CAST(l_quantity AS BIGINT) // 10 AS VARCHAR) || 'h ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)
+                   || 'm ' || CAST(l_linenumber AS VARCHAR) || 's' END AS duration_text
+  FROM lineitem)
+SELECT l_orderkey, l_linenumber, duration_text,
+       CASE WHEN regexp_matches(duration_text, '\\d+\\s*[hms]') THEN
+         COALESCE(TRY_CAST(regexp_extract(duration_text, '(\\d+)\\s*h', 1) AS BIGINT), 0) * 3600
+         + COALESCE(TRY_CAST(regexp_extract(duration_text, '(\\d+)\\s*m', 1) AS BIGINT), 0) * 60
+         + COALESCE(TRY_CAST(regexp_extract(duration_text, '(\\d+)\\s*s', 1) AS BIGINT), 0) END AS seconds,
+       CAST(CAST(q // 10 AS VARCHAR) || 'h' AS VARCHAR) AS hours_text,
+       CAST(q // 10 AS BIGINT) AS hours
+FROM t
+""")
+def parse_duration_q(spark, sf):
+    li = Tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", "l_quantity")
+    q = c("l_quantity").cast("long")
+    ln = c("l_linenumber")
+    txt = li.select("l_orderkey", c("l_linenumber").cast("long").alias("l_linenumber"),
+                    _duration_text(q, ln).alias("duration_text"),
+                    F.concat(F.floor(q / 10).cast("string"), F.lit("h")).alias("hours_text"))
+    return txt.select("l_orderkey", "l_linenumber", "duration_text",
+                      sc.duration_seconds("duration_text").alias("seconds"), "hours_text",
+                      sc.parse_hours("hours_text").cast("long").alias("hours"))
+
+
+# --- P12 ---------------------------------------------------------------------
+@query("safe_division", """
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+       CASE WHEN l_discount = 0 THEN NULL ELSE l_extendedprice / l_discount END AS ratio,
+       CASE WHEN l_discount = 0 THEN 'ZERO_DIVIDE' END AS error
+FROM lineitem
+""")
+def safe_division_q(spark, sf):
+    li = Tables(spark, sf).lineitem
+    return li.select("l_orderkey", c("l_linenumber").cast("long").alias("l_linenumber"),
+                     sc.safe_divide("l_extendedprice", "l_discount").alias("ratio"),
+                     sc.divide_error("l_discount").alias("error"))
+
+
+# --- S1 core: wide day matrix -> one row per key and day ----------------------
+@query("unpivot_matrix", """
+SELECT o_custkey, CAST(dayofweek(o_orderdate) + 1 AS BIGINT) AS weekday, CAST(COUNT(*) AS BIGINT) AS orders
+FROM orders GROUP BY o_custkey, dayofweek(o_orderdate)
+""")
+def unpivot_matrix_q(spark, sf):
+    o = Tables(spark, sf).orders.select("o_custkey", F.dayofweek("o_orderdate").alias("dow"))
+    days = list(range(1, 8))
+    wide = o.groupBy("o_custkey").pivot("dow", days).count()
+    long = wide.unpivot(["o_custkey"], [str(d) for d in days], "weekday", "orders")
+    return long.where(c("orders").isNotNull()).select(
+        "o_custkey", c("weekday").cast("long").alias("weekday"), c("orders").cast("long").alias("orders"))
+
+
+# --- S3 / P23 ------------------------------------------------------------------
+def _md_text():
+    nl = F.lit("\n")
+    return F.concat(F.lit("## Title: "), c("p_name"), nl,
+                    F.lit("A "), F.lower("p_type"), F.lit(" item."), nl,
+                    F.lit("  Size "), c("p_size").cast("string"), F.lit("."), nl,
+                    F.lit("Teme: "), F.lower("p_type"), F.lit(", "), c("p_brand"), F.lit(", , size"),
+                    c("p_size").cast("string"), nl,
+                    F.lit("## Title: "), c("p_brand"), F.lit(" catalogue"), nl,
+                    F.lit("Everything from "), c("p_brand"), nl)
+
+
+_MD_SQL = ("'## Title: ' || p_name || chr(10) || 'A ' || lower(p_type) || ' item.' || chr(10) || "
+           "'  Size ' || CAST(p_size AS VARCHAR) || '.' || chr(10) || 'Teme: ' || lower(p_type) || ', ' || p_brand || "
+           "', , size' || CAST(p_size AS VARCHAR) || chr(10) || '## Title: ' || p_brand || ' catalogue' || chr(10) || "
+           "'Everything from ' || p_brand || chr(10)")
+
+
+@query("split_sections", f"""
+WITH d AS (SELECT p_partkey, string_split_regex({_MD_SQL}, '(?m)^##\\s*Title:\\s*') AS parts FROM part),
+b AS (SELECT p_partkey, unnest(parts[2:]) AS blk, generate_subscripts(parts[2:], 1) AS section_no FROM d),
+l AS (SELECT p_partkey, section_no, blk,
+             CASE WHEN strpos(blk, chr(10)) > 0 THEN split_part(blk, chr(10), 1) ELSE blk END AS title_line,
+             string_split_regex({_strip_sql("CASE WHEN strpos(blk, chr(10)) > 0 THEN substr(blk, strpos(blk, chr(10)) + 1) ELSE '' END")},
+                                '\\r\\n|\\r|\\n') AS lines
+      FROM b),
+m AS (SELECT *, COALESCE(list_position(list_transform(lines, lambda x: starts_with(lower({_strip_sql("x")}), 'teme:')), true), 0) AS idx
+      FROM l)
+SELECT p_partkey, CAST(section_no AS BIGINT) AS section_no, {_strip_sql("title_line")} AS title,
+       {_strip_sql("array_to_string(list_transform(CASE WHEN idx > 0 THEN lines[1:idx - 1] ELSE lines END, lambda x: " + _strip_sql("x") + "), ' ')")} AS summary,
+       COALESCE(CASE WHEN idx > 0 THEN array_to_string(list_filter(list_transform(
+                  string_split(substr(lines[idx], strpos(lines[idx], ':') + 1), ','), lambda t: {_strip_sql("t")}), lambda t: t <> ''), '|') END, '') AS themes
+FROM m
+""")
+def split_sections_q(spark, sf):
+    part = Tables(spark, sf).part.select("p_partkey", _md_text().alias("md"))
+    sec = split_sections(part, "md")
+    return sec.select("p_partkey", c("section_no").cast("long").alias("section_no"), "title", "summary",
+                      F.coalesce(F.array_join("themes", "|"), F.lit("")).alias("themes"))
+
+
+# --- Q5 / S4 ------------------------------------------------------------------
+@query("json_fields", """
+SELECT event_id,
+       TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+       CAST(CASE WHEN props IS NULL OR json_valid(props) THEN 1 ELSE 0 END AS BIGINT) AS is_valid
+FROM events
+""")
+def json_fields_q(spark, sf):
+    ev = Tables(spark, sf).events.select("event_id", "props")
+    v = F.try_parse_json("props")
+    return ev.select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"),
+                     F.when(c("props").isNull() | v.isNotNull(), 1).otherwise(0).cast("long").alias("is_valid"))
+
+
+# --- P21 / P22 / A11 / S9 -------------------------------------------------------
+PRICES = [("gpt-4.1-nano", 0.0004, 0.0016)]
+
+
+def _prices(spark):
+    return spark.createDataFrame(PRICES, "model string, price_in double, price_out double")
+
+
+def _model_of(conv):
+    return F.when(conv % 4 == 3, F.lit("legacy-model")).otherwise(F.lit("gpt-4.1-nano"))
+
+
+_TOK_SQL = ("CAST(floor(len(list_filter(string_split_regex(COALESCE(text, ''), '\\s+'), lambda w: w <> '')) "
+            "* CAST(1.3 AS DOUBLE)) AS BIGINT)")
+
+
+@query("token_cost", f"""
+WITH m AS (SELECT conv_id, role, {_TOK_SQL} AS tok FROM conversations),
+c AS (SELECT conv_id,
+             CAST(SUM(CASE WHEN role IN ('user', 'system') THEN tok ELSE 0 END) AS BIGINT) AS in_tokens,
+             CAST(SUM(CASE WHEN role = 'assistant' THEN tok ELSE 0 END) AS BIGINT) AS out_tokens
+      FROM m GROUP BY conv_id)
+SELECT conv_id, CASE WHEN conv_id % 4 = 3 THEN 'legacy-model' ELSE 'gpt-4.1-nano' END AS model,
+       in_tokens, out_tokens,
+       CAST(ROUND(CASE WHEN conv_id % 4 = 3 THEN CAST(0 AS DECIMAL(38,12))
+                  ELSE CAST(in_tokens AS DECIMAL(18,0)) * CAST(0.0000004 AS DECIMAL(16,12))
+                     + CAST(out_tokens AS DECIMAL(18,0)) * CAST(0.0000016 AS DECIMAL(16,12)) END, 6) AS DOUBLE) AS usd_cost
+FROM c
+""")
+def token_cost_q(spark, sf):
+    conv = Tables(spark, sf).conversations
+    tok = conv.select("conv_id", "role", sc.estimate_tokens("text").alias("tok"))
+    per = tok.groupBy("conv_id").agg(
+        F.sum(F.when(c("role").isin("user", "system"), c("tok")).otherwise(0)).cast("long").alias("in_tokens"),
+        F.sum(F.when(c("role") == "assistant", c("tok")).otherwise(0)).cast("long").alias("out_tokens"))
+    per = per.withColumn("model", _model_of(c("conv_id")))
+    costed = sc.usage_cost(per, _prices(spark), "model", "in_tokens", "out_tokens")
+    return costed.select("conv_id", "model", "in_tokens", "out_tokens", money("usd_cost").alias("usd_cost"))
+
+
+def usage_log_frame(spark, conv, dt: str):
+    """S9 rows: one JSON-able record per request/response message of a day."""
+    msgs = conv.where(c("role").isin("user", "assistant")).select(
+        "conv_id", "turn", F.when(c("role") == "user", "request").otherwise("response").alias("direction"),
+        _model_of(c("conv_id")).alias("model"), sc.preview("text", 200).alias("content"),
+        sc.estimate_tokens("text").alias("tokens"))
+    msgs = (msgs.withColumn("tin", F.when(c("direction") == "request", c("tokens")).otherwise(0))
+                .withColumn("tout", F.when(c("direction") == "response", c("tokens")).otherwise(0)))
+    costed = sc.usage_cost(msgs, _prices(spark), "model", "tin", "tout")
+    return costed.select("conv_id", "turn", "direction", "model", "content", "tokens",
+                         money("usd_cost").alias("usd_cost"), F.lit(dt).alias("dt"))
+
+
+@query("usage_log", f"""
+SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'request' ELSE 'response' END AS direction,
+       CASE WHEN conv_id % 4 = 3 THEN 'legacy-model' ELSE 'gpt-4.1-nano' END AS model,
+       substr(text, 1, 200) AS content, {_TOK_SQL} AS tokens,
+       CAST(ROUND(CASE WHEN conv_id % 4 = 3 THEN CAST(0 AS DECIMAL(38,12))
+                       WHEN role = 'user' THEN CAST({_TOK_SQL} AS DECIMAL(18,0)) * CAST(0.0000004 AS DECIMAL(16,12))
+                       ELSE CAST({_TOK_SQL} AS DECIMAL(18,0)) * CAST(0.0000016 AS DECIMAL(16,12)) END, 6) AS DOUBLE) AS usd_cost,
+       '2024-01-15' AS dt
+FROM conversations WHERE role IN ('user', 'assistant')
+""")
+def usage_log_q(spark, sf):
+    return usage_log_frame(spark, Tables(spark, sf).conversations, "2024-01-15")
+
+
+# --- P26 / T5 / T6 ----------------------------------------------------------------
+def requests_frame(t: Tables):
+    """Math requests derived from lineitem: the operation cycles with the line number."""
+    ln = c("l_linenumber")
+    kind = (ln - 1) % 4
+    op = (F.when(kind == 0, "fibo").when(kind == 1, "factorial").when(kind == 2, "prime").otherwise("pow"))
+    return t.lineitem.select((c("l_orderkey") * 8 + ln).alias("request_id"), op.alias("operation"),
+                             c("l_quantity").cast("long").alias("x"),
+                             F.when(kind == 3, ln.cast("long")).otherwise(F.lit(0).cast("long")).alias("y"))
+
+
+_REQ_SQL = """
+WITH r AS (
+  SELECT l_orderkey * 8 + l_linenumber AS request_id,
+         CASE (l_linenumber - 1) % 4 WHEN 0 THEN 'fibo' WHEN 1 THEN 'factorial' WHEN 2 THEN 'prime' ELSE 'pow' END AS operation,
+         CAST(l_quantity AS BIGINT) AS x,
+         CASE WHEN (l_linenumber - 1) % 4 = 3 THEN CAST(l_linenumber AS BIGINT) ELSE CAST(0 AS BIGINT) END AS y
+  FROM lineitem),
+m AS (SELECT *, MIN(request_id) OVER (PARTITION BY operation, x, y) AS first_request_id FROM r)
+"""
+
+
+@query("memoize", _REQ_SQL + """
+SELECT request_id, operation, x, y, first_request_id,
+       CAST(CASE WHEN request_id <> first_request_id THEN 1 ELSE 0 END AS BIGINT) AS cache_hit
+FROM m
+""")
+def memoize_q(spark, sf):
+    memo = rq.memoize(requests_frame(Tables(spark, sf)), ["operation", "x", "y"], "request_id")
+    return memo.withColumn("cache_hit", c("cache_hit").cast("long"))
+
+
+@query("request_events", _REQ_SQL + """
+SELECT request_id, CASE WHEN operation = 'fibo' THEN 'fibonacci' ELSE operation END AS event_operation,
+       CASE WHEN operation = 'pow' THEN '{"x":' || CAST(x AS VARCHAR) || ',"y":' || CAST(y AS VARCHAR) || '}'
+            ELSE '{"n":' || CAST(x AS VARCHAR) || '}' END AS input_json
+FROM m WHERE request_id = first_request_id OR operation = 'prime'
+""")
+def request_events_q(spark, sf):
+    memo = rq.memoize(requests_frame(Tables(spark, sf)), ["operation", "x", "y"], "request_id")
+    ev = rq.request_events(memo)
+    inp = F.when(c("operation") == "pow",
+                 F.concat(F.lit('{"x":'), c("x").cast("string"), F.lit(',"y":'), c("y").cast("string"), F.lit("}"))
+                 ).otherwise(F.concat(F.lit('{"n":'), c("x").cast("string"), F.lit("}")))
+    return ev.select("request_id", "event_operation", inp.alias("input_json"))
+
+
+@query("evaluate_requests")
+def evaluate_requests_q(spark, sf):
+    """Exact results (big integers beyond decimal(38,0)); rows-only check."""
+    res = rq.evaluate_requests(requests_frame(Tables(spark, sf)))
+    return res.select("request_id", "operation", "x", "y", "result", "status")
