@@ -85,15 +85,18 @@ def evaluate(distinct_inputs: DataFrame, op: str = "operation", x: str = "x", y:
     return res.withColumn("status", F.when(invalid, "invalid").otherwise("ok")).drop("_big")
 
 
-def memoize(requests: DataFrame, key: list[str], order: str) -> DataFrame:
-    """T5: per request, whether an earlier request had the same key (cache hit).
+def memoize(requests: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """T5: per request, whether an earlier request (in ``order``) had the same key.
 
-    The first request id per key comes from a ``min`` aggregate (map-side
-    combined), joined back on the key.
+    The first request per key comes from a ``min`` aggregate over the order
+    tuple (map-side combined, so a hot key never gathers in one task), joined
+    back on the key.
     """
-    first = requests.groupBy(*key).agg(F.min(order).alias("first_request_id"))
+    ordk = F.struct(*order)
+    first = requests.groupBy(*key).agg(F.min(ordk).alias("_first"))
     return (requests.join(first, key, "left")
-            .withColumn("cache_hit", (F.col(order) != F.col("first_request_id")).cast("int")))
+            .withColumn("cache_hit", (ordk != F.col("_first")).cast("int"))
+            .drop("_first"))
 
 
 def evaluate_requests(requests: DataFrame, op: str = "operation", x: str = "x", y: str = "y") -> DataFrame:

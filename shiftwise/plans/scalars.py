@@ -209,54 +209,61 @@ def usage_log_q(spark, sf):
 
 
 # --- P26 / T5 / T6 ----------------------------------------------------------------
+# A request is one line item; this tuple is unique and orders the requests.
+REQUEST_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
 def requests_frame(t: Tables):
     """Math requests derived from lineitem: the operation cycles with the line number."""
     ln = c("l_linenumber")
     kind = (ln - 1) % 4
     op = (F.when(kind == 0, "fibo").when(kind == 1, "factorial").when(kind == 2, "prime").otherwise("pow"))
-    return t.lineitem.select((c("l_orderkey") * 8 + ln).alias("request_id"), op.alias("operation"),
+    return t.lineitem.select("l_orderkey", c("l_linenumber").cast("long").alias("l_linenumber"),
+                             "l_partkey", "l_suppkey", op.alias("operation"),
                              c("l_quantity").cast("long").alias("x"),
                              F.when(kind == 3, ln.cast("long")).otherwise(F.lit(0).cast("long")).alias("y"))
 
 
 _REQ_SQL = """
 WITH r AS (
-  SELECT l_orderkey * 8 + l_linenumber AS request_id,
+  SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey,
          CASE (l_linenumber - 1) % 4 WHEN 0 THEN 'fibo' WHEN 1 THEN 'factorial' WHEN 2 THEN 'prime' ELSE 'pow' END AS operation,
          CAST(l_quantity AS BIGINT) AS x,
          CASE WHEN (l_linenumber - 1) % 4 = 3 THEN CAST(l_linenumber AS BIGINT) ELSE CAST(0 AS BIGINT) END AS y
   FROM lineitem),
-m AS (SELECT *, MIN(request_id) OVER (PARTITION BY operation, x, y) AS first_request_id FROM r)
+m AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY operation, x, y
+                                   ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS rn FROM r)
 """
 
 
 @query("memoize", _REQ_SQL + """
-SELECT request_id, operation, x, y, first_request_id,
-       CAST(CASE WHEN request_id <> first_request_id THEN 1 ELSE 0 END AS BIGINT) AS cache_hit
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, operation, x, y,
+       CAST(CASE WHEN rn > 1 THEN 1 ELSE 0 END AS BIGINT) AS cache_hit
 FROM m
 """)
 def memoize_q(spark, sf):
-    memo = rq.memoize(requests_frame(Tables(spark, sf)), ["operation", "x", "y"], "request_id")
+    memo = rq.memoize(requests_frame(Tables(spark, sf)), ["operation", "x", "y"], REQUEST_ORDER)
     return memo.withColumn("cache_hit", c("cache_hit").cast("long"))
 
 
 @query("request_events", _REQ_SQL + """
-SELECT request_id, CASE WHEN operation = 'fibo' THEN 'fibonacci' ELSE operation END AS event_operation,
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       CASE WHEN operation = 'fibo' THEN 'fibonacci' ELSE operation END AS event_operation,
        CASE WHEN operation = 'pow' THEN '{"x":' || CAST(x AS VARCHAR) || ',"y":' || CAST(y AS VARCHAR) || '}'
             ELSE '{"n":' || CAST(x AS VARCHAR) || '}' END AS input_json
-FROM m WHERE request_id = first_request_id OR operation = 'prime'
+FROM m WHERE rn = 1 OR operation = 'prime'
 """)
 def request_events_q(spark, sf):
-    memo = rq.memoize(requests_frame(Tables(spark, sf)), ["operation", "x", "y"], "request_id")
+    memo = rq.memoize(requests_frame(Tables(spark, sf)), ["operation", "x", "y"], REQUEST_ORDER)
     ev = rq.request_events(memo)
     inp = F.when(c("operation") == "pow",
                  F.concat(F.lit('{"x":'), c("x").cast("string"), F.lit(',"y":'), c("y").cast("string"), F.lit("}"))
                  ).otherwise(F.concat(F.lit('{"n":'), c("x").cast("string"), F.lit("}")))
-    return ev.select("request_id", "event_operation", inp.alias("input_json"))
+    return ev.select(*REQUEST_ORDER, "event_operation", inp.alias("input_json"))
 
 
 @query("evaluate_requests")
 def evaluate_requests_q(spark, sf):
     """Exact results (big integers beyond decimal(38,0)); rows-only check."""
     res = rq.evaluate_requests(requests_frame(Tables(spark, sf)))
-    return res.select("request_id", "operation", "x", "y", "result", "status")
+    return res.select(*REQUEST_ORDER, "operation", "x", "y", "result", "status")
