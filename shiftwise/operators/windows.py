@@ -110,8 +110,12 @@ def _local_ranker(keys: list[str], method: str, out_schema_names: list[str]):
     return run
 
 
+SINGLE_TASK_MAX_ROWS = 1_000_000
+
+
 def global_rank(df: DataFrame, order: Sequence, method: str = "rank", out: str = "rank",
-                offset: Column | int = 0, num_partitions: int | None = None) -> DataFrame:
+                offset: Column | int = 0, num_partitions: int | None = None,
+                single_task_max_rows: int = SINGLE_TASK_MAX_ROWS) -> DataFrame:
     """Exact global ``rank``/``dense_rank``/``row_number`` without a single-task window.
 
     ``order`` holds column names or sort expressions on plain columns.  For
@@ -125,6 +129,12 @@ def global_rank(df: DataFrame, order: Sequence, method: str = "rank", out: str =
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_exprs = [_sort_col(c) for c in order]
     keys = _key_names(df, order)
+    add = F.lit(offset) if isinstance(offset, int) else offset
+    if single_task_max_rows and df.count() <= single_task_max_rows:
+        # Checked to be small (dimensions, code lists): one ordered window task
+        # is cheaper than the distributed scheme.
+        fn = {"rank": F.rank, "dense_rank": F.dense_rank, "row_number": F.row_number}[method]
+        return df.withColumn(out, (fn().over(Window.orderBy(*sort_exprs)) + add).cast("long"))
     checkpoint_dir(spark)
     part = (df.repartitionByRange(n, *sort_exprs)
               .sortWithinPartitions(*sort_exprs)
