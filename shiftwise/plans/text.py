@@ -1,3 +1,125 @@
-"""Driver queries: text."""
+"""Driver queries for rule-based text operators."""
 
-from shiftwise.plans.registry import query  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shiftwise.functions import text as tx
+from shiftwise.operators.matching import match_title, mention_join
+from shiftwise.operators.windows import global_rank
+from shiftwise.plans.common import c
+from shiftwise.plans.registry import query
+from shiftwise.sources.tables import Tables
+
+
+def _sql_has(alternatives) -> str:
+    return f"regexp_matches(COALESCE(text, ''), '{tx.sql_pattern(alternatives)}')"
+
+
+_STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _sql_norm_title(x: str) -> str:
+    """DuckDB spelling of ``normalize_title`` (same regexes, same order)."""
+    quotes = tx.TITLE_QUOTES.replace("'", "''")
+    s = _STRIP.format(x=x)
+    s = f"regexp_replace({s}, '^[{quotes}]+|[{quotes}]+$', '', 'g')"
+    s = f"regexp_replace({s}, '\\s*\\(.*?\\)\\s*$', '')"
+    s = f"regexp_replace({s}, '\\s*[:\\-–—]\\s*.*$', '')"
+    s = f"regexp_replace({s}, '(?i)\\s+de\\s+.+$', '')"
+    return f"regexp_replace(lower({_STRIP.format(x=s)}), '\\s+', ' ', 'g')"
+
+
+def _title_keys(t: Tables):
+    """Distinct part names in case-insensitive order (the allowed-title order)."""
+    names = t.part.where(c("p_name").isNotNull()).select("p_name").distinct().withColumn("_lk", F.lower("p_name"))
+    return global_rank(names, ["_lk", "p_name"], "row_number", "pos").drop("_lk")
+
+
+_KEYS_SQL = """k AS (SELECT p_name AS key, ROW_NUMBER() OVER (ORDER BY lower(p_name), p_name) AS pos
+       FROM (SELECT DISTINCT p_name FROM part WHERE p_name IS NOT NULL) d)"""
+
+
+@query("match_title", f"""
+WITH {_KEYS_SQL},
+q AS (SELECT p_partkey * 2 AS query_id, '"' || upper(p_name) || '" (' || p_brand || ')' AS title FROM part
+      UNION ALL
+      SELECT p_partkey * 2 + 1, lower(p_type) || ' - edition ' || CAST(p_size AS VARCHAR) FROM part),
+qn AS (SELECT query_id, title, CASE WHEN title IS NOT NULL AND title <> '' THEN {_sql_norm_title('title')} END AS n FROM q),
+kn AS (SELECT key, pos, {_sql_norm_title('key')} AS n FROM k),
+ex AS (SELECT qn.query_id, arg_min(kn.key, kn.pos) AS key FROM qn JOIN kn ON qn.n = kn.n GROUP BY qn.query_id),
+ct AS (SELECT qn.query_id, arg_min(kn.key, kn.pos) AS key FROM qn JOIN kn ON strpos(kn.n, qn.n) > 0
+       WHERE qn.n <> '' AND qn.query_id NOT IN (SELECT query_id FROM ex) GROUP BY qn.query_id)
+SELECT q.query_id, q.title, COALESCE(ex.key, ct.key) AS matched_title
+FROM q LEFT JOIN ex ON q.query_id = ex.query_id LEFT JOIN ct ON q.query_id = ct.query_id
+""")
+def match_title_q(spark, sf):
+    t = Tables(spark, sf)
+    qa = t.part.select((c("p_partkey") * 2).alias("query_id"),
+                       F.concat(F.lit('"'), F.upper("p_name"), F.lit('" ('), c("p_brand"), F.lit(")")).alias("title"))
+    qb = t.part.select((c("p_partkey") * 2 + 1).alias("query_id"),
+                       F.concat(F.lower("p_type"), F.lit(" - edition "), c("p_size").cast("string")).alias("title"))
+    return match_title(qa.unionByName(qb), "query_id", "title", _title_keys(t), "p_name", "pos")
+
+
+@query("mention_join", f"""
+WITH {_KEYS_SQL},
+t AS (SELECT p_partkey, 'Do you have ' || upper(p_name) || ' by ' || p_brand || '?' AS txt FROM part)
+SELECT t.p_partkey, arg_min(k.key, k.pos) AS mentioned_title
+FROM t LEFT JOIN k ON strpos(lower(t.txt), lower(k.key)) > 0
+GROUP BY t.p_partkey
+""")
+def mention_join_q(spark, sf):
+    t = Tables(spark, sf)
+    texts = t.part.select("p_partkey", F.concat(F.lit("Do you have "), F.upper("p_name"), F.lit(" by "),
+                                                c("p_brand"), F.lit("?")).alias("txt"))
+    return mention_join(texts, "p_partkey", "txt", _title_keys(t), "p_name", "pos").select(
+        "p_partkey", "mentioned_title")
+
+
+@query("classify_intent", f"""
+SELECT conv_id, turn,
+       CASE WHEN {_sql_has(tx.INTENT_CODE)} THEN 'out_of_scope'
+            WHEN {_sql_has(tx.INTENT_ORDINAL)} THEN 'ordinal'
+            WHEN {_sql_has(tx.INTENT_PAGES)} OR {_sql_has(tx.INTENT_AUTHOR)} OR {_sql_has(tx.INTENT_YEAR)}
+                 OR {_sql_has(tx.INTENT_THIS_BOOK)} THEN 'book_followup'
+            ELSE 'recommendation' END AS intent
+FROM conversations
+""")
+def classify_intent_q(spark, sf):
+    conv = Tables(spark, sf).conversations
+    return conv.select("conv_id", "turn", tx.classify_intent("text").alias("intent"))
+
+
+_WORDS_SQL = "[" + ", ".join("'" + w + "'" for w in tx.OFFENSIVE_WORDS) + "]"
+
+
+@query("offensive_flags", f"""
+SELECT conv_id, turn,
+       CAST(CASE WHEN {_sql_has(tx.OFFENSIVE_PATTERNS)} THEN 1 ELSE 0 END AS BIGINT) AS offensive_regex,
+       CAST(CASE WHEN list_has_any(regexp_extract_all(lower(COALESCE(text, '')), '{tx.TOKEN_PATTERN}'),
+                                   {_WORDS_SQL}) THEN 1 ELSE 0 END AS BIGINT) AS offensive_tokens
+FROM conversations
+""")
+def offensive_flags_q(spark, sf):
+    conv = Tables(spark, sf).conversations
+    return conv.select("conv_id", "turn",
+                       tx.is_offensive_regex("text").cast("long").alias("offensive_regex"),
+                       tx.is_offensive_tokens("text").cast("long").alias("offensive_tokens"))
+
+
+def _ordinal_sql() -> str:
+    parts = []
+    for words, n in tx.ORDINALS:
+        cond = " OR ".join(f"strpos(lower(COALESCE(text, '')), '{w}') > 0" for w in words)
+        parts.append(f"WHEN {cond} THEN {n}")
+    return "CASE " + " ".join(parts) + " END"
+
+
+@query("ordinal_ref", f"""
+SELECT conv_id, turn, CAST({_ordinal_sql()} AS BIGINT) AS ordinal
+FROM conversations
+""")
+def ordinal_ref_q(spark, sf):
+    conv = Tables(spark, sf).conversations
+    return conv.select("conv_id", "turn", tx.ordinal_ref("text").cast("long").alias("ordinal"))
