@@ -33,4 +33,4 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so their queries register."""
-    from shiftwise.plans import relational, warehouse, quality, scalars, streams, text  # noqa: F401
+    from shiftwise.plans import ml, quality, relational, scalars, streams, text, warehouse  # noqa: F401
