@@ -23,12 +23,18 @@ def strip(x) -> Column:
 
 # --- P1, P2 -----------------------------------------------------------------
 def duration_seconds(x) -> Column:
-    """``1h 59m 6s`` -> seconds; missing units count as 0, no unit at all -> NULL."""
-    s = _c(x)
-    part = lambda unit: F.coalesce(
-        F.regexp_extract(s, rf"(\d+)\s*{unit}", 1).try_cast("long"), F.lit(0))
-    has_any = s.rlike(r"\d+\s*[hms]")
-    return F.when(has_any, part("h") * 3600 + part("m") * 60 + part("s"))
+    """``1h 59m 6s`` -> seconds.
+
+    Each ``<digits><unit>`` pair sets its unit (the last pair of a unit wins);
+    missing units count as 0, so a text without any pair gives 0.
+    """
+    s = F.coalesce(_c(x), F.lit(""))
+
+    def part(unit: str) -> Column:
+        found = F.regexp_extract_all(s, F.lit(rf"(\d+){unit}"), 1)
+        return F.coalesce(F.try_element_at(found, F.lit(-1)).try_cast("long"), F.lit(0))
+
+    return part("h") * 3600 + part("m") * 60 + part("s")
 
 
 def parse_duration(x) -> Column:

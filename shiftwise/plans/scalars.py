@@ -38,10 +38,9 @@ WITH t AS (
                    || 'm ' || CAST(l_linenumber AS VARCHAR) || 's' END AS duration_text
   FROM lineitem)
 SELECT l_orderkey, l_linenumber, duration_text,
-       CASE WHEN regexp_matches(duration_text, '\\d+\\s*[hms]') THEN
-         COALESCE(TRY_CAST(regexp_extract(duration_text, '(\\d+)\\s*h', 1) AS BIGINT), 0) * 3600
-         + COALESCE(TRY_CAST(regexp_extract(duration_text, '(\\d+)\\s*m', 1) AS BIGINT), 0) * 60
-         + COALESCE(TRY_CAST(regexp_extract(duration_text, '(\\d+)\\s*s', 1) AS BIGINT), 0) END AS seconds,
+       COALESCE(TRY_CAST(regexp_extract_all(duration_text, '(\\d+)h', 1)[-1] AS BIGINT), 0) * 3600
+         + COALESCE(TRY_CAST(regexp_extract_all(duration_text, '(\\d+)m', 1)[-1] AS BIGINT), 0) * 60
+         + COALESCE(TRY_CAST(regexp_extract_all(duration_text, '(\\d+)s', 1)[-1] AS BIGINT), 0) AS seconds,
        CAST(CAST(q // 10 AS VARCHAR) || 'h' AS VARCHAR) AS hours_text,
        CAST(q // 10 AS BIGINT) AS hours
 FROM t

@@ -31,7 +31,8 @@ def split_sections(df: DataFrame, text_col: str, heading_regex: str = HEADING) -
     body = F.when(idx > 0, F.slice(lines, 1, (idx - 1).cast("int"))).otherwise(lines)
     summary = strip(F.array_join(F.transform(body, lambda x: strip(x)), " "))
     theme_line = F.when(idx > 0, F.element_at(lines, idx.cast("int")))
-    themes = split_list(F.substr(theme_line, F.instr(theme_line, ":") + 1))
+    themes = F.coalesce(split_list(F.substr(theme_line, F.instr(theme_line, ":") + 1)),
+                        F.array().cast("array<string>"))
     out = (exploded
            .select(*[c for c in df.columns if c != text_col],
                    (F.col("_pos") + 1).alias("section_no"), title.alias("title"),
@@ -55,6 +56,6 @@ def read_json_map(spark: SparkSession, path: str, value_type: T.DataType) -> Dat
     ``wholetext`` makes each file one row; ``from_json`` with a map type
     parses it and ``explode`` turns entries into rows.  One task per file.
     """
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     parsed = raw.select(F.from_json("value", T.MapType(T.StringType(), value_type)).alias("m"))
     return parsed.select(F.explode("m").alias("key", "value"))

@@ -45,3 +45,12 @@ class Tables:
         if name in TEST_TABLES:
             return read_table(self.spark, self.base, name)
         raise AttributeError(name)
+
+
+LABELLED_SCHEMA = "id string, text string, author string"
+
+
+def read_labelled_csv(spark: SparkSession, path: str, schema: str = LABELLED_SCHEMA) -> DataFrame:
+    """CSV with a header (id, text, label); quoted multi-line texts allowed."""
+    return (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
+            .option("escape", '"').schema(schema).csv(path))
