@@ -91,24 +91,12 @@ def _epoch(x) -> int:
 _US = 1_000_000
 
 
-def usage_verdicts(requests: DataFrame, key: str, ts: str, tiebreak: str, counted: Column,
-                   ttl_s: int = ANON_TTL_S, limit: int = ANON_LIMIT) -> DataFrame:
-    """T1 per-request verdict with the exact feedback of the source.
-
-    Before each request the counter is dropped if its expiry passed; a request
-    is ``blocked`` when ``used >= limit``; an allowed request that is a counted
-    use (``counted``) increments the counter and renews the expiry to
-    ``ts + ttl``.  Blocked requests neither count nor renew.
-    """
-    src = requests.withColumn("_counted", counted.cast("boolean"))
-    schema = T.StructType(src.schema.fields + [T.StructField("used_before", T.LongType()),
-                                               T.StructField("verdict", T.StringType()),
-                                               T.StructField("remaining", T.LongType())])
-
+def usage_step(ts: str, ttl_s: int = ANON_TTL_S, limit: int = ANON_LIMIT):
+    """State transition of the anonymous quota: ``(used, expiry_us)`` x request -> verdict."""
     def step(state, r):
-        used, expiry = state or (0, -np.inf)
+        used, expiry = state or (0, None)
         t = _epoch(r[ts])
-        if t >= expiry:
+        if expiry is None or t >= expiry:
             used = 0
         before = used
         if used >= limit:
@@ -119,7 +107,23 @@ def usage_verdicts(requests: DataFrame, key: str, ts: str, tiebreak: str, counte
                 used, expiry = used + 1, t + ttl_s * _US
         return (used, expiry), {"used_before": before, "verdict": verdict,
                                 "remaining": max(0, limit - used)}
+    return step
 
+
+def usage_verdicts(requests: DataFrame, key: str, ts: str, tiebreak: str, counted: Column,
+                   ttl_s: int = ANON_TTL_S, limit: int = ANON_LIMIT) -> DataFrame:
+    """T1 per-request verdict with the exact feedback of the source.
+
+    Before each request the counter is dropped if its expiry passed; a request
+    is ``blocked`` when ``used >= limit``; an allowed request that is a counted
+    use (``counted``) increments the counter and renews the expiry to
+    ``ts + ttl``.  Blocked requests neither count nor renew.
+    """
+    src = requests.withColumn("_counted", counted.cast("boolean"))
+    schema = T.StructType(src.schema.fields + [T.StructField("used_before", T.LongType()),
+                                               T.StructField("verdict", T.StringType()),
+                                               T.StructField("remaining", T.LongType())])
+    step = usage_step(ts, ttl_s, limit)
     return _walk(src, key, [ts, tiebreak], schema, step).drop("_counted")
 
 
