@@ -123,3 +123,76 @@ FROM conversations
 def ordinal_ref_q(spark, sf):
     conv = Tables(spark, sf).conversations
     return conv.select("conv_id", "turn", tx.ordinal_ref("text").cast("long").alias("ordinal"))
+
+
+# --- M13-M16: routing and follow-up answers ------------------------------------
+def _book_meta(t: Tables):
+    """Catalogue derived from part: one book per part name (its first part)."""
+    first = t.part.groupBy("p_name").agg(F.min_by(F.struct("p_brand", "p_size", "p_type"), "p_partkey").alias("f"))
+    return first.select(c("p_name").alias("title"), c("f.p_brand").alias("author"),
+                        (F.lit(1990) + c("f.p_size")).cast("long").alias("year"),
+                        F.when(c("f.p_type") != "PROMO", F.lit(100) + F.lit(10) * c("f.p_size")).cast("long")
+                        .alias("pages"), c("f.p_type").alias("p_type"), c("f.p_size").alias("p_size"))
+
+
+def _book_summaries(t: Tables):
+    from shiftwise.operators.sets import priority_union
+    meta = _book_meta(t)
+    js = meta.where(c("p_size") > 10).select("title", F.concat(F.lit("Summary: "), F.lower("p_type"), F.lit(" "),
+                                                                 c("title")).alias("summary"))
+    md = meta.select("title", F.concat(F.lit("Catalogue entry for "), c("title")).alias("summary"))
+    return priority_union([js, md], ["title"])
+
+
+_META_SQL = """
+first AS (SELECT p_name AS title, arg_min(p_brand, p_partkey) AS author, arg_min(p_size, p_partkey) AS p_size,
+                 arg_min(p_type, p_partkey) AS p_type FROM part GROUP BY p_name),
+meta AS (SELECT title, author, CAST(1990 + p_size AS BIGINT) AS year,
+                CAST(CASE WHEN p_type <> 'PROMO' THEN 100 + 10 * p_size END AS BIGINT) AS pages, p_type, p_size FROM first),
+summ AS (SELECT title, 'Summary: ' || lower(p_type) || ' ' || title AS summary FROM meta WHERE p_size > 10
+         UNION ALL
+         SELECT title, 'Catalogue entry for ' || title FROM meta WHERE NOT (p_size > 10))
+"""
+
+
+@query("metadata_answer", f"""
+WITH {_META_SQL},
+q AS (SELECT v.conv_id, v.turn, v.text, p.p_name AS title, lower(COALESCE(v.text, '')) AS ql
+      FROM conversations v LEFT JOIN part p ON p.p_partkey = v.conv_id WHERE v.role = 'user')
+SELECT q.conv_id, q.turn, q.title,
+  CASE WHEN q.title IS NULL THEN NULL
+       WHEN strpos(ql, 'pagin') > 0 THEN CASE WHEN m.pages IS NOT NULL THEN '„' || q.title || '” are ' || CAST(m.pages AS VARCHAR) || ' pagini.'
+            ELSE 'Nu am local numărul de pagini pentru „' || q.title || '”. Pot însă să-ți ofer rezumatul sau alte recomandări.' END
+       WHEN strpos(ql, 'autor') > 0 OR strpos(ql, 'scris') > 0 THEN CASE WHEN m.author IS NOT NULL THEN '„' || q.title || '” este scrisă de ' || m.author || '.'
+            ELSE 'Nu am local autorul pentru „' || q.title || '”. Pot să-ți ofer rezumatul sau alte recomandări.' END
+       WHEN strpos(ql, 'anul') > 0 OR strpos(ql, 'publicat') > 0 OR strpos(ql, 'aparit') > 0 THEN CASE WHEN m.year IS NOT NULL THEN '„' || q.title || '” a fost publicată în ' || CAST(m.year AS VARCHAR) || '.'
+            ELSE 'Nu am local anul apariției pentru „' || q.title || '”. Pot să-ți ofer rezumatul sau alte recomandări.' END
+       ELSE 'Despre „' || q.title || '”: iată rezumatul pe scurt.' END AS answer,
+  CASE WHEN strpos(ql, 'pagin') > 0 OR strpos(ql, 'autor') > 0 OR strpos(ql, 'scris') > 0 OR strpos(ql, 'anul') > 0
+            OR strpos(ql, 'publicat') > 0 OR strpos(ql, 'aparit') > 0 THEN NULL
+       WHEN q.title IS NULL THEN NULL
+       WHEN s.summary IS NOT NULL AND trim(s.summary) <> '' THEN s.summary
+       ELSE 'Rezumat indisponibil pentru acest titlu.' END AS answer_summary
+FROM q LEFT JOIN meta m ON m.title = q.title LEFT JOIN summ s ON s.title = q.title
+""")
+def metadata_answer_q(spark, sf):
+    from shiftwise.operators.routing import metadata_answer
+    t = Tables(spark, sf)
+    qs = (t.conversations.where(c("role") == "user").select("conv_id", "turn", "text")
+          .join(t.part.select(c("p_partkey").alias("conv_id"), c("p_name").alias("title")), "conv_id", "left"))
+    res = metadata_answer(qs, "text", "title", _book_meta(t).select("title", "author", "year", "pages"),
+                          _book_summaries(t))
+    return res.select("conv_id", "turn", "title", "answer", "answer_summary")
+
+
+@query("route_queries")
+def route_queries_q(spark, sf):
+    """M14 status chain per user turn of each conversation (sequential context): rows-only."""
+    from shiftwise.operators.routing import candidate_prompt, keyword_shortlist, route_queries
+    t = Tables(spark, sf)
+    qs = t.conversations.where(c("role") == "user").select(
+        "conv_id", "turn", "text", F.concat_ws(":", c("conv_id").cast("string"), c("turn").cast("string")).alias("qid"))
+    hits = keyword_shortlist(qs, "qid", "text", _title_keys(t), "p_name", "pos", k=5)
+    routed = route_queries(qs, "conv_id", "turn", "text", hits, "qid")
+    return routed.select("conv_id", "turn", "status", "selected_title", "context_title",
+                         F.when(c("status") == "candidates", candidate_prompt(c("shortlist"))).alias("prompt"))
