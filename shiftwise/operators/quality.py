@@ -178,3 +178,25 @@ def sequential_rules(df: DataFrame, *, group: Sequence[str], order: str | Sequen
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartition(n, *group).sortWithinPartitions(*group, *order)
     return ordered.mapInPandas(walk, out_schema)
+
+
+# --- Q3, Q10: lengths and formats ----------------------------------------------
+# Address syntax accepted for e-mails: local part of the usual atom characters
+# and dots, "@", dot-separated domain labels, alphabetic top-level domain.
+EMAIL_PATTERN = r"^[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"
+
+
+def invalid_email(col: str) -> Column:
+    """Q10: set but not an address."""
+    return F.col(col).isNotNull() & ~F.col(col).rlike(EMAIL_PATTERN)
+
+
+def length_outside(col: str, lo: int | None = None, hi: int | None = None) -> Column:
+    """Q3: character length outside [lo, hi] (user name 3..30, password >= 8)."""
+    n = F.length(F.col(col))
+    cond = F.lit(False)
+    if lo is not None:
+        cond = cond | (n < lo)
+    if hi is not None:
+        cond = cond | (n > hi)
+    return F.col(col).isNotNull() & cond
