@@ -125,9 +125,38 @@ def daily_limit_compat(spark, sf):
     return _rules(spark, sf, "compat")
 
 
-@query("daily_limit_sequential")
+_SEQ_SQL = """
+WITH RECURSIVE t AS (
+  SELECT l.l_orderkey, CAST(l.l_linenumber AS BIGINT) AS l_linenumber, l.l_partkey, l.l_suppkey,
+         CASE l.l_returnflag WHEN 'N' THEN 'REG' WHEN 'A' THEN 'OVT' ELSE 'TRV' END AS time_type,
+         CAST(l.l_quantity AS BIGINT) AS hours, CAST(40 + 10 * n.n_regionkey AS BIGINT) AS daily_limit
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+  JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn FROM t),
+s AS (
+  SELECT l_orderkey, rn, l_linenumber, l_partkey, l_suppkey, time_type, hours, daily_limit,
+         CAST(0 AS BIGINT) AS existing_hours,
+         CASE WHEN time_type = 'REG' AND hours > daily_limit THEN 20001
+              WHEN time_type = 'OVT' AND hours > 30 THEN 20003 END AS error_code,
+         CAST(CASE WHEN time_type = 'REG' AND hours <= daily_limit THEN hours ELSE 0 END AS BIGINT) AS recorded
+  FROM r WHERE rn = 1
+  UNION ALL
+  SELECT r.l_orderkey, r.rn, r.l_linenumber, r.l_partkey, r.l_suppkey, r.time_type, r.hours, r.daily_limit,
+         s.recorded,
+         CASE WHEN r.time_type = 'REG' AND r.hours > r.daily_limit THEN 20001
+              WHEN r.time_type = 'REG' AND s.recorded + r.hours > r.daily_limit THEN 20002
+              WHEN r.time_type = 'OVT' AND r.hours > 30 THEN 20003 END,
+         s.recorded + CASE WHEN r.time_type = 'REG' AND s.recorded + r.hours <= r.daily_limit THEN r.hours ELSE 0 END
+  FROM s JOIN r ON r.l_orderkey = s.l_orderkey AND r.rn = s.rn + 1)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, time_type, hours, daily_limit, existing_hours,
+       CAST(error_code AS BIGINT) AS error_code
+FROM s
+"""
+
+
+@query("daily_limit_sequential", _SEQ_SQL)
 def daily_limit_sequential(spark, sf):
-    """Insert-by-insert form (rejected rows do not count): rows-only check."""
+    """Insert-by-insert form (rejected rows do not count); recursive-CTE oracle."""
     cand = _candidates(Tables(spark, sf)).drop("l_shipdate")
     res = qc.sequential_rules(cand, group=["l_orderkey"], order=LINE_ORDER, hours="hours",
                               time_type="time_type", limit="daily_limit", overtime_cap=30)
