@@ -185,9 +185,61 @@ def metadata_answer_q(spark, sf):
     return res.select("conv_id", "turn", "title", "answer", "answer_summary")
 
 
-@query("route_queries")
+def _route_sql() -> str:
+    intent = (f"CASE WHEN {_sql_has(tx.INTENT_CODE)} THEN 'out_of_scope' "
+              f"WHEN {_sql_has(tx.INTENT_ORDINAL)} THEN 'ordinal' "
+              f"WHEN {_sql_has(tx.INTENT_PAGES)} OR {_sql_has(tx.INTENT_AUTHOR)} OR {_sql_has(tx.INTENT_YEAR)} "
+              f"OR {_sql_has(tx.INTENT_THIS_BOOK)} THEN 'book_followup' ELSE 'recommendation' END")
+    offensive = (f"list_has_any(regexp_extract_all(lower(COALESCE(text, '')), '{tx.TOKEN_PATTERN}'), {_WORDS_SQL})")
+    return f"""
+WITH RECURSIVE {_KEYS_SQL},
+tw AS (SELECT DISTINCT key AS title, pos, unnest(list_distinct(regexp_extract_all(lower(key), '[\\pL\\pN]{{3,}}'))) AS w FROM k),
+u AS (SELECT conv_id, turn, text, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS rn
+      FROM conversations WHERE role = 'user'),
+qw AS (SELECT DISTINCT conv_id, turn, unnest(list_distinct(regexp_extract_all(lower(COALESCE(text, '')), '[\\pL\\pN]{{3,}}'))) AS w FROM u),
+sc AS (SELECT qw.conv_id, qw.turn, tw.title, tw.pos, COUNT(*) AS score FROM qw JOIN tw ON qw.w = tw.w
+       GROUP BY qw.conv_id, qw.turn, tw.title, tw.pos),
+top AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, pos) AS r FROM sc),
+sl AS (SELECT conv_id, turn, list(title ORDER BY r) AS shortlist FROM top WHERE r <= 5 GROUP BY conv_id, turn),
+p AS (SELECT u.conv_id, u.turn, u.rn,
+             {_STRIP.format(x="COALESCE(u.text, '')")} = '' AS is_empty,
+             {offensive.replace("text", "u.text")} AS offensive,
+             {intent.replace("COALESCE(text", "COALESCE(u.text")} AS intent,
+             {_ordinal_sql().replace("COALESCE(text", "COALESCE(u.text")} AS ord,
+             COALESCE(sl.shortlist, CAST([] AS VARCHAR[])) AS shortlist
+      FROM u LEFT JOIN sl ON u.conv_id = sl.conv_id AND u.turn = sl.turn),
+s AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS VARCHAR) AS status,
+         CAST(NULL AS VARCHAR) AS selected_title, CAST(NULL AS VARCHAR) AS context_title,
+         CAST(NULL AS VARCHAR[]) AS shortlist, 0 AS used, CAST([] AS VARCHAR[]) AS last_list,
+         CAST(NULL AS VARCHAR) AS last_title
+  FROM p
+  UNION ALL
+  SELECT p.conv_id, p.rn, p.turn, x.status,
+         CASE x.status WHEN 'followup' THEN s.last_title WHEN 'ordinal_pick' THEN s.last_list[p.ord]
+                       WHEN 'candidates' THEN p.shortlist[1] END,
+         s.last_title, p.shortlist,
+         s.used + CASE WHEN x.status IN ('ordinal_pick', 'candidates') THEN 1 ELSE 0 END,
+         CASE WHEN x.status = 'candidates' THEN p.shortlist ELSE s.last_list END,
+         CASE WHEN x.status = 'candidates' THEN p.shortlist[1] ELSE s.last_title END
+  FROM s JOIN p ON p.conv_id = s.conv_id AND p.rn = s.rn + 1,
+       LATERAL (SELECT CASE WHEN p.is_empty THEN 'empty'
+                            WHEN s.used >= 3 THEN 'blocked'
+                            WHEN p.offensive THEN 'offensive'
+                            WHEN p.intent = 'out_of_scope' THEN 'out_of_scope'
+                            WHEN p.intent = 'book_followup' THEN CASE WHEN s.last_title IS NULL THEN 'need_title' ELSE 'followup' END
+                            WHEN p.ord IS NOT NULL AND p.ord >= 1 AND p.ord <= len(s.last_list) THEN 'ordinal_pick'
+                            WHEN len(p.shortlist) = 0 THEN 'no_results'
+                            ELSE 'candidates' END AS status) x)
+SELECT conv_id, turn, status, selected_title, context_title,
+       CASE WHEN status = 'candidates' THEN 'Candidați disponibili: ' || array_to_string(shortlist, ', ') END AS prompt
+FROM s WHERE rn > 0
+"""
+
+
+@query("route_queries", _route_sql())
 def route_queries_q(spark, sf):
-    """M14 status chain per user turn of each conversation (sequential context): rows-only."""
+    """M14 status chain per user turn of each conversation (sequential context); recursive-CTE oracle."""
     from shiftwise.operators.routing import candidate_prompt, keyword_shortlist, route_queries
     t = Tables(spark, sf)
     qs = t.conversations.where(c("role") == "user").select(
