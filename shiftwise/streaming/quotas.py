@@ -27,15 +27,51 @@ OTP_HOURLY_LIMIT = 5
 
 
 # --- T1 -----------------------------------------------------------------------
+def gap_session_buckets(df: DataFrame, key: str, ts: str, ttl_s: int, strict_gap: bool = False) -> DataFrame:
+    """Session numbers of (key, TTL-wide time bucket) for gap sessions with gap ``ttl_s``.
+
+    Two events in the same bucket are less than one TTL apart, so a session
+    can only start at the first event of a bucket: when the key's previous
+    bucket is empty, or its last event is at least (``strict_gap``: more
+    than) one TTL before this bucket's first event.  The per-bucket summary
+    is an aggregate with a map-side partial phase, so a key holding a third
+    of all events is reduced in every task; the per-key window then runs over
+    buckets only (time span / TTL rows per key), never over the events.
+    Returns ``key, _bucket, _first, _last, _n, session_no``.
+    """
+    b = F.floor(epoch_seconds(ts) / F.lit(ttl_s)).cast("long")
+    per = df.groupBy(key, b.alias("_bucket")).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"),
+                                                 F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(key).orderBy("_bucket")
+    prev_b = F.lag("_bucket").over(w)
+    prev_last = F.lag("_last").over(w)
+    ttl = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl_s))
+    far = (F.col("_first") > prev_last + ttl) if strict_gap else (F.col("_first") >= prev_last + ttl)
+    brk = F.when(prev_b.isNull() | (prev_b != F.col("_bucket") - 1) | far, 1).otherwise(0)
+    return per.withColumn("session_no", F.sum(brk).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+
+
 def usage_sessions(uses: DataFrame, key: str, ts: str, ttl_s: int = ANON_TTL_S,
                    limit: int = ANON_LIMIT) -> DataFrame:
     """T1 aggregate form: a counter renewed by every use resets after a TTL gap.
 
-    One row per (key, session): start, expiry (last use + TTL), uses,
+    One row per (key, session): first use, expiry (last use + TTL), uses,
     remaining = max(0, limit - uses) and the verdict for the next request.
-    Spark's batch ``session_window`` sorts each key's uses and merges them
-    in one streaming pass.
+    Built on ``gap_session_buckets`` (skew-safe); the streaming form uses
+    ``session_window`` with a watermark.
     """
+    per = gap_session_buckets(uses, key, ts, ttl_s)
+    s = per.groupBy(key, "session_no").agg(F.sum("_n").alias("uses"), F.min("_first").alias("first_use"),
+                                          F.max("_last").alias("last_use"))
+    ttl = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl_s))
+    return s.select(key, "first_use", (F.col("last_use") + ttl).alias("expires"), F.col("uses").cast("long").alias("uses"),
+                    F.greatest(F.lit(limit) - F.col("uses"), F.lit(0)).cast("long").alias("remaining"),
+                    F.when(F.col("uses") >= limit, "blocked").otherwise("open").alias("verdict"))
+
+
+def usage_sessions_windowed(uses: DataFrame, key: str, ts: str, ttl_s: int = ANON_TTL_S,
+                            limit: int = ANON_LIMIT) -> DataFrame:
+    """T1 with ``session_window`` (the form used on streams)."""
     s = uses.groupBy(key, F.session_window(ts, f"{ttl_s} seconds").alias("w")).agg(
         F.count(F.lit(1)).alias("uses"), F.min(ts).alias("first_use"), F.max(ts).alias("last_use"))
     return s.select(key, "first_use", F.col("w.end").alias("expires"), F.col("uses").cast("long").alias("uses"),
@@ -174,16 +210,13 @@ def context_sessions(events: DataFrame, key: str, ts: str, tiebreak: str, ttl_s:
 
     ``strict_gap=True``: expired only when the gap exceeds the TTL (in-memory
     variant, ``last + ttl < now``); ``False``: expired once the gap reaches
-    the TTL (key with expiry).  Adds ``ctx_session`` (1, 2, ... per key).
+    the TTL (key with expiry).  Adds ``ctx_session`` (1, 2, ... per key) from
+    ``gap_session_buckets`` joined back on (key, bucket).
     """
-    w = Window.partitionBy(key).orderBy(ts, tiebreak)
-    prev = F.lag(F.col(ts)).over(w)
-    ttl = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl_s))
-    expired = (F.col(ts) > prev + ttl) if strict_gap else (F.col(ts) >= prev + ttl)
-    brk = F.when(prev.isNull(), 1).when(expired, 1).otherwise(0)
-    return (events.withColumn("_brk", brk)
-            .withColumn("ctx_session", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-            .drop("_brk"))
+    per = gap_session_buckets(events, key, ts, ttl_s, strict_gap).select(key, "_bucket", "session_no")
+    b = F.floor(epoch_seconds(ts) / F.lit(ttl_s)).cast("long")
+    return (events.withColumn("_bucket", b).join(per, [key, "_bucket"])
+            .withColumnRenamed("session_no", "ctx_session").drop("_bucket"))
 
 
 def session_context(events: DataFrame, key: str, ts: str, tiebreak: str, fields: dict[str, Column],

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from shiftwise.streaming.quotas import ANON_LIMIT, ANON_TTL_S, OTP_TTL_S, _epoch, usage_sessions, usage_step
+from shiftwise.streaming.quotas import ANON_LIMIT, ANON_TTL_S, OTP_TTL_S, _epoch, usage_sessions_windowed, usage_step
 
 _US = 1_000_000
 
@@ -38,7 +38,7 @@ def event_time(df: DataFrame, ts: str) -> DataFrame:
 def usage_sessions_stream(uses: DataFrame, key: str, ts: str, watermark: str = "1 day",
                           ttl_s: int = ANON_TTL_S, limit: int = ANON_LIMIT) -> DataFrame:
     """T1 aggregate form on a stream (append mode after the watermark)."""
-    return usage_sessions(event_time(uses, ts).withWatermark(ts, watermark), key, ts, ttl_s, limit)
+    return usage_sessions_windowed(event_time(uses, ts).withWatermark(ts, watermark), key, ts, ttl_s, limit)
 
 
 def _sorted(pdfs, order):

@@ -71,3 +71,12 @@ def test_blend_weights_sum_to_one(spark):
     df = spark.createDataFrame([(0.9, 0.5, 0.2), (0.8, 0.6, 0.3), (0.7, 0.4, 0.1)], "a double, b double, c double")
     best = ml.fit_blend_weights(df, ["a", "b", "c"], step=0.1).collect()[0]
     assert abs(best.w1 + best.w2 + best.w3 - 1) < 1e-9 and best.w1 == 1.0
+
+
+def test_bucketed_gap_sessions_equal_session_window(spark, sf_dir):
+    from shiftwise.streaming import quotas as qt
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts")
+    for ttl in (600, 3600, 86400):
+        a = qt.usage_sessions(ev, "user_id", "ts", ttl_s=ttl).collect()
+        b = qt.usage_sessions_windowed(ev, "user_id", "ts", ttl_s=ttl).collect()
+        assert sorted(a) == sorted(b), ttl
