@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -21,6 +23,35 @@ DEFAULT_CONF = {
 }
 
 
+_shipped: set[str] = set()
+_ship_lock = threading.Lock()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``shiftwise`` importable in the Python workers (``--py-files`` equivalent).
+
+    Pandas UDFs pickle references to module-level helpers, so executors must
+    be able to import the package.  A zip of the package is added once per
+    application with ``addPyFile``; Spark's file server distributes it to
+    every executor, including ones started later.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    with _ship_lock:
+        if app in _shipped:
+            return
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        out = os.path.join(tempfile.mkdtemp(prefix="shiftwise-pyfiles-"), "shiftwise.zip")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for root, _, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(root, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+        sc.addPyFile(out)
+        _shipped.add(app)
+
+
 def get_spark(app: str = "shiftwise", master: str | None = None,
               shuffle_partitions: int | None = None, conf: dict | None = None) -> SparkSession:
     """Return the active session or build one with the defaults above."""
@@ -33,6 +64,7 @@ def get_spark(app: str = "shiftwise", master: str | None = None,
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
