@@ -205,7 +205,7 @@ def send_verdicts(attempts: DataFrame, key: str, ts: str, tiebreak: str,
 
 # --- T4 ---------------------------------------------------------------------------
 def context_sessions(events: DataFrame, key: str, ts: str, tiebreak: str, ttl_s: int,
-                     strict_gap: bool) -> DataFrame:
+                     strict_gap: bool, keep_bucket: bool = False) -> DataFrame:
     """Gap sessions of a context that every access renews.
 
     ``strict_gap=True``: expired only when the gap exceeds the TTL (in-memory
@@ -215,28 +215,47 @@ def context_sessions(events: DataFrame, key: str, ts: str, tiebreak: str, ttl_s:
     """
     per = gap_session_buckets(events, key, ts, ttl_s, strict_gap).select(key, "_bucket", "session_no")
     b = F.floor(epoch_seconds(ts) / F.lit(ttl_s)).cast("long")
-    return (events.withColumn("_bucket", b).join(per, [key, "_bucket"])
-            .withColumnRenamed("session_no", "ctx_session").drop("_bucket"))
+    out = (events.withColumn("_bucket", b).join(per, [key, "_bucket"])
+           .withColumnRenamed("session_no", "ctx_session"))
+    return out if keep_bucket else out.drop("_bucket")
 
 
 def session_context(events: DataFrame, key: str, ts: str, tiebreak: str, fields: dict[str, Column],
                     ttl_s: int = 3600, nulls_overwrite: bool = True, strict_gap: bool = True) -> DataFrame:
     """T4: the context after each event: latest value of each field in the session.
 
-    ``fields`` maps a context field to the value an event writes (NULL when
-    the event does not write it).  Variant B (default, TTL 3600 s) lets an
-    explicit NULL overwrite; variant A (``nulls_overwrite=False``, TTL 1800 s)
-    keeps the previous value.  Fields an event does not touch are
-    distinguished from explicit NULLs by a ``writes`` flag per field.
+    ``fields`` maps a context field to the value an event writes: a column
+    (NULL = no write) or a ``(writes, value)`` pair when explicit NULL
+    writes must be told apart.  Variant B (default, TTL 3600 s) is the
+    one the chat route uses; variant A (``nulls_overwrite=False``, TTL 1800 s,
+    gap reached at the TTL) keeps the previous value on NULL updates.
+
+    The running "latest value" is split the same way as the sessions: inside
+    a TTL bucket a window over that bucket's rows, across buckets the value
+    at the end of each earlier bucket of the same session, carried by a
+    window over bucket summaries.  No window ever spans a whole session.
     """
-    s = context_sessions(events, key, ts, tiebreak, ttl_s, strict_gap)
-    w = Window.partitionBy(key, "ctx_session").orderBy(ts, tiebreak).rowsBetween(Window.unboundedPreceding, 0)
-    for name, value in fields.items():
-        if nulls_overwrite:
-            s = s.withColumn(name, F.last(value, ignorenulls=True).over(w))
-        else:
-            s = s.withColumn(name, F.last(F.when(value.isNotNull(), value), ignorenulls=True).over(w))
-    return s
+    s = context_sessions(events, key, ts, tiebreak, ttl_s, strict_gap, keep_bucket=True)
+    order = F.struct(F.col(ts), F.col(tiebreak))
+    inb = Window.partitionBy(key, "_bucket").orderBy(ts, tiebreak).rowsBetween(Window.unboundedPreceding, 0)
+    # A write is a struct holding the value, so an explicit NULL write (variant
+    # B) is a non-NULL struct and overwrites; rows that do not write give NULL.
+    writes = {}
+    for name, spec in fields.items():
+        cond, value = spec if isinstance(spec, tuple) else (spec.isNotNull(), spec)
+        keep = cond if nulls_overwrite else (cond & value.isNotNull())
+        writes[name] = F.when(keep, F.struct(value.alias("v")))
+    for name, w in writes.items():
+        s = s.withColumn(f"_w_{name}", w)
+    ends = s.groupBy(key, "ctx_session", "_bucket").agg(
+        *[F.max_by(F.col(f"_w_{n}"), F.when(F.col(f"_w_{n}").isNotNull(), order)).alias(f"_e_{n}") for n in writes])
+    carry_w = Window.partitionBy(key, "ctx_session").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(key, "ctx_session", "_bucket",
+                       *[F.last(f"_e_{n}", ignorenulls=True).over(carry_w).alias(f"_c_{n}") for n in writes])
+    s = s.join(ends, [key, "ctx_session", "_bucket"])
+    for n in writes:
+        s = s.withColumn(n, F.coalesce(F.last(f"_w_{n}", ignorenulls=True).over(inb), F.col(f"_c_{n}"))["v"])
+    return s.drop("_bucket", *[f"_w_{n}" for n in writes], *[f"_c_{n}" for n in writes])
 
 
 # --- J12 / T7 ------------------------------------------------------------------------

@@ -80,3 +80,18 @@ def test_bucketed_gap_sessions_equal_session_window(spark, sf_dir):
         a = qt.usage_sessions(ev, "user_id", "ts", ttl_s=ttl).collect()
         b = qt.usage_sessions_windowed(ev, "user_id", "ts", ttl_s=ttl).collect()
         assert sorted(a) == sorted(b), ttl
+
+
+def test_context_variants(spark):
+    from shiftwise.streaming import quotas as qt
+    rows = [(1, "s", "2024-01-01 00:00:00", "a"), (2, "s", "2024-01-01 00:10:00", None),
+            (3, "s", "2024-01-01 01:40:00", "b"), (4, "s", "2024-01-01 05:00:00", None)]
+    df = spark.createDataFrame(rows, "id long, k string, t string, v string").withColumn(
+        "ts", F.col("t").cast("timestamp_ntz"))
+    writes = F.col("id") != 3  # event 3 does not touch the field; 2 and 4 write NULL
+    b = qt.session_context(df, "k", "ts", "id", {"f": (writes, F.col("v"))}, ttl_s=3600, nulls_overwrite=True)
+    a = qt.session_context(df, "k", "ts", "id", {"f": (writes, F.col("v"))}, ttl_s=3600, nulls_overwrite=False)
+    gb = {r.id: (r.ctx_session, r.f) for r in b.collect()}
+    ga = {r.id: (r.ctx_session, r.f) for r in a.collect()}
+    assert gb == {1: (1, "a"), 2: (1, None), 3: (2, None), 4: (3, None)}
+    assert ga == {1: (1, "a"), 2: (1, "a"), 3: (2, None), 4: (3, None)}
