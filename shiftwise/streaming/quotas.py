@@ -119,6 +119,21 @@ def _later_by(a: Column, b: Column, seconds: int) -> Column:
     return a >= b + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
 
 
+def _segmented(df: DataFrame, key: str, ts: str, reset_gap_s: int) -> DataFrame:
+    """Add ``_seg``: key + gap-session number for a gap that guarantees a state reset.
+
+    When no event of a key happened for ``reset_gap_s`` seconds, every state
+    with a lifetime up to that gap has expired, so the walk can restart
+    there: segments are independent and a hot key's history is spread over
+    many tasks instead of one.
+    """
+    per = gap_session_buckets(df, key, ts, reset_gap_s).select(key, "_bucket", "session_no")
+    b = F.floor(epoch_seconds(ts) / F.lit(reset_gap_s)).cast("long")
+    out = df.withColumn("_bucket", b).join(per, [key, "_bucket"])
+    return out.withColumn("_seg", F.concat_ws("#", F.col(key).cast("string"), F.col("session_no").cast("string"))
+                          ).drop("_bucket", "session_no")
+
+
 def _epoch(x) -> int:
     """Microseconds since the epoch of a wall-clock timestamp (exact integer)."""
     return pd.Timestamp(x).value // 1000
@@ -155,12 +170,12 @@ def usage_verdicts(requests: DataFrame, key: str, ts: str, tiebreak: str, counte
     use (``counted``) increments the counter and renews the expiry to
     ``ts + ttl``.  Blocked requests neither count nor renew.
     """
-    src = requests.withColumn("_counted", counted.cast("boolean"))
+    src = _segmented(requests.withColumn("_counted", counted.cast("boolean")), key, ts, ttl_s)
     schema = T.StructType(src.schema.fields + [T.StructField("used_before", T.LongType()),
                                                T.StructField("verdict", T.StringType()),
                                                T.StructField("remaining", T.LongType())])
     step = usage_step(ts, ttl_s, limit)
-    return _walk(src, key, [ts, tiebreak], schema, step).drop("_counted")
+    return _walk(src, "_seg", [ts, tiebreak], schema, step).drop("_counted", "_seg")
 
 
 # --- T2, T3 ---------------------------------------------------------------------
@@ -185,7 +200,9 @@ def send_verdicts(attempts: DataFrame, key: str, ts: str, tiebreak: str,
     counter of the clock hour is incremented by every attempt that passes the
     cooldown test, allowed while it stays <= limit.
     """
-    schema = T.StructType(attempts.schema.fields + [T.StructField("verdict", T.StringType())])
+    # A one-hour gap ends both the cooldown and the clock hour: independent segments.
+    src = _segmented(attempts, key, ts, max(3600, cooldown_s))
+    schema = T.StructType(src.schema.fields + [T.StructField("verdict", T.StringType())])
 
     def step(state, r):
         cool_until, hour, count = state or (-np.inf, None, 0)
@@ -200,7 +217,7 @@ def send_verdicts(attempts: DataFrame, key: str, ts: str, tiebreak: str,
             return (t + cooldown_s * _US, hour, count), {"verdict": "sent"}
         return (cool_until, hour, count), {"verdict": "hourly_limit"}
 
-    return _walk(attempts, key, [ts, tiebreak], schema, step)
+    return _walk(src, "_seg", [ts, tiebreak], schema, step).drop("_seg")
 
 
 # --- T4 ---------------------------------------------------------------------------
