@@ -203,6 +203,20 @@ def audit_rows(adjusted: DataFrame, id_col: str, salary: str, new_salary: str, s
         F.col("r.log_message").alias("log_message"))
 
 
+def update_with_audit(table: DataFrame, id_col: str, salary: str, commission: str, table_path: str,
+                      log_path: str, debug: bool = True, default_pct: float = 0.02) -> str:
+    """D14 end to end: adjust, write the audit log first (append; it survives a
+    failed table write, like the autonomous log transaction), then the new
+    table version (staged)."""
+    adjusted = adjust_salary(table, salary, commission, default_pct)
+    seq = assign_keys(adjusted, [id_col], "_seq")
+    total = adjusted.agg(F.count(F.lit(1))).scalar()
+    log = filter_log(bracket_log(audit_rows(seq, id_col, salary, "new_salary", "_seq"), total), debug)
+    log.write.mode("append").parquet(log_path)
+    new_table = adjusted.withColumn(salary, F.col("new_salary")).drop("new_salary", "branch")
+    return stage_and_swap(new_table, table_path)
+
+
 def bracket_log(body: DataFrame, total: Column, module: str = "SALARY.ADJUST") -> DataFrame:
     """START (id 1) and END (id 3 * total + 2) rows around an audit body."""
     spark = body.sparkSession

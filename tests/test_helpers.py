@@ -41,3 +41,18 @@ def test_top_k_ties_broken_by_order(spark):
     df = spark.createDataFrame([(1, "u", 5.0), (2, "u", 5.0), (3, "u", 1.0), (4, "v", 2.0)], "id int, g string, x double")
     got = sorted(r.id for r in top_k_per_group(df, ["g"], [F.col("x").desc(), "id"], 1).collect())
     assert got == [1, 4]
+
+
+def test_refined_blend_and_audit_update(spark, tmp_path):
+    from shiftwise.operators import ml
+    df = spark.createDataFrame([(0.9, 0.5, 0.2), (0.6, 0.7, 0.3), (0.7, 0.4, 0.6)], "a double, b double, c double")
+    coarse = ml.fit_blend_weights(df, ["a", "b", "c"], 0.1).first()
+    fine = ml.refine_blend_weights(df, ["a", "b", "c"], 0.1, 0.02).first()
+    assert fine.log_loss <= coarse.log_loss + 1e-12
+    assert abs(fine.w1 + fine.w2 + fine.w3 - 1) < 1e-9
+    sal = spark.createDataFrame([(1, 1000.0, 0.2), (2, 1000.0, None)], "emp long, salary double, pct double")
+    path = wh.update_with_audit(sal, "emp", "salary", "pct", str(tmp_path / "salary"), str(tmp_path / "log"))
+    new = {r.emp: float(r.salary) for r in spark.read.parquet(path).collect()}
+    assert new == {1: 1200.0, 2: 1020.0}
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert log.count() == 2 * 3 + 2 and log.where("log_level = 'WARNING'").count() == 1
