@@ -106,6 +106,8 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence) -> DataFra
     third of all rows is reduced in every task before the shuffle.
     """
     rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.select(*key).distinct()
     ordkey = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
     picked = df.groupBy(*key).agg(F.min_by(F.struct(*rest), ordkey).alias("_sw_row"))
     return picked.select(*key, *[F.col("_sw_row")[c].alias(c) for c in rest]).select(*df.columns)
