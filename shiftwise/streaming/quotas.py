@@ -192,18 +192,8 @@ def hourly_cap(attempts: DataFrame, key: str, ts: str, tiebreak: str,
             .withColumn("allowed", (F.col("attempt_no") <= limit).cast("int")))
 
 
-def send_verdicts(attempts: DataFrame, key: str, ts: str, tiebreak: str,
-                  cooldown_s: int = OTP_COOLDOWN_S, limit: int = OTP_HOURLY_LIMIT) -> DataFrame:
-    """T2 + T3 exact: cooldown first (a refusal there does not count), then the hourly cap.
-
-    An accepted send starts a cooldown of ``cooldown_s`` seconds; the hourly
-    counter of the clock hour is incremented by every attempt that passes the
-    cooldown test, allowed while it stays <= limit.
-    """
-    # A one-hour gap ends both the cooldown and the clock hour: independent segments.
-    src = _segmented(attempts, key, ts, max(3600, cooldown_s))
-    schema = T.StructType(src.schema.fields + [T.StructField("verdict", T.StringType())])
-
+def send_step(ts: str, cooldown_s: int = OTP_COOLDOWN_S, limit: int = OTP_HOURLY_LIMIT):
+    """State transition of the send guard: ``(cool_until_us, hour, count)`` x attempt -> verdict."""
     def step(state, r):
         cool_until, hour, count = state or (-np.inf, None, 0)
         t = _epoch(r[ts])
@@ -216,6 +206,21 @@ def send_verdicts(attempts: DataFrame, key: str, ts: str, tiebreak: str,
         if count <= limit:
             return (t + cooldown_s * _US, hour, count), {"verdict": "sent"}
         return (cool_until, hour, count), {"verdict": "hourly_limit"}
+    return step
+
+
+def send_verdicts(attempts: DataFrame, key: str, ts: str, tiebreak: str,
+                  cooldown_s: int = OTP_COOLDOWN_S, limit: int = OTP_HOURLY_LIMIT) -> DataFrame:
+    """T2 + T3 exact: cooldown first (a refusal there does not count), then the hourly cap.
+
+    An accepted send starts a cooldown of ``cooldown_s`` seconds; the hourly
+    counter of the clock hour is incremented by every attempt that passes the
+    cooldown test, allowed while it stays <= limit.
+    """
+    # A one-hour gap ends both the cooldown and the clock hour: independent segments.
+    src = _segmented(attempts, key, ts, max(3600, cooldown_s))
+    schema = T.StructType(src.schema.fields + [T.StructField("verdict", T.StringType())])
+    step = send_step(ts, cooldown_s, limit)
 
     return _walk(src, "_seg", [ts, tiebreak], schema, step).drop("_seg")
 

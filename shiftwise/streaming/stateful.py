@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from shiftwise.streaming.quotas import ANON_LIMIT, ANON_TTL_S, OTP_TTL_S, _epoch, usage_sessions_windowed, usage_step
+from shiftwise.streaming.quotas import (ANON_LIMIT, ANON_TTL_S, OTP_COOLDOWN_S, OTP_HOURLY_LIMIT, OTP_TTL_S, _epoch,
+                                       send_step, usage_sessions_windowed, usage_step)
 
 _US = 1_000_000
 
@@ -88,6 +89,44 @@ def usage_verdicts_stream(requests: DataFrame, key: str, ts: str, tiebreak: str,
                                                       GroupStateTimeout.EventTimeTimeout).drop("_counted"))
 
 
+def send_verdicts_stream(attempts: DataFrame, key: str, ts: str, tiebreak: str, watermark: str = "1 hour",
+                         cooldown_s: int = OTP_COOLDOWN_S, limit: int = OTP_HOURLY_LIMIT) -> DataFrame:
+    """T2 + T3 on a stream: state ``(cool_until, hour, count)`` per key, dropped
+    by an event-time timeout one hour after the last attempt."""
+    src = event_time(attempts, ts).withWatermark(ts, watermark)
+    out = T.StructType(src.schema.fields + [T.StructField("verdict", T.StringType())])
+    names = [f.name for f in out.fields]
+    step = send_step(ts, cooldown_s, limit)
+
+    def fn(k, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        cur = None
+        if state.exists:
+            cool, hour_us, count = state.get
+            cur = (cool, pd.Timestamp(hour_us, unit="us"), count)
+        pdf = _sorted(pdfs, [ts, tiebreak])
+        if pdf is None:
+            return
+        verdicts = []
+        for r in pdf.to_dict("records"):
+            cur, o = step(cur, r)
+            verdicts.append(o["verdict"])
+        pdf["verdict"] = verdicts
+        cool, hour, count = cur
+        cool_i = int(cool) if cool != -float("inf") else -1
+        state.update((cool_i, int(hour.value // 1000), int(count)))
+        last_us = _epoch(pdf[ts].iloc[-1])
+        state.setTimeoutTimestamp(max(int((last_us + 3600 * _US) // 1000), state.getCurrentWatermarkMs() + 1))
+        yield pdf[names]
+
+    state_schema = T.StructType([T.StructField("cool_until", T.LongType()), T.StructField("hour", T.LongType()),
+                                 T.StructField("count", T.LongType())])
+    return src.groupBy(key).applyInPandasWithState(fn, out, state_schema, "append",
+                                                   GroupStateTimeout.EventTimeTimeout)
+
+
 def validity_stream(events: DataFrame, key: str, ts: str, tiebreak: str, kind: str, code: str,
                     watermark: str = "10 minutes", ttl_s: int = OTP_TTL_S,
                     invalidate_on_use: bool = False) -> DataFrame:

@@ -78,3 +78,9 @@ def test_dedup_stream(spark, events_dir):
     got = _run(st.dedup_requests_stream(s, ["event_type", "user_id"], "ts", "365 days"), "dd_stream")
     exp = spark.read.parquet(events_dir).select("event_type", "user_id").distinct().count()
     assert got.count() == exp
+
+
+def test_send_verdicts_stream_equals_batch(spark, events_dir):
+    batch = qt.send_verdicts(spark.read.parquet(events_dir), "user_id", "ts", "event_id")
+    got = _run(st.send_verdicts_stream(_stream(spark, events_dir), "user_id", "ts", "event_id"), "sv_stream")
+    assert sorted(got.select("event_id", "verdict").collect()) == sorted(batch.select("event_id", "verdict").collect())
