@@ -131,3 +131,39 @@ def test_sinks(spark, tmp_path):
     lines = report_lines(rep, ["k"], [F.array(F.lit("Report")), F.array(optional_line("Worked: ", F.col("worked"), "%d")),
                                       F.array(optional_line("Overtime: ", F.col("ovt"), "%d")), F.col("sessions")])
     assert [r.line for r in lines.orderBy("line_no").collect()] == ["Report", "Worked: 8", "s1", "s2"]
+
+
+def test_request_stream_roundtrip(spark, tmp_path):
+    from shiftwise.sources.streams import read_request_stream, write_request_stream
+    src = tmp_path / "in"
+    events = spark.createDataFrame(
+        [("fibonacci", {"n": 10.0}, "55"), ("pow", {"x": 2.0, "y": 3.0}, "8.0"), ("prime", {"n": 7.0}, "True")],
+        "operation string, input map<string,double>, result string")
+    events.write.json(str(src))
+    stream = read_request_stream(spark, str(src))
+    q = write_request_stream(stream, str(tmp_path / "ckpt"), str(tmp_path / "out"), trigger={"availableNow": True})
+    q.awaitTermination(120)
+    back = spark.read.schema(stream.schema).json(str(tmp_path / "out"))
+    assert sorted((r.operation, r.result) for r in back.collect()) == [("fibonacci", "55"), ("pow", "8.0"), ("prime", "True")]
+    # a rerun of the same checkpoint appends nothing (exactly once)
+    q2 = write_request_stream(read_request_stream(spark, str(src)), str(tmp_path / "ckpt"), str(tmp_path / "out"),
+                              trigger={"availableNow": True})
+    q2.awaitTermination(120)
+    assert spark.read.schema(stream.schema).json(str(tmp_path / "out")).count() == 3
+
+
+def test_partial_update_clear_and_question_log(spark, tmp_path):
+    from shiftwise.operators.warehouse import partial_update
+    from shiftwise.sources.sinks import append_rows
+    cur = spark.createDataFrame([("u1", "a@x.ro", "dev", "junior"), ("u2", "b@x.ro", "qa", "senior")],
+                                "user_id string, email string, role string, seniority string")
+    patch = spark.createDataFrame([("u1", None, "lead", None)], "user_id string, email string, role string, seniority string")
+    got = {r.user_id: (r.email, r.role, r.seniority) for r in partial_update(cur, patch, ["user_id"]).collect()}
+    assert got == {"u1": ("a@x.ro", "lead", "junior"), "u2": ("b@x.ro", "qa", "senior")}
+    cleared = {r.user_id: r.seniority for r in partial_update(cur, patch.select("user_id"), ["user_id"],
+                                                             clear=["seniority"]).collect()}
+    assert cleared == {"u1": "", "u2": "senior"}
+    log = spark.createDataFrame([(1, "mentor", "How?", "2024-01-01 10:00:00")], "id long, persona string, question string, ts string")
+    append_rows(log, str(tmp_path / "qlog"))
+    append_rows(log, str(tmp_path / "qlog"))
+    assert spark.read.parquet(str(tmp_path / "qlog")).count() == 2
