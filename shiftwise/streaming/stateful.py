@@ -179,3 +179,66 @@ def validity_stream(events: DataFrame, key: str, ts: str, tiebreak: str, kind: s
 def dedup_requests_stream(requests: DataFrame, key_cols: list[str], ts: str, watermark: str = "1 hour") -> DataFrame:
     """T5 on a stream: the first request per input within the watermark is computed."""
     return event_time(requests, ts).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(key_cols)
+
+
+def session_context_stream(events: DataFrame, key: str, ts: str, tiebreak: str, fields: dict[str, Column],
+                           ttl_s: int = 3600, strict_gap: bool = True, watermark: str = "1 hour") -> DataFrame:
+    """T4 on a stream: per key the context (last touch, session number, field
+    values); an access after the TTL starts a new session.  Every event
+    renews the context (variant B); fields written as NULL are skipped
+    (pass only the written values).  Output: events with ``ctx_session`` and
+    the field values after the event."""
+    names_f = list(fields)
+    src = event_time(events.select("*", *[v.alias(f"_w_{n}") for n, v in fields.items()]), ts).withWatermark(ts, watermark)
+    out = T.StructType([f for f in src.schema.fields if not f.name.startswith("_w_")]
+                       + [T.StructField("ctx_session", T.LongType())]
+                       + [T.StructField(n, src.schema[f"_w_{n}"].dataType) for n in names_f])
+    names = [f.name for f in out.fields]
+
+    def fn(k, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if state.exists:
+            st_ = state.get
+            last, sess, vals = st_[0], st_[1], list(st_[2:])
+        else:
+            last, sess, vals = None, 0, [None] * len(names_f)
+        pdf = _sorted(pdfs, [ts, tiebreak])
+        if pdf is None:
+            return
+        sessions, cols = [], {n: [] for n in names_f}
+        for r in pdf.to_dict("records"):
+            t = _epoch(r[ts])
+            expired = last is None or ((t - last > ttl_s * _US) if strict_gap else (t - last >= ttl_s * _US))
+            if expired:
+                sess, vals = sess + 1, [None] * len(names_f)
+            for j, n in enumerate(names_f):
+                v = r[f"_w_{n}"]
+                if v is not None and not (isinstance(v, float) and v != v):
+                    vals[j] = v
+                cols[n].append(vals[j])
+            sessions.append(sess)
+            last = t
+        pdf["ctx_session"] = sessions
+        for n in names_f:
+            pdf[n] = cols[n]
+        state.update((int(last), int(sess), *vals))
+        state.setTimeoutTimestamp(max(int((last + ttl_s * _US) // 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pdf[names]
+
+    state_schema = T.StructType([T.StructField("last", T.LongType()), T.StructField("session", T.LongType())]
+                                + [T.StructField(n, src.schema[f"_w_{n}"].dataType) for n in names_f])
+    return src.groupBy(key).applyInPandasWithState(fn, out, state_schema, "append",
+                                                   GroupStateTimeout.EventTimeTimeout)
+
+
+def request_events_stream(requests: DataFrame, op: str, key_cols: list[str], ts: str,
+                          watermark: str = "1 hour") -> DataFrame:
+    """T6 on a stream: prime requests always emit an event (also on a cache
+    hit); other inputs emit once (computed) within the watermark."""
+    src = event_time(requests, ts).withWatermark(ts, watermark)
+    primes = src.where(F.col(op) == "prime")
+    computed = src.where(F.col(op) != "prime").dropDuplicatesWithinWatermark([op, *key_cols])
+    label = F.when(F.col(op) == "fibo", F.lit("fibonacci")).otherwise(F.col(op))
+    return primes.unionByName(computed).withColumn("event_operation", label)

@@ -84,3 +84,25 @@ def test_send_verdicts_stream_equals_batch(spark, events_dir):
     batch = qt.send_verdicts(spark.read.parquet(events_dir), "user_id", "ts", "event_id")
     got = _run(st.send_verdicts_stream(_stream(spark, events_dir), "user_id", "ts", "event_id"), "sv_stream")
     assert sorted(got.select("event_id", "verdict").collect()) == sorted(batch.select("event_id", "verdict").collect())
+
+
+def test_session_context_stream_equals_batch(spark, events_dir):
+    ev = spark.read.parquet(events_dir)
+    fields = {"last_view_value": F.when(F.col("event_type") == "view", F.col("value")),
+              "last_purchase_value": F.when(F.col("event_type") == "purchase", F.col("value"))}
+    batch = qt.session_context(ev, "user_id", "ts", "event_id", fields, ttl_s=3600)
+    got = _run(st.session_context_stream(_stream(spark, events_dir), "user_id", "ts", "event_id", fields,
+                                         ttl_s=3600), "ctx_stream")
+    cols = ["event_id", "ctx_session", "last_view_value", "last_purchase_value"]
+    assert sorted(got.select(*cols).collect()) == sorted(batch.select(*cols).collect())
+
+
+def test_request_events_stream(spark, events_dir):
+    s = _stream(spark, events_dir).select(
+        "ts", F.when(F.col("event_type") == "click", "prime").otherwise(F.col("event_type")).alias("operation"),
+        F.col("user_id").alias("x"))
+    got = _run(st.request_events_stream(s, "operation", ["x"], "ts", "365 days"), "re_stream")
+    ev = spark.read.parquet(events_dir)
+    exp = ev.where("event_type = 'click'").count() + ev.where("event_type <> 'click'").select(
+        "event_type", "user_id").distinct().count()
+    assert got.count() == exp
