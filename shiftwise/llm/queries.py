@@ -38,3 +38,35 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shiftwise.llm import quality_rules
     out = quality_rules.judge(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+@query("op7_chat_formatting")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shiftwise.llm import chat_format
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], turns.schema)
+    return chat_format.format_conversations(turns.unionByName(tricky))
+
+
+@query("op8_rendezvous_sharding")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shiftwise.llm import sharding
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
+
+
+def word_bpe() -> dict:
+    """The tokenizer of the queries: drops white space, never looks across it."""
+    import public_tokenizers
+    return {"tokenizer": public_tokenizers.path("word_bpe_49k.json"), "end": 1, "by_word": True}
+
+
+@query("op2_harmonic_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shiftwise.llm import packing
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), capacity=2048, **word_bpe()))
+
+
+@query("op6_token_files")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shiftwise.llm import token_files
+    return token_files.round_trip(table(spark, sf_dir, "documents"), **word_bpe())
