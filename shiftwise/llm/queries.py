@@ -70,3 +70,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shiftwise.llm import token_files
     return token_files.round_trip(table(spark, sf_dir, "documents"), **word_bpe())
+
+
+#: The rules of the query.
+RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+@query("op4_url_trust")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shiftwise.llm import url_filter
+    return url_filter.judge(table(spark, sf_dir, "pages"), [url_filter.Rule(*r) for r in RULES])
+
+
+@query("op10_stable_projections")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shiftwise.llm import neighbours
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, dim=64)
