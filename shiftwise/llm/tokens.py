@@ -12,7 +12,7 @@ import pyarrow as pa
 #: Token ids fit in 4 bytes; they are written as little-endian unsigned integers.
 WIDTH = 4
 #: Words whose ids a worker remembers; it forgets them all when it has more.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 
 
 class Encoder:
