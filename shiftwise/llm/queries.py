@@ -94,3 +94,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from shiftwise.llm import pieces
     return pieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op9_substring_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shiftwise.llm import substring_dedup
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
