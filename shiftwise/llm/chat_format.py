@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftwise.llm.staging import stage
+from shiftwise.llm.staging import ready, stage
 
 TURN, END = "<|turn|>", "<|end|>\n"
 _REST = r"(?=\|[a-z]+(?::[0-9]+)?\|>|/?s>|/?INST\])"
@@ -124,7 +124,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
     Any other columns are left out.  A null role is empty, null parts are none.
     """
-    turns = turns.select("conv_id", "turn", "role", "parts")
+    turns = ready(turns).select("conv_id", "turn", "role", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +171,7 @@ def digests(formatted: DataFrame) -> DataFrame:
     with a null ``conv_id`` are one conversation.  A conversation is walked by
     one task, because its digest is a chain, but never held in memory.
     """
-    kind = formatted.schema["conv_id"].dataType.simpleString()
+    kind = ready(formatted).schema["conv_id"].dataType.simpleString()
     rows = formatted.select("conv_id", "turn", "segment", "spans").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftwise.llm.staging import free_name, stage
+from shiftwise.llm.staging import free_name, ready, stage
 
 
 @dataclass(frozen=True)
@@ -176,7 +176,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, dim: int, index: Index
     query's id are its own.  Ties go to the smaller id.  An empty table gives no
     rows.
     """
-    spark = vectors.sparkSession
+    ready(vectors)
     limit = chi_square_quantile(index.confidence, index.m)
     directions = index.directions(dim)
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"), dim)).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).distinct()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftwise.llm.staging import stage
+from shiftwise.llm.staging import ready, stage
 from shiftwise.llm.tokens import WIDTH, encoded
 
 PIECES = "start bigint, length bigint, doc_tokens bigint, class int, sequence_id bigint, offset bigint, ids binary"
@@ -112,7 +112,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, capacity: int = 2048, by_wor
     integers.
     """
     slack = capacity // 128 if slack is None else slack
-    kind = docs.schema["doc_id"].dataType
+    kind = ready(docs).schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type

@@ -29,6 +29,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from shiftwise.llm.staging import ready
 from shiftwise.llm.tokens import REMEMBERED
 from shiftwise.llm.words import slices
 
@@ -228,7 +229,7 @@ def encode(docs: DataFrame, path: str, threads: int = 1) -> DataFrame:
     the normalised text.  A null or empty text has no ids and is verified.  Rows
     are encoded each by itself.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = ready(docs).schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(path, threads)
@@ -246,7 +247,7 @@ def encode(docs: DataFrame, path: str, threads: int = 1) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str, threads: int = 1) -> DataFrame:
     """(doc_id, text) of (doc_id, ids); null ids give a null text."""
-    kind = encoded.schema["doc_id"].dataType.simpleString()
+    kind = ready(encoded).schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(path, threads)
@@ -260,7 +261,7 @@ def decode(encoded: DataFrame, path: str, threads: int = 1) -> DataFrame:
 
 def digest(docs: DataFrame, path: str, threads: int = 1) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, verified) of every document; the checksum is over little-endian 4-byte ids."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = ready(docs).schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = encoder(path, threads)

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shiftwise.llm.staging import ready
 from shiftwise.llm.words import SPACE, U64, Words, mix, short_windows, slices, span_hashes
 
 CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "other")
@@ -304,7 +305,7 @@ def judge(docs: DataFrame, carry: list[str], rules: Rules = Rules()) -> DataFram
     judged with the rare ones.  An empty table gives an empty result.  Repeated
     rows are judged each by itself; nothing depends on the order of rows.
     """
-    languages, refs = references(docs, rules)
+    languages, refs = references(ready(docs), rules)
     schema = T.StructType([docs.schema[c] for c in carry] + list(RESULT))
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
 

@@ -100,3 +100,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shiftwise.llm import substring_dedup
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op3_ngram_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shiftwise.llm import ngram_join
+    return ngram_join.join(table(spark, sf_dir, "documents"))

@@ -28,9 +28,10 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns, whatever else the table holds."""
-    return df.select(*columns)
+def ready(df: DataFrame) -> DataFrame:
+    """Ship the package to the workers, before a function of it is made part of a plan."""
+    ship_package(df.sparkSession)
+    return df
 
 
 def free_name(df: DataFrame, name: str) -> str:

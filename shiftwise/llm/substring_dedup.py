@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftwise.llm.staging import stage
+from shiftwise.llm.staging import ready, stage
 from shiftwise.llm.words import MAX64, U64, Words, long_windows, slices, sliding
 
 WIDTH, PHRASE = 50, 26
@@ -233,7 +233,7 @@ def removals(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, shard_wo
     without an id has no place in the order: it loses nothing and costs no other
     row anything.  Repeated rows lose the same words, and nothing to each other.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = ready(docs).select(F.col("doc_id").cast("long"), "text")
     rows = stage(docs.mapInArrow(_documents(width, phrase), "doc_id bigint, hi bigint, lo bigint, n_words bigint, digest binary, phrases array<bigint>"), "documents")
     long = rows.where((F.col("n_words") >= width) & F.col("doc_id").isNotNull())
     classes = stage(long.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "phrases")).alias("x")).select("hi", "lo", "x.*"), "classes")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shiftwise.llm.staging import folder
+from shiftwise.llm.staging import folder, ready
 from shiftwise.llm.tokens import encoded
 
 COLUMNS = ("doc_id", "file_no", "at", "n_tokens", "ids")
@@ -51,7 +51,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, by_word:
     rows of one id in the order of their texts.  Ranges are cut by id and a hash
     of the text, so many rows of one id still make files of even size.
     """
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    rows = ready(docs).select("doc_id", "text", F.xxhash64("text").alias("h"))
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -92,7 +92,7 @@ def _with_start(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
 
 def crc_of_ids(df: DataFrame) -> DataFrame:
     """Replace ``ids`` by ``ids_crc32``, the unsigned crc32 of them as little-endian 4-byte integers."""
-    keep = [f for f in df.schema if f.name != "ids"]
+    keep = [f for f in ready(df).schema if f.name != "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
