@@ -316,3 +316,15 @@ def judge(docs: DataFrame, carry: list[str], rules: Rules = Rules()) -> DataFram
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in carry] + [pa.array(found[f.name], t) for f, t in zip(RESULT, kinds, strict=True)], names=schema.names)
 
     return docs.select(*dict.fromkeys([*carry, "text", "lang"])).mapInArrow(run, schema)
+
+
+def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs`` whose text is kept, with all their columns."""
+    languages, refs = references(ready(docs), rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(_judge(Words(part.column("text")), part, languages, refs, rules)["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftwise.llm.staging import ready, stage
+from shiftwise.llm.staging import free_name, ready, stage
 from shiftwise.llm.words import MAX64, U64, Words, long_windows, slices, sliding
 
 WIDTH, PHRASE = 50, 26
@@ -295,25 +295,30 @@ def digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def remove(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with the removed words gone from ``text`` (and ``n_chars`` counted anew, if there is such a column).
 
-    Texts that lose nothing stay as they are; the others are their words joined
-    by a space, possibly none.
+    Texts that lose nothing stay as they are; the others are the words left,
+    joined by a space, possibly none.  All other columns stay.
     """
     documents, cut = removals(docs, width)
     gone = documents.where("copied").select("doc_id", "lo", F.lit("").alias("kept")).unionByName(cut.select("doc_id", "lo", "kept")).distinct()
-    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "kept")).alias("_kept"))
+    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "kept")).alias(extra := free_name(docs, "kept_words")))
     names = docs.columns
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = names.index("text")
         for batch in batches:
-            texts = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("_kept").to_pylist(), strict=True):
-                lo = _key(b" ".join((text or "").encode().split()))[1] if found else None
-                texts.append(next((x["kept"] for x in found or () if x["lo"] == lo), text))
             columns = [batch.column(n) for n in names]
+            texts, found = batch.column("text").to_pylist(), batch.column(extra).to_pylist()
+            sizes = batch.column("n_chars").to_pylist() if "n_chars" in names else [0] * len(texts)
+            for i, text in enumerate(texts):
+                if found[i]:
+                    lo = _key(b" ".join((text or "").encode().split()))[1]
+                    for x in found[i]:
+                        if x["lo"] == lo:
+                            texts[i], sizes[i] = x["kept"], len(x["kept"])
             columns[place] = pa.array(texts, batch.schema.field("text").type)
+            if "n_chars" in names:
+                columns[names.index("n_chars")] = pa.array(sizes, batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = docs.join(gone, "doc_id", "left").select(*names, "_kept")
-    out = out.mapInArrow(apply, docs.schema)
-    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    key = gone.select(F.col("doc_id").alias(own := free_name(docs, "own_id")), extra)
+    return docs.join(key, F.col("doc_id") == F.col(own), "left").select(*names, extra).mapInArrow(apply, docs.schema)
