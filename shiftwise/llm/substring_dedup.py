@@ -29,7 +29,6 @@ its documents; sizes of shards and shares are bounded in words and bytes.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,56 +128,53 @@ def _windows(width: int, phrase: int):
     return run
 
 
-def _passages(width: int, n_shards: int):
-    """(shard, owner, owner_lo, passage) of each run of neighbouring windows that an owner has."""
+def _passages(width: int):
+    """(owner, owner_lo, n, passage) of each run of neighbouring windows that an owner has; n: its words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, lo, text, starts in zip(batch.column("doc_id").to_pylist(), batch.column("lo").to_pylist(), _bytes(batch.column("text")), batch.column("starts").to_pylist(), strict=True):
-                words, at = text.split(), np.sort(np.array(starts))
-                for run_ in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                    rows.append((_shard(doc, n_shards), doc, lo, b" ".join(words[run_[0]:run_[-1] + width])))
-            yield _batch(rows, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), ("shard", "owner", "owner_lo", "passage"))
+            for part in slices(batch, "text"):
+                rows = []
+                for doc, lo, text, starts in zip(part.column("doc_id").to_pylist(), part.column("lo").to_pylist(), _bytes(part.column("text")), part.column("starts").to_pylist(), strict=True):
+                    words, at = text.split(), np.sort(np.array(starts))
+                    for run_ in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                        own = words[run_[0]:run_[-1] + width]
+                        rows.append((doc, lo, len(own), b" ".join(own)))
+                yield _batch(rows, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), ("owner", "owner_lo", "n", "passage"))
     return run
 
 
-def _shard(doc: int, n_shards: int) -> int:
-    return xxhash.xxh64_intdigest(int(doc).to_bytes(8, "little", signed=True)) % n_shards
-
-
 def _batch(rows: list[tuple], kinds: tuple, names: tuple) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
 
 
 class Phrasebook:
-    """The passages of a shard, compiled."""
+    """The passages of a shard, compiled: (owner, words joined by a space), the owner being any number."""
 
-    def __init__(self, passages: list[tuple[int, int, bytes]], width: int):
+    def __init__(self, passages: Iterator[tuple[int, bytes]], width: int):
         import ahocorasick
         self.width, self.block = width, width // 2
         self.numbers: dict[bytes, int] = {}
         self.passages: list[tuple[int, ...]] = []
-        values: dict[tuple[int, ...], dict[tuple[int, int], list[tuple[int, int]]]] = {}
-        for owner, lo, text in passages:
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for owner, text in passages:
             words = tuple(self.numbers.setdefault(x, len(self.numbers) + 1) for x in text.split())
             for i in range(0, len(words) - self.block + 1, self.block):
-                values.setdefault(words[i:i + self.block], defaultdict(list))[owner, lo].append((len(self.passages), i))
+                block = words[i:i + self.block]
+                places = self.automaton.get(block, None)
+                if places is None:
+                    self.automaton.add_word(block, places := {})
+                places.setdefault(owner, []).append((len(self.passages), i))
             self.passages.append(words)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for block, places in values.items():
-            self.automaton.add_word(block, places)
         self.automaton.make_automaton()
 
-    def spans(self, text: bytes, owners: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    def spans(self, text: bytes, owners: set[int]) -> list[tuple[int, int]]:
         """Word ranges of the text that lie in passages of these owners, each a window or longer."""
         words = tuple(self.numbers.get(x, 0) for x in text.split())
         out, seen = [], {}
         for end, places in self.automaton.iter(words):
             begin = end - self.block + 1
-            for owner in owners if len(owners) < len(places) else places:
-                if owner not in places or owner not in owners:
-                    continue
+            for owner in owners.intersection(places):
                 for passage, offset in places[owner]:
                     if seen.get((passage, begin - offset), -1) >= end:
                         continue
@@ -199,14 +195,17 @@ _SPAN_TYPE = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
 
 def _locate(width: int):
+    """Spans of a share of a shard's documents; texts are taken from Arrow one at a time."""
     def run(documents: pa.Table, passages: pa.Table) -> pa.Table:
         rows = []
         if documents.num_rows and passages.num_rows:
-            book = Phrasebook(list(zip(passages["owner"].to_pylist(), passages["owner_lo"].to_pylist(), passages["passage"].to_pylist(), strict=True)), width)
-            for doc, lo, text, owners in zip(documents["doc_id"].to_pylist(), documents["lo"].to_pylist(), documents["text"].to_pylist(), documents["owners"].to_pylist(), strict=True):
-                spans = book.spans((text or "").encode(), {(x["owner"], x["owner_lo"]) for x in owners})
+            number: dict[tuple[int, int], int] = {}
+            owners = [number.setdefault(x, len(number)) for x in zip(passages["owner"].to_pylist(), passages["owner_lo"].to_pylist(), strict=True)]
+            book = Phrasebook(((x, text.as_py()) for x, text in zip(owners, passages["passage"], strict=True)), width)
+            for doc, lo, text, ids, los in zip(documents["doc_id"], documents["lo"], documents["text"], documents["owners"], documents["owner_los"], strict=True):
+                spans = book.spans((text.as_py() or "").encode(), {number[x] for x in zip(ids.as_py(), los.as_py(), strict=True)})
                 if spans:
-                    rows.append((doc, lo, [{"from": a, "to": b} for a, b in spans]))
+                    rows.append((doc.as_py(), lo.as_py(), [{"from": a, "to": b} for a, b in spans]))
         return pa.Table.from_batches([_batch(rows, (pa.int64(), pa.int64(), _SPAN_TYPE), ("doc_id", "lo", "spans"))])
     return run
 
@@ -222,7 +221,7 @@ def _kept(text: bytes, spans: list[dict]) -> tuple[int, bytes]:
     return int(out.sum()), b" ".join(x for x, o in zip(words, out.tolist(), strict=True) if not o)
 
 
-def removals(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, shard_words: int = 2_000_000, share_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
+def removals(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, shard_words: int = 500_000, share_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
     """(documents, cut): a row for each row of ``docs``, and one for each class of texts that loses some of its words.
 
     documents: doc_id, hi, lo (key of its words), n_words, digest (of all its
@@ -251,16 +250,17 @@ def removals(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, shard_wo
     owned = stage(owned.where("last > x.doc_id").select("window", F.col("x.doc_id").alias("owner"), F.col("x.lo").alias("owner_lo"), F.col("x.at").alias("start")), "owned")
 
     starts = owned.groupBy(F.col("owner").alias("doc_id"), F.col("owner_lo").alias("lo")).agg(F.collect_list("start").alias("starts"))
-    n_shards = int(max(1, owned.count() // shard_words + 1))
-    passages = stage(texts.select("doc_id", "lo", "text").join(starts, ["doc_id", "lo"]).mapInArrow(_passages(width, n_shards), "shard bigint, owner bigint, owner_lo bigint, passage binary"), "passages")
+    passages = stage(texts.select("doc_id", "lo", "text").join(starts, ["doc_id", "lo"]).mapInArrow(_passages(width), "owner bigint, owner_lo bigint, n bigint, passage binary"), "passages")
+    n_shards = int(passages.agg(F.sum("n")).first()[0] or 0) // shard_words + 1
+    shard = F.pmod(F.xxhash64("owner", "owner_lo"), F.lit(n_shards)).alias("shard")
 
     to_owner = windows.join(owned, "window").where("owner < doc_id").select("doc_id", "lo", "owner", "owner_lo").distinct()
-    visits = to_owner.join(passages.select("shard", "owner", "owner_lo").distinct(), ["owner", "owner_lo"])
-    visits = visits.groupBy("doc_id", "lo", "shard").agg(F.collect_list(F.struct("owner", "owner_lo")).alias("owners"))
+    visits = to_owner.select("doc_id", "lo", shard, "owner", "owner_lo").groupBy("doc_id", "lo", "shard").agg(F.collect_list(F.struct("owner", "owner_lo")).alias("x"))
+    visits = visits.select("doc_id", "lo", "shard", F.col("x.owner").alias("owners"), F.col("x.owner_lo").alias("owner_los"))
     visits = stage(texts.select("doc_id", "lo", "text").join(visits, ["doc_id", "lo"]), "visits")
     shares = visits.groupBy("shard").agg((F.floor(F.sum(F.octet_length("text")) / share_bytes) + 1).alias("shares"))
     dealt = visits.join(shares, "shard").withColumn("share", F.pmod(F.xxhash64("doc_id", "lo"), F.col("shares"))).drop("shares")
-    built = passages.join(shares, "shard").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares")
+    built = passages.select(shard, "owner", "owner_lo", "passage").join(shares, "shard").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares")
     spans = dealt.groupBy("shard", "share").cogroup(built.groupBy("shard", "share")).applyInArrow(_locate(width), _SPANS)
     spans = spans.groupBy("doc_id", "lo").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
