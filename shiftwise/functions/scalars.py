@@ -6,6 +6,7 @@ inside whole-stage code generation; no Python runs per row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -126,13 +127,28 @@ def split_qualified_name(x) -> tuple[Column, Column]:
     return F.when(has_dot, F.substring_index(s, ".", 1)), F.when(has_dot, rest).otherwise(s)
 
 
+# The four labels of a log source.
+LABEL_STORED = "Stored {kind}: {unit}"
+LABEL_FUNCTION = "[Package] --> {module}    [Function] --> {name}"
+LABEL_PROCEDURE = "[Package] --> {module}    [PROCEDURE] --> {name}"
+LABEL_NONE = "No package; No procedure; No function. Check anonymous PL/SQL blocks."
+
+
+def fill_template(template: str, **values) -> Column:
+    """The template with each ``{name}`` replaced by a column; null if one of them is."""
+    parts = [F.lit(x) if i % 2 == 0 else _c(values[x]) for i, x in enumerate(re.split(r"\{(\w+)\}", template))]
+    return F.concat(*parts)
+
+
 def module_label(unit, module, kind) -> Column:
-    """Four-way label of the log source."""
+    """Label of a log source: its unit (``PACKAGE.NAME``, or a stored program's own name), its module, and
+    the kind of object the unit is (null for an anonymous block)."""
     u, m, k = _c(unit), _c(module), _c(kind)
-    return (F.when(u.isNotNull() & m.isNotNull(), F.concat(k, F.lit(" "), u, F.lit("."), m))
-             .when(u.isNotNull(), F.concat(k, F.lit(" "), u))
-             .when(m.isNotNull(), F.concat(k, F.lit(" "), m))
-             .otherwise(F.lit("ANONYMOUS BLOCK")))
+    name = F.substr(u, F.instr(u, ".") + 1)
+    return (F.when(F.upper(u) == F.upper(m), fill_template(LABEL_STORED, kind=F.coalesce(k, F.lit("")), unit=u))
+             .when(F.upper(k) == "FUNCTION", fill_template(LABEL_FUNCTION, module=F.coalesce(m, F.lit("")), name=name))
+             .when(F.upper(k) == "PROCEDURE", fill_template(LABEL_PROCEDURE, module=F.coalesce(m, F.lit("")), name=name))
+             .otherwise(F.lit(LABEL_NONE)))
 
 
 # --- P21-P30 ----------------------------------------------------------------

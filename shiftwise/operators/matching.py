@@ -1,21 +1,35 @@
 """Title matching and mention joins.
 
-Both are "first key in key order that satisfies a predicate" problems.  The
-equality phase is an equi join; the containment phase is a theta join whose
-key side is broadcast only after its row count is checked.  Beyond that bound
-``match_title`` switches to an exact equi join on the keys' substrings, so no
-candidate is ever dropped.
+Both are "first key in key order that satisfies a containment" problems.  A
+containment is found by an equi join on short substrings (grams of up to three
+characters) and then verified with ``instr``, so the same plan answers for any
+number of keys and texts, and no candidate is dropped:
+
+* a text inside a key: the keys are indexed by all their grams; a text looks up
+  its rarest gram (itself, if it is no longer than a gram);
+* a key inside a text: the texts' different grams are joined with the first
+  gram of each key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftwise.functions.text import normalize_title
-from shiftwise.operators.joins import TooLargeToBroadcast, bounded_broadcast
 
-MAX_BROADCAST_KEYS = 200_000
+GRAM = 3
+
+
+def _grams(text: Column, sizes) -> Column:
+    """The different substrings of the given sizes."""
+    n = F.length(text)
+
+    def of(size: int) -> Column:
+        starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+
+    return F.array_distinct(F.concat(*map(of, sizes)))
 
 
 def _first_key(pairs: DataFrame, id_col: str, out: str) -> DataFrame:
@@ -23,47 +37,42 @@ def _first_key(pairs: DataFrame, id_col: str, out: str) -> DataFrame:
 
 
 def match_title(queries: DataFrame, id_col: str, title_col: str, keys: DataFrame, key_col: str,
-                pos_col: str, out: str = "matched_title",
-                max_broadcast_keys: int = MAX_BROADCAST_KEYS) -> DataFrame:
+                pos_col: str, out: str = "matched_title") -> DataFrame:
     """Exact normalized match first, else the first key containing the text.
 
     ``pos_col`` is the key order.  Empty or NULL titles match nothing; the
-    containment phase needs a non-empty normalized text.
+    containment phase needs a non-empty normalized text.  Each different
+    normalized text is looked up once.
     """
     k = keys.select(F.col(key_col).alias("_key"), F.col(pos_col).alias("_pos"),
                     normalize_title(key_col).alias("_kn"))
     raw = F.col(title_col)
-    q = queries.select(id_col, F.when(raw.isNotNull() & (raw != ""), normalize_title(raw)).alias("_qn"))
-    exact = _first_key(q.join(k, q["_qn"] == k["_kn"]), id_col, "_exact")
-    rest = q.join(exact.select(id_col), id_col, "left_anti").where(F.col("_qn") != "")
-    try:
-        kb = bounded_broadcast(k, max_broadcast_keys)
-        pairs = rest.join(kb, F.instr(kb["_kn"], rest["_qn"]) > 0)
-    except TooLargeToBroadcast:
-        # Exact alternative for big key lists: every substring of every key,
-        # then an equi join (no theta join, no broadcast).
-        subs = k.select("_key", "_pos", F.explode(F.array_distinct(F.flatten(F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length("_kn"), F.lit(1))),
-            lambda i: F.transform(F.sequence(i, F.greatest(F.length("_kn"), F.lit(1))),
-                                  lambda j: F.substring("_kn", i, j - i + 1)))))).alias("_sub"))
-        pairs = rest.join(subs, rest["_qn"] == subs["_sub"])
-    contains = _first_key(pairs, id_col, "_contains")
-    return (queries.join(exact, id_col, "left").join(contains, id_col, "left")
-            .withColumn(out, F.coalesce("_exact", "_contains")).drop("_exact", "_contains"))
+    q = queries.withColumn("_qn", F.when(raw.isNotNull() & (raw != ""), normalize_title(raw)))
+    texts = q.select("_qn").where(F.col("_qn").isNotNull()).distinct()
+    exact = _first_key(texts.join(k, texts["_qn"] == k["_kn"]), "_qn", "_exact")
+    rest = texts.join(exact, "_qn", "left_anti").where(F.col("_qn") != "")
+    index = k.select("_key", "_pos", "_kn", F.explode(_grams(F.col("_kn"), range(1, GRAM + 1))).alias("_gram"))
+    often = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    own = F.when(F.length("_qn") <= GRAM, F.array("_qn")).otherwise(_grams(F.col("_qn"), [GRAM]))
+    # a text with a gram that no key has is in no key; its other grams only cost a look
+    rarest = rest.select("_qn", F.explode(own).alias("_gram")).join(often, "_gram").groupBy("_qn").agg(
+        F.min(F.struct("_n", "_gram"))["_gram"].alias("_gram"))
+    contains = _first_key(rarest.join(index, "_gram").where(F.instr(F.col("_kn"), F.col("_qn")) > 0), "_qn", "_contains")
+    return (q.join(exact, "_qn", "left").join(contains, "_qn", "left")
+            .withColumn(out, F.coalesce("_exact", "_contains")).select(*queries.columns, out))
 
 
 def mention_join(texts: DataFrame, id_col: str, text_col: str, keys: DataFrame, key_col: str,
-                 pos_col: str, out: str = "mentioned_title",
-                 max_broadcast_keys: int = MAX_BROADCAST_KEYS) -> DataFrame:
+                 pos_col: str, out: str = "mentioned_title") -> DataFrame:
     """The first key (in key order) mentioned in the text, case-insensitive.
 
-    The key list is broadcast after a checked bound; a longer list raises
-    ``TooLargeToBroadcast`` rather than silently dropping candidates.
+    An empty key is mentioned in every text, a NULL text mentions none.
     """
-    k = bounded_broadcast(keys.select(F.col(key_col).alias("_key"), F.col(pos_col).alias("_pos"),
-                                      F.lower(F.col(key_col)).alias("_kl")), max_broadcast_keys)
-    t = texts.select(id_col, F.lower(F.col(text_col)).alias("_tl"))
-    pairs = t.join(k, F.instr(t["_tl"], k["_kl"]) > 0)
+    k = keys.select(F.col(key_col).alias("_key"), F.col(pos_col).alias("_pos"), F.lower(F.col(key_col)).alias("_kl"))
+    k = k.withColumn("_gram", F.substring("_kl", 1, GRAM))
+    low = F.lower(F.col(text_col))
+    t = texts.select(id_col, low.alias("_tl"), F.explode(F.concat(F.array(F.lit("")), _grams(low, range(1, GRAM + 1)))).alias("_gram"))
+    pairs = t.join(k, "_gram").where((F.col("_kl") == "") | (F.instr(F.col("_tl"), F.col("_kl")) > 0))
     return texts.join(_first_key(pairs, id_col, out), id_col, "left")
 
 

@@ -1,92 +1,103 @@
-"""Math requests: evaluate once per distinct input, memoize, emit events.
+"""Math requests: evaluate once per distinct input, answer from a stored cache, emit events.
 
 Requests are ``(request_id, operation, x, y)``.  The work is done on the
-*distinct* ``(operation, x, y)`` inputs only and joined back, which is the
-batch form of the source's result cache: a value requested a million times is
-computed once.  Results are exact: decimal(38,0) arithmetic inside the JVM
-while the value fits, Python integers (Arrow-batched, distinct inputs only)
-beyond that (G10).
+*distinct* ``(operation, x, y)`` inputs only, one Arrow pass over them, and
+joined back: a value requested a million times is computed once.  Results are
+texts of Python's exact integers and floats, so they never overflow.  Joins are
+null-safe: a request without an input is answered (as invalid) like any other.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Largest inputs whose results fit decimal(38,0).
-FIB_DECIMAL_MAX = 183
-FACT_DECIMAL_MAX = 33
-
+# Bases that decide primality of every number below 2**64.
+WITNESSES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37)
+
+
+def fibonacci(n: int) -> int:
+    """F(n) by doubling: two products for each bit of n."""
+    a, b = 0, 1
+    for bit in bin(n)[2:]:
+        a, b = a * (2 * b - a), a * a + b * b
+        if bit == "1":
+            a, b = b, a + b
+    return a
+
+
+def is_prime(n: int) -> bool:
+    """Miller-Rabin with fixed bases, exact for 64-bit numbers."""
+    if n < 2:
+        return False
+    for p in WITNESSES:
+        if n % p == 0:
+            return n == p
+    odd, twos = n - 1, 0
+    while odd % 2 == 0:
+        odd, twos = odd // 2, twos + 1
+    for p in WITNESSES:
+        x = pow(p, odd, n)
+        if x not in (1, n - 1) and all((x := x * x % n) != n - 1 for _ in range(twos - 1)):
+            return False
+    return True
+
+
+def result_text(operation: str, x, y) -> str | None:
+    """The result as text; null if the inputs are outside the operation's domain or it is unknown."""
+    if operation == "pow":
+        if x is None or y is None:
+            return None
+        try:
+            value = float(x) ** float(y)
+        except (OverflowError, ZeroDivisionError):
+            return None
+        return repr(value) if isinstance(value, float) else None
+    least = {"fibo": 0, "factorial": 0, "prime": 2}.get(operation)
+    if least is None or x is None or int(x) < least:
+        return None
+    n = int(x)
+    return str({"fibo": fibonacci, "factorial": math.factorial, "prime": is_prime}[operation](n))
 
-def _fib_decimal(n: Column) -> Column:
-    step = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                       F.struct(F.lit(0).cast("decimal(38,0)").alias("a"), F.lit(1).cast("decimal(38,0)").alias("b")),
-                       lambda acc, _: F.struct(acc["b"].alias("a"), (acc["a"] + acc["b"]).cast("decimal(38,0)").alias("b")))
-    return F.when(n == 0, F.lit(0).cast("decimal(38,0)")).otherwise(step["a"])
 
+def evaluate(distinct_inputs: DataFrame, op: str = "operation", x: str = "x", y: str = "y") -> DataFrame:
+    """Result text and status per distinct input.
 
-def _fact_decimal(n: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(1).cast("decimal(38,0)"),
-                       lambda acc, i: (acc * i).cast("decimal(38,0)"))
+    status: 'ok', or 'invalid' for missing inputs and the domain checks (n >= 0
+    for fibo and factorial, n >= 2 for prime).  Inputs are sent as text, so
+    integers of 64 bits stay exact.
+    """
+    out = distinct_inputs.withColumn("result", _exact(F.col(op), F.col(x).cast("string"), F.col(y).cast("string")))
+    return out.withColumn("status", F.when(F.col("result").isNull(), "invalid").otherwise("ok"))
 
 
-def _is_prime(n: Column) -> Column:
-    limit = F.floor(F.sqrt(n.cast("double"))).cast("long")
-    no_divisor = ~F.exists(F.sequence(F.lit(2).cast("long"), F.greatest(limit, F.lit(2).cast("long"))),
-                           lambda i: (i < n) & (n % i == 0))
-    return (n >= 2) & no_divisor
+@F.pandas_udf(T.StringType())
+def _exact(op: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+    import sys
+    sys.set_int_max_str_digits(0)  # results may have any number of digits
+    return pd.Series([result_text(o, _number(a), _number(b)) for o, a, b in zip(op, x, y)], dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def _big_result(op: pd.Series, n: pd.Series, needed: pd.Series) -> pd.Series:
-    """Exact Python-integer results for inputs beyond decimal(38,0).
+def _number(text):
+    if text is None:
+        return None
+    return float(text) if any(c in text for c in ".eEnN") else int(text)
 
-    Spark evaluates a Python UDF for every row of its input, whatever the
-    surrounding CASE says, so rows that do not need it are skipped here.
-    """
-    out = []
-    for o, k, need in zip(op, n, needed):
-        if not need:
-            out.append(None)
-            continue
-        k = int(k)
-        if o == "fibo":
-            a, b = 0, 1
-            for _ in range(k):
-                a, b = b, a + b
-            out.append(str(a))
-        else:
-            r = 1
-            for i in range(2, k + 1):
-                r *= i
-            out.append(str(r))
-    return pd.Series(out)
 
+def _null_safe(left: DataFrame, right: DataFrame, key: list[str], how: str) -> DataFrame:
+    """Join on ``key`` with null equal to null; the key columns come from the left."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") if k in key else F.col(k) for k in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in key])
+    return left.join(named, same, how).drop(*[f"_r_{k}" for k in key])
 
-def evaluate(distinct_inputs: DataFrame, op: str = "operation", x: str = "x", y: str = "y") -> DataFrame:
-    """Result text and status per distinct input.
 
-    status: 'ok', or 'invalid' for the domain checks (n >= 0 for fibo and
-    factorial, n >= 2 for prime).
-    """
-    n = F.col(x).cast("long")
-    o = F.col(op)
-    invalid = (((o == "fibo") | (o == "factorial")) & (n < 0)) | ((o == "prime") & (n < 2))
-    big = ((o == "fibo") & (n > FIB_DECIMAL_MAX)) | ((o == "factorial") & (n > FACT_DECIMAL_MAX))
-    small = (F.when(o == "fibo", _fib_decimal(n).cast("string"))
-              .when(o == "factorial", _fact_decimal(n).cast("string"))
-              .when(o == "prime", F.when(_is_prime(n), "True").otherwise("False"))
-              .when(o == "pow", F.pow(F.col(x).cast("double"), F.col(y).cast("double")).cast("string")))
-    res = distinct_inputs.withColumn("_big", big & ~invalid)
-    res = res.withColumn("result", F.when(F.col("_big"), _big_result(o, n, F.col("_big")))
-                         .when(~invalid & ~F.col("_big"), small))
-    return res.withColumn("status", F.when(invalid, "invalid").otherwise("ok")).drop("_big")
-
-
-def memoize(requests: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """T5: per request, whether an earlier request (in ``order``) had the same key.
+def memoize(requests: DataFrame, key: list[str], order: list[str], stored: DataFrame | None = None) -> DataFrame:
+    """T5: per request, whether an earlier request (in ``order``) or the stored cache had the same key.
 
     The first request per key comes from a ``min`` aggregate over the order
     tuple (map-side combined, so a hot key never gathers in one task), joined
@@ -94,26 +105,54 @@ def memoize(requests: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """
     ordk = F.struct(*order)
     first = requests.groupBy(*key).agg(F.min(ordk).alias("_first"))
-    return (requests.join(first, key, "left")
-            .withColumn("cache_hit", (ordk != F.col("_first")).cast("int"))
-            .drop("_first"))
+    if stored is None:
+        first = first.withColumn("_stored", F.lit(False))
+    else:
+        first = _null_safe(first, stored.select(*key).distinct().withColumn("_known", F.lit(True)), key, "left")
+        first = first.withColumn("_stored", F.col("_known").isNotNull()).drop("_known")
+    return (_null_safe(requests, first, key, "left")
+            .withColumn("cache_hit", ((ordk != F.col("_first")) | F.col("_stored")).cast("int"))
+            .drop("_first", "_stored"))
+
+
+def answer(requests: DataFrame, order: list[str], stored: DataFrame, op: str = "operation", x: str = "x",
+           y: str = "y") -> tuple[DataFrame, DataFrame]:
+    """T5: every request with its result, and the cache rows to store.
+
+    ``stored`` (op, x, y, result) is the cache table.  A hit returns the stored
+    text as it is; what is computed here is valid and new, and is to be
+    appended to the table.  Invalid requests are answered but never stored.
+    """
+    key = [op, x, y]
+    memo = memoize(requests, key, order, stored)
+    known = stored.groupBy(*key).agg(F.min("result").alias("_cached"))
+    inputs = _null_safe(requests.select(*key).distinct(), known, key, "left")
+    fresh = evaluate(inputs.where(F.col("_cached").isNull()).select(*key), op, x, y)
+    results = fresh.unionByName(inputs.where(F.col("_cached").isNotNull()).select(*key, F.col("_cached").alias("result"), F.lit("ok").alias("status")))
+    return _null_safe(memo, results, key, "left"), fresh.where(F.col("status") == "ok").select(*key, "result")
 
 
 def evaluate_requests(requests: DataFrame, op: str = "operation", x: str = "x", y: str = "y") -> DataFrame:
     """Results for every request, computed once per distinct input."""
-    inputs = requests.select(op, x, y).distinct()
-    results = evaluate(inputs, op, x, y)
-    return requests.join(results, [op, x, y], "left")
+    return _null_safe(requests, evaluate(requests.select(op, x, y).distinct(), op, x, y), [op, x, y], "left")
 
 
+# How events name the operations.
 EVENT_LABEL = {"fibo": "fibonacci", "factorial": "factorial", "prime": "prime", "pow": "pow"}
 
 
+def event_label(op: Column) -> Column:
+    return F.when(op == "fibo", F.lit(EVENT_LABEL["fibo"])).otherwise(op)
+
+
 def request_events(memo: DataFrame, op: str = "operation") -> DataFrame:
     """One event per computed request, plus prime requests served from the cache.
 
-    The event label of ``fibo`` is ``fibonacci`` (storage keeps ``fibo``).
+    The event label of ``fibo`` is ``fibonacci`` (storage keeps ``fibo``).  Of
+    answered requests (with ``result`` and ``status``) only the valid ones, and
+    every event carries the result.
     """
-    label = F.when(F.col(op) == "fibo", F.lit(EVENT_LABEL["fibo"])).otherwise(F.col(op))
     emits = (F.col("cache_hit") == 0) | (F.col(op) == "prime")
-    return memo.where(emits).withColumn("event_operation", label)
+    if "status" in memo.columns:
+        emits = emits & (F.col("status") == "ok")
+    return memo.where(emits).withColumn("event_operation", event_label(F.col(op)))

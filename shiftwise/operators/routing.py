@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 
 from shiftwise.functions.scalars import strip
 from shiftwise.functions.text import classify_intent, is_offensive_tokens, ordinal_ref
-from shiftwise.operators.joins import bounded_broadcast
 from shiftwise.streaming.quotas import ANON_LIMIT, _walk
 
 # Answer templates of the follow-up branch (title in quotes).
@@ -40,18 +39,16 @@ SUCCESS = ("ordinal_pick", "candidates")
 
 
 def keyword_shortlist(queries: DataFrame, qid: str, text: str, titles: DataFrame, title_col: str,
-                      pos_col: str, k: int = 5, max_titles: int = 200_000) -> DataFrame:
+                      pos_col: str, k: int = 5) -> DataFrame:
     """Retrieval stand-in when no query embeddings exist: titles ranked by the
     number of distinct words shared with the query (ties by title order), top k.
 
-    The title word table is bounded by the catalogue and broadcast after a
-    checked count; query words are exploded from the whole text.
+    Words of any length count; query words are exploded from the whole text.
     """
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))),
-                                                           F.lit(r"([\pL\pN]{3,})"), 1))
+                                                           F.lit(r"([\pL\pN]+)"), 1))
     tw = titles.select(F.col(title_col).alias("_title"), F.col(pos_col).alias("_pos"),
                        F.explode(words(F.col(title_col))).alias("_w"))
-    tw = bounded_broadcast(tw, max_titles)
     qw = queries.select(qid, F.explode(words(F.col(text))).alias("_w"))
     score = qw.join(tw, "_w").groupBy(qid, "_title", "_pos").agg(F.count(F.lit(1)).alias("_score"))
     w = Window.partitionBy(qid).orderBy(F.desc("_score"), "_pos")
@@ -139,7 +136,8 @@ def metadata_answer(df: DataFrame, text: str, title_col: str, meta: DataFrame, s
 
     Keywords of the lower-cased question pick the field: ``pagin`` -> pages,
     ``autor``/``scris`` -> author, ``anul``/``publicat``/``aparit`` -> year,
-    otherwise the summary.  Missing metadata gives the "not available" text.
+    otherwise the summary.  Missing, zero or empty metadata gives the "not
+    available" text.
     """
     m = meta.select(F.col("title").alias("_mt"), F.col("author").alias("_author"),
                     F.col("year").alias("_year"), F.col("pages").alias("_pages"))
@@ -159,12 +157,12 @@ def metadata_answer(df: DataFrame, text: str, title_col: str, meta: DataFrame, s
             out.append(F.lit(rest))
         return F.concat(*out)
 
-    ans = (F.when(ql.contains("pagin"), F.when(F.col("_pages").isNotNull(), fill(PAGES_OK, F.col("_pages")))
+    ans = (F.when(ql.contains("pagin"), F.when(F.coalesce(F.col("_pages"), F.lit(0)) != 0, fill(PAGES_OK, F.col("_pages")))
                   .otherwise(fill(PAGES_NA)))
             .when(ql.contains("autor") | ql.contains("scris"),
-                  F.when(F.col("_author").isNotNull(), fill(AUTHOR_OK, F.col("_author"))).otherwise(fill(AUTHOR_NA)))
+                  F.when(F.coalesce(F.col("_author"), F.lit("")) != "", fill(AUTHOR_OK, F.col("_author"))).otherwise(fill(AUTHOR_NA)))
             .when(ql.contains("anul") | ql.contains("publicat") | ql.contains("aparit"),
-                  F.when(F.col("_year").isNotNull(), fill(YEAR_OK, F.col("_year"))).otherwise(fill(YEAR_NA)))
+                  F.when(F.coalesce(F.col("_year"), F.lit(0)) != 0, fill(YEAR_OK, F.col("_year"))).otherwise(fill(YEAR_NA)))
             .otherwise(fill(ABOUT)))
     summary = F.when(~(ql.contains("pagin") | ql.contains("autor") | ql.contains("scris") | ql.contains("anul")
                        | ql.contains("publicat") | ql.contains("aparit")), F.col("_summary"))

@@ -1,12 +1,12 @@
 """Exact k-nearest-neighbour search over embedding tables.
 
-The query set (texts already embedded, or probe vectors) is small and its
-size is checked before it is shipped to the tasks as a NumPy matrix.  Every
-task computes the distances of its vectors to all queries in Arrow batches
-and keeps only its k best per query; the final ``row_number() <= k`` per
-query then sees at most (tasks x k) rows per query, with a map-side
-``WindowGroupLimit`` in front of the shuffle.  Nothing scans the vectors
-twice and no vector pair table is materialised.
+Vectors and queries are dealt into blocks of bounded size; every pair of a
+query block and a vector block is one group, whose task computes all distances
+of the two blocks and keeps the k best of each query.  The final
+``row_number() <= k`` per query then sees at most (vector blocks x k) rows per
+query, with a map-side ``WindowGroupLimit`` in front of the shuffle.  A small
+query set is one block, and no vector is copied; a large one costs what an exact
+search of all pairs must cost, spread over all tasks.
 
 Distances are squared Euclidean ("l2", the vector store default) summed
 dimension by dimension in index order, so results are reproducible to the
@@ -21,69 +21,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_QUERIES = 10_000
+QUERY_BLOCK, VECTOR_BLOCK = 256, 8192  # rows; bounds a task's distances to 16 MB
 
 
-class TooManyQueries(ValueError):
-    pass
-
-
-def _collect_queries(queries: DataFrame, qid: str, qvec: str, max_queries: int):
-    n = queries.count()
-    if n > max_queries:
-        raise TooManyQueries(f"{n} queries > {max_queries}; run the search in query batches")
-    rows = queries.select(qid, qvec).collect()  # bounded by the check above
-    ids = [r[0] for r in rows]
-    mat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows], dtype=np.float64)
-    return ids, mat
+def _dealt(df: DataFrame, id_col: str, block: str, rows: int) -> tuple[DataFrame, int]:
+    blocks = max(1, -(-df.count() // rows))
+    return df.withColumn(block, F.pmod(F.xxhash64(id_col), F.lit(blocks))), blocks
 
 
 def knn(vectors: DataFrame, id_col: str, vec_col: str, queries: DataFrame, qid_col: str, qvec_col: str,
-        k: int, max_queries: int = MAX_QUERIES) -> DataFrame:
+        k: int, query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """Exact k nearest vectors per query: (query id, rank, vector id, distance).
 
-    Ties are broken by the vector id (an integer key).  The query id keeps
-    the type it has in ``queries``.
+    Ties are broken by the vector id.  Ids keep their types, whatever they are.
     """
-    qids, qmat = _collect_queries(queries, qid_col, qvec_col, max_queries)
-    qid_type = queries.schema[qid_col].dataType
-    id_type = vectors.schema[id_col].dataType
-    sc = vectors.sparkSession.sparkContext
-    bq = sc.broadcast((qids, qmat))
+    qid_type, id_type = queries.schema[qid_col].dataType, vectors.schema[id_col].dataType
     schema = T.StructType([T.StructField("query_id", qid_type), T.StructField(id_col, id_type),
                            T.StructField("distance", T.DoubleType())])
-
-    def local_top(batches):
-        ids_q, mat = bq.value
-        nq = len(ids_q)
-        if nq == 0:
-            return
-        best_ids = [np.empty(0, dtype=np.int64) for _ in range(nq)]
-        best_d = [np.empty(0) for _ in range(nq)]
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            vecs = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            vid = pdf[id_col].to_numpy(dtype=np.int64)
-            for qi in range(nq):
-                q = mat[qi]
-                acc = np.zeros(len(vid))
-                for j in range(q.shape[0]):  # sequential sum in dimension order
-                    d = vecs[:, j] - q[j]
-                    acc = acc + d * d
-                cand_d = np.concatenate([best_d[qi], acc])
-                cand_i = np.concatenate([best_ids[qi], vid])
-                order = np.lexsort((cand_i, cand_d))[:k]
-                best_d[qi], best_ids[qi] = cand_d[order], cand_i[order]
-        out_q, out_i, out_d = [], [], []
-        for qi in range(nq):
-            out_q += [ids_q[qi]] * len(best_d[qi])
-            out_i += best_ids[qi].tolist()
-            out_d += best_d[qi].tolist()
-        if out_q:
-            yield pd.DataFrame({"query_id": out_q, id_col: out_i, "distance": out_d})
-
-    partial = vectors.select(id_col, vec_col).mapInPandas(local_top, schema)
+    q, q_blocks = _dealt(queries.select(F.col(qid_col).alias("_qid"), F.col(qvec_col).alias("_qv")), "_qid", "_qb", query_block)
+    v, v_blocks = _dealt(vectors.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_v")), "_id", "_vb", vector_block)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q, v = q.withColumn("_vb", every(v_blocks)), v.withColumn("_qb", every(q_blocks))
+
+    def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or held.empty:
+            return pd.DataFrame({"query_id": [], id_col: [], "distance": []})
+        held = held.sort_values("_id", kind="stable")
+        mat, vecs = (np.stack([np.asarray(x, dtype=np.float64) for x in col]) for col in (asked["_qv"], held["_v"]))
+        dist = np.zeros((len(mat), len(vecs)))
+        for j in range(mat.shape[1]):  # sequential sum in dimension order
+            d = vecs[:, j] - mat[:, j:j + 1]
+            dist += d * d
+        best = np.argsort(dist, axis=1, kind="stable")[:, :k]  # ties stay in id order
+        rows = np.repeat(np.arange(len(mat)), best.shape[1])
+        return pd.DataFrame({"query_id": asked["_qid"].to_numpy()[rows], id_col: held["_id"].to_numpy()[best.ravel()],
+                             "distance": dist[rows, best.ravel()]})
+
+    partial = q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb")).applyInPandas(search, schema)
     w = Window.partitionBy("query_id").orderBy("distance", id_col)
     return (partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .withColumn("rank", F.col("rank").cast("long")))

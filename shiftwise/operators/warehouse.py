@@ -16,8 +16,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiftwise.functions.scalars import fill_template, module_label
 from shiftwise.operators.joins import first_per_key, insert_new
 from shiftwise.operators.windows import assign_keys, next_key
+from shiftwise.session import checkpoint_dir
 
 
 # --- D2 ---------------------------------------------------------------------
@@ -127,27 +129,45 @@ def replace_set(current: DataFrame, incoming: DataFrame, owner: Sequence[str]) -
 
 
 def insert_unique(current: DataFrame, incoming: DataFrame, unique_cols: Sequence[str],
-                  order: Sequence) -> DataFrame:
+                  order: Sequence[str]) -> DataFrame:
     """Accept a row unless one of its unique columns is already taken.
 
-    Taken means: stored in ``current`` or held by an earlier row (in
-    ``order``) of the same batch.  Returns the batch with ``status``
+    Taken means: held by a stored row or by an earlier accepted row (``order``
+    is total); a rejected row takes nothing.  Returns the batch with ``status``
     ('accepted' or 'rejected') and ``reason`` (first violated column).
+
+    Decided in rounds: of the open rows, those with a taken value are rejected;
+    of the rest, those that come first for each of their values are accepted,
+    because no open row can take a value from them.  A round settles at least
+    the first open row, usually nearly all.
     """
-    ordk = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
-    res = incoming.withColumn("_ord", ordk)
-    reason = F.lit(None).cast("string")
-    for col in reversed(list(unique_cols)):
-        firsts = (res.groupBy(col).agg(F.min("_ord").alias(f"_first_{col}")))
-        stored = current.select(col).distinct().withColumn(f"_stored_{col}", F.lit(True))
-        res = res.join(firsts, col, "left").join(stored, col, "left")
-    for col in reversed(list(unique_cols)):
-        taken = (F.coalesce(F.col(f"_stored_{col}"), F.lit(False))
-                 | (F.col("_ord") != F.col(f"_first_{col}")))
-        reason = F.when(F.col(col).isNotNull() & taken, F.lit(f"{col} taken")).otherwise(reason)
-    res = res.withColumn("reason", reason).withColumn(
-        "status", F.when(F.col("reason").isNull(), "accepted").otherwise("rejected"))
-    return res.select(*incoming.columns, "status", "reason")
+    checkpoint_dir(incoming.sparkSession)
+    rows = incoming.withColumn("_ord", F.struct(*order)).withColumn("_row", F.to_json("_ord"))
+    values = rows.select("_ord", "_row", F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), F.col(u).cast("string").alias("_v"))
+                                                             for i, u in enumerate(unique_cols)])).alias("x")).select("_ord", "_row", "x.*")
+    values = values.where(F.col("_v").isNotNull()).checkpoint()
+    taken = None  # by stored rows: before any row of the batch
+    for i, u in enumerate(unique_cols):
+        held = current.select(F.lit(i).alias("_i"), F.col(u).cast("string").alias("_v")).where(F.col("_v").isNotNull()).distinct()
+        taken = held if taken is None else taken.unionByName(held)
+    taken = taken.select("_i", "_v", F.lit(None).cast(values.schema["_ord"].dataType).alias("_by")).checkpoint()
+    accepted = rows.select("_row").join(values.select("_row"), "_row", "left_anti")  # rows without any value
+    undecided = values
+    while not undecided.isEmpty():
+        free = undecided.join(undecided.join(taken, ["_i", "_v"], "left_semi").select("_row").distinct(), "_row", "left_anti").checkpoint()
+        first = free.groupBy("_i", "_v").agg(F.min("_ord").alias("_first"))
+        late = free.join(first, ["_i", "_v"]).where(F.col("_ord") != F.col("_first")).select("_row").distinct()
+        won = free.join(late, "_row", "left_anti").checkpoint()
+        accepted = accepted.unionByName(won.select("_row").distinct())
+        taken = taken.unionByName(won.select("_i", "_v", F.col("_ord").alias("_by"))).checkpoint()
+        undecided = free.join(won.select("_row").distinct(), "_row", "left_anti").checkpoint()
+    status = accepted.distinct().withColumn("status", F.lit("accepted"))
+    clash = values.join(taken, ["_i", "_v"]).where(F.col("_by").isNull() | (F.col("_by") < F.col("_ord")))
+    names = F.array(*[F.lit(f"{u} taken") for u in unique_cols])
+    reasons = clash.groupBy("_row").agg(F.min("_i").alias("_i")).select("_row", F.element_at(names, F.col("_i") + 1).alias("_reason"))
+    out = rows.join(status, "_row", "left").join(reasons, "_row", "left")
+    return out.select(*incoming.columns, F.coalesce("status", F.lit("rejected")).alias("status"),
+                      F.when(F.col("status").isNull(), F.col("_reason")).alias("reason"))
 
 
 def delete_by_key(current: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -175,62 +195,95 @@ def adjust_salary(df: DataFrame, salary: str, commission: str, default_pct: floa
               .withColumn("branch", F.when(com.isNotNull(), "COMMISSION").otherwise("DEFAULT")))
 
 
-def audit_rows(adjusted: DataFrame, id_col: str, salary: str, new_salary: str, seq_col: str,
-               module: str = "SALARY.ADJUST") -> DataFrame:
-    """Per adjusted row three log rows (old value, branch, new value).
+# Log levels and texts of the salary procedure.
+DEBUG, INFO, WARNING, ERROR = "DEBUG", "INFO", "WARNING", "ERROR"
+AUDIT_MODULE = "HR_MANAGEMENT"
+AUDIT_UNIT = "HR_MANAGEMENT.ADJUST_SALARIES_BY_COMMISSION"
+MSG_VARIABLE = "[VAR] {name} = {value}"
+MSG_COMMISSION = "Commission_pct found: {value}"
+MSG_DEFAULT = "Commission_pct NULL, applied default 2%"
+MSG_UPDATED = "Updated SALARY -> {value}"
+MSG_START, MSG_END = ">>> START {module}", "<<< END {module}"
+MSG_ZERO_DIVIDE = "Code = [-1476] > ORA-01476: divisor is equal to zero"
+# Lines of the procedure that write the rows (a parameter of the log, not of the result).
+AUDIT_LINES = {"start": 1, "id": 2, "old": 3, "branch": 4, "new": 5, "end": 6, "error": 7}
+
+
+def number_text(x) -> Column:
+    """A decimal as the database writes it: no trailing zeros, no zero before the point."""
+    s = x.cast("string")
+    s = F.when(s.contains("."), F.regexp_replace(F.regexp_replace(s, "0+$", ""), "[.]$", "")).otherwise(s)
+    return F.when(s == "0", s).otherwise(F.regexp_replace(s, "^(-?)0[.]", "$1."))
+
+
+def _log_columns(log_time, module: Column, line, level, message) -> list[Column]:
+    return [F.lit(log_time).cast("timestamp_ntz").alias("log_time"), module.alias("module_name"),
+            line.cast("long").alias("line_no"), level.alias("log_level"), message.alias("log_message")]
+
+
+def audit_rows(adjusted: DataFrame, id_col: str, salary: str, commission: str, new_salary: str, seq_col: str,
+               log_time: str, lines: dict[str, int] | None = None) -> DataFrame:
+    """Four log rows per adjusted row: id, old value, branch, new value.
 
     ``seq_col`` is the row's 1-based position (from ``assign_keys``); log ids
-    are ``1 + 3 * (seq - 1) + i`` so the START row is 1 and ids are dense.
-    The branch row is a WARNING when the default percentage was used.
+    are ``1 + 4 * (seq - 1) + i`` so the START row is 1 and ids are dense.
+    All are DEBUG, but the branch row of the default percentage is a WARNING.
     """
-    sid = F.col(id_col).cast("string")
+    at = {**AUDIT_LINES, **(lines or {})}
+    unset = F.col(commission).isNull()
+
+    def row(i: int, line: str, message: Column, level: Column | None = None) -> Column:
+        return F.struct(F.lit(i).alias("i"), F.lit(at[line]).alias("line"), (F.lit(DEBUG) if level is None else level).alias("level"),
+                        message.alias("message"))
+
     rows = F.array(
-        F.struct(F.lit(1).alias("i"), F.lit("INFO").alias("log_level"),
-                 F.concat(F.lit("employee "), sid, F.lit(" old salary "),
-                          F.col(salary).cast("decimal(12,2)").cast("string")).alias("log_message")),
-        F.struct(F.lit(2).alias("i"),
-                 F.when(F.col("branch") == "DEFAULT", "WARNING").otherwise("INFO").alias("log_level"),
-                 F.when(F.col("branch") == "DEFAULT",
-                        F.concat(F.lit("employee "), sid, F.lit(" has no commission, default used")))
-                 .otherwise(F.concat(F.lit("employee "), sid, F.lit(" commission applied"))).alias("log_message")),
-        F.struct(F.lit(3).alias("i"), F.lit("INFO").alias("log_level"),
-                 F.concat(F.lit("employee "), sid, F.lit(" new salary "),
-                          F.col(new_salary).cast("string")).alias("log_message")))
+        row(1, "id", fill_template(MSG_VARIABLE, name=F.lit("EMP_ID"), value=F.col(id_col).cast("string"))),
+        row(2, "old", fill_template(MSG_VARIABLE, name=F.lit("OLD_SALARY"), value=number_text(F.col(salary)))),
+        row(3, "branch", F.when(unset, F.lit(MSG_DEFAULT)).otherwise(fill_template(MSG_COMMISSION, value=number_text(F.col(commission)))),
+            F.when(unset, F.lit(WARNING)).otherwise(F.lit(DEBUG))),
+        row(4, "new", fill_template(MSG_UPDATED, value=number_text(F.col(new_salary)))))
     ex = adjusted.select(seq_col, F.explode(rows).alias("r"))
-    return ex.select(
-        (F.lit(1) + (F.col(seq_col) - 1) * 3 + F.col("r.i")).cast("long").alias("log_id"),
-        F.lit(module).alias("module_name"), F.col("r.log_level").alias("log_level"),
-        F.col("r.log_message").alias("log_message"))
+    label = module_label(F.lit(AUDIT_UNIT), F.lit(AUDIT_MODULE), F.lit("PROCEDURE"))
+    return ex.select((F.lit(1) + (F.col(seq_col) - 1) * 4 + F.col("r.i")).cast("long").alias("log_id"),
+                     *_log_columns(log_time, label, F.col("r.line"), F.col("r.level"), F.col("r.message")))
 
 
 def update_with_audit(table: DataFrame, id_col: str, salary: str, commission: str, table_path: str,
-                      log_path: str, debug: bool = True, default_pct: float = 0.02) -> str:
+                      log_path: str, log_time: str, debug: bool = True, default_pct: float = 0.02) -> str:
     """D14 end to end: adjust, write the audit log first (append; it survives a
     failed table write, like the autonomous log transaction), then the new
     table version (staged)."""
     adjusted = adjust_salary(table, salary, commission, default_pct)
     seq = assign_keys(adjusted, [id_col], "_seq")
     total = adjusted.agg(F.count(F.lit(1))).scalar()
-    log = filter_log(bracket_log(audit_rows(seq, id_col, salary, "new_salary", "_seq"), total), debug)
+    body = audit_rows(seq, id_col, salary, commission, "new_salary", "_seq", log_time)
+    log = filter_log(bracket_log(body, total, log_time), debug)
     log.write.mode("append").parquet(log_path)
     new_table = adjusted.withColumn(salary, F.col("new_salary")).drop("new_salary", "branch")
     return stage_and_swap(new_table, table_path)
 
 
-def bracket_log(body: DataFrame, total: Column, module: str = "SALARY.ADJUST") -> DataFrame:
-    """START (id 1) and END (id 3 * total + 2) rows around an audit body."""
-    spark = body.sparkSession
-    one = spark.range(1)
-    start = one.select(F.lit(1).cast("long").alias("log_id"), F.lit(module).alias("module_name"),
-                       F.lit("INFO").alias("log_level"), F.lit("START").alias("log_message"))
-    end = one.select((total * 3 + 2).cast("long").alias("log_id"), F.lit(module).alias("module_name"),
-                     F.lit("INFO").alias("log_level"), F.lit("END").alias("log_message"))
-    return start.unionByName(body).unionByName(end)
+def bracket_log(body: DataFrame, total: Column, log_time: str, lines: dict[str, int] | None = None) -> DataFrame:
+    """START (id 1) and END (id 4 * total + 2) rows around an audit body."""
+    at = {**AUDIT_LINES, **(lines or {})}
+    label = module_label(F.lit(AUDIT_UNIT), F.lit(AUDIT_MODULE), F.lit("PROCEDURE"))
+    one = body.sparkSession.range(1)
+    ends = [one.select(id_.cast("long").alias("log_id"), *_log_columns(
+        log_time, label, F.lit(at[line]), F.lit(INFO), fill_template(text, module=F.lit(AUDIT_MODULE))))
+        for id_, line, text in ((F.lit(1), "start", MSG_START), (total * 4 + 2, "end", MSG_END))]
+    return ends[0].unionByName(body).unionByName(ends[1])
+
+
+def error_rows(failed: DataFrame, id_col: str, unit: str, module: str, kind: str, log_time: str, line: int = AUDIT_LINES["error"]) -> DataFrame:
+    """One ERROR row for each row whose division failed; ``log_id`` is the row's id."""
+    label = module_label(F.lit(unit), F.lit(module), F.lit(kind))
+    return failed.select(F.col(id_col).cast("long").alias("log_id"),
+                         *_log_columns(log_time, label, F.lit(line), F.lit(ERROR), F.lit(MSG_ZERO_DIVIDE)))
 
 
 def filter_log(log: DataFrame, debug: bool, level_col: str = "log_level") -> DataFrame:
-    """Everything in debug mode; otherwise only WARNING and ERROR rows."""
-    return log if debug else log.where(F.col(level_col).isin("WARNING", "ERROR"))
+    """Messages and variables are written in debug mode only, errors always."""
+    return log if debug else log.where(F.col(level_col) == ERROR)
 
 
 # --- D12, D13: persisted results --------------------------------------------

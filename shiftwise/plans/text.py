@@ -161,11 +161,11 @@ q AS (SELECT v.conv_id, v.turn, v.text, p.p_name AS title, lower(COALESCE(v.text
       FROM conversations v LEFT JOIN part p ON p.p_partkey = v.conv_id WHERE v.role = 'user')
 SELECT q.conv_id, q.turn, q.title,
   CASE WHEN q.title IS NULL THEN NULL
-       WHEN strpos(ql, 'pagin') > 0 THEN CASE WHEN m.pages IS NOT NULL THEN '„' || q.title || '” are ' || CAST(m.pages AS VARCHAR) || ' pagini.'
+       WHEN strpos(ql, 'pagin') > 0 THEN CASE WHEN COALESCE(m.pages, 0) <> 0 THEN '„' || q.title || '” are ' || CAST(m.pages AS VARCHAR) || ' pagini.'
             ELSE 'Nu am local numărul de pagini pentru „' || q.title || '”. Pot însă să-ți ofer rezumatul sau alte recomandări.' END
-       WHEN strpos(ql, 'autor') > 0 OR strpos(ql, 'scris') > 0 THEN CASE WHEN m.author IS NOT NULL THEN '„' || q.title || '” este scrisă de ' || m.author || '.'
+       WHEN strpos(ql, 'autor') > 0 OR strpos(ql, 'scris') > 0 THEN CASE WHEN COALESCE(m.author, '') <> '' THEN '„' || q.title || '” este scrisă de ' || m.author || '.'
             ELSE 'Nu am local autorul pentru „' || q.title || '”. Pot să-ți ofer rezumatul sau alte recomandări.' END
-       WHEN strpos(ql, 'anul') > 0 OR strpos(ql, 'publicat') > 0 OR strpos(ql, 'aparit') > 0 THEN CASE WHEN m.year IS NOT NULL THEN '„' || q.title || '” a fost publicată în ' || CAST(m.year AS VARCHAR) || '.'
+       WHEN strpos(ql, 'anul') > 0 OR strpos(ql, 'publicat') > 0 OR strpos(ql, 'aparit') > 0 THEN CASE WHEN COALESCE(m.year, 0) <> 0 THEN '„' || q.title || '” a fost publicată în ' || CAST(m.year AS VARCHAR) || '.'
             ELSE 'Nu am local anul apariției pentru „' || q.title || '”. Pot să-ți ofer rezumatul sau alte recomandări.' END
        ELSE 'Despre „' || q.title || '”: iată rezumatul pe scurt.' END AS answer,
   CASE WHEN strpos(ql, 'pagin') > 0 OR strpos(ql, 'autor') > 0 OR strpos(ql, 'scris') > 0 OR strpos(ql, 'anul') > 0
@@ -193,10 +193,10 @@ def _route_sql() -> str:
     offensive = (f"list_has_any(regexp_extract_all(lower(COALESCE(text, '')), '{tx.TOKEN_PATTERN}'), {_WORDS_SQL})")
     return f"""
 WITH RECURSIVE {_KEYS_SQL},
-tw AS (SELECT DISTINCT key AS title, pos, unnest(list_distinct(regexp_extract_all(lower(key), '[\\pL\\pN]{{3,}}'))) AS w FROM k),
+tw AS (SELECT DISTINCT key AS title, pos, unnest(list_distinct(regexp_extract_all(lower(key), '[\\pL\\pN]+'))) AS w FROM k),
 u AS (SELECT conv_id, turn, text, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS rn
       FROM conversations WHERE role = 'user'),
-qw AS (SELECT DISTINCT conv_id, turn, unnest(list_distinct(regexp_extract_all(lower(COALESCE(text, '')), '[\\pL\\pN]{{3,}}'))) AS w FROM u),
+qw AS (SELECT DISTINCT conv_id, turn, unnest(list_distinct(regexp_extract_all(lower(COALESCE(text, '')), '[\\pL\\pN]+'))) AS w FROM u),
 sc AS (SELECT qw.conv_id, qw.turn, tw.title, tw.pos, COUNT(*) AS score FROM qw JOIN tw ON qw.w = tw.w
        GROUP BY qw.conv_id, qw.turn, tw.title, tw.pos),
 top AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, pos) AS r FROM sc),

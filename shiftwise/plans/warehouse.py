@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from shiftwise.functions.scalars import divide_error, module_label, safe_divide
 from shiftwise.operators import warehouse as wh
 from shiftwise.operators.windows import assign_keys
 from shiftwise.plans.common import c, money, ts_text
@@ -119,26 +120,30 @@ def replace_set_q(spark, sf):
 
 
 @query("insert_unique", """
-WITH inc AS (
-  SELECT c_custkey, lower(c_mktsegment) || CAST(c_nationkey AS VARCHAR) AS username,
-         'supplier#' || lpad(CAST(c_custkey % 150 AS VARCHAR), 9, '0') || '@corp.test' AS email
+WITH RECURSIVE inc AS (
+  SELECT c_custkey, lower(c_mktsegment) || CAST(c_nationkey AS VARCHAR) || '-' || CAST(c_custkey % 11 AS VARCHAR) AS username,
+         'supplier#' || lpad(CAST(c_custkey % 450 AS VARCHAR), 9, '0') || '@corp.test' AS email,
+         ROW_NUMBER() OVER (ORDER BY c_custkey) AS rn
   FROM customer),
-cur AS (SELECT 'u' || CAST(s_nationkey AS VARCHAR) AS username, lower(s_name) || '@corp.test' AS email FROM supplier),
-f AS (SELECT *, MIN(c_custkey) OVER (PARTITION BY username) AS fu,
-                MIN(c_custkey) OVER (PARTITION BY email) AS fe FROM inc),
-g AS (SELECT *, (username IN (SELECT username FROM cur) OR c_custkey <> fu) AS bad_u,
-                (email IN (SELECT email FROM cur) OR c_custkey <> fe) AS bad_e FROM f)
-SELECT c_custkey, username, email,
-       CASE WHEN bad_u OR bad_e THEN 'rejected' ELSE 'accepted' END AS status,
-       CASE WHEN bad_u THEN 'username taken' WHEN bad_e THEN 'email taken' END AS reason
-FROM g
+cur AS (SELECT list('u' || CAST(s_nationkey AS VARCHAR)) AS users, list(lower(s_name) || '@corp.test') AS mails FROM supplier),
+s AS (
+  SELECT CAST(0 AS BIGINT) AS rn, users, mails, CAST(NULL AS VARCHAR) AS reason FROM cur
+  UNION ALL
+  SELECT inc.rn, CASE WHEN x.reason IS NULL THEN list_append(s.users, inc.username) ELSE s.users END,
+         CASE WHEN x.reason IS NULL THEN list_append(s.mails, inc.email) ELSE s.mails END, x.reason
+  FROM s JOIN inc ON inc.rn = s.rn + 1,
+       LATERAL (SELECT CASE WHEN list_contains(s.users, inc.username) THEN 'username taken'
+                            WHEN list_contains(s.mails, inc.email) THEN 'email taken' END AS reason) x)
+SELECT c_custkey, username, email, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason
+FROM inc JOIN s ON s.rn = inc.rn
 """)
 def insert_unique_q(spark, sf):
     t = Tables(spark, sf)
     incoming = t.customer.select(
         "c_custkey",
-        F.concat(F.lower("c_mktsegment"), c("c_nationkey").cast("string")).alias("username"),
-        F.concat(F.lit("supplier#"), F.lpad((c("c_custkey") % 150).cast("string"), 9, "0"),
+        F.concat(F.lower("c_mktsegment"), c("c_nationkey").cast("string"), F.lit("-"),
+                 (c("c_custkey") % 11).cast("string")).alias("username"),
+        F.concat(F.lit("supplier#"), F.lpad((c("c_custkey") % 450).cast("string"), 9, "0"),
                  F.lit("@corp.test")).alias("email"))
     current = t.supplier.select(F.concat(F.lit("u"), c("s_nationkey").cast("string")).alias("username"),
                                 F.concat(F.lower("s_name"), F.lit("@corp.test")).alias("email"))
@@ -177,7 +182,7 @@ def ensure_rows_q(spark, sf):
 
 
 def _adjusted(t: Tables):
-    nations = F.broadcast(t.nation.select("n_nationkey", "n_regionkey"))  # 25 rows by definition
+    nations = t.nation.select("n_nationkey", "n_regionkey")
     base = t.supplier.join(nations, c("s_nationkey") == c("n_nationkey")).select(
         "s_suppkey", c("s_acctbal").cast("decimal(12,2)").alias("salary"),
         F.when(c("n_regionkey") == 0, F.lit(None)).otherwise(c("n_regionkey") * F.lit(0.05))
@@ -208,26 +213,72 @@ def adjust_salary_q(spark, sf):
                       money("new_salary").alias("new_salary"), "branch")
 
 
-@query("audit_log", f"""
+LOG_TIME = "2025-06-05 12:00:00"
+
+
+def _number_sql(x: str) -> str:
+    text = f"CAST({x} AS VARCHAR)"
+    text = f"CASE WHEN strpos({text}, '.') > 0 THEN regexp_replace(regexp_replace({text}, '0+$', ''), '[.]$', '') ELSE {text} END"
+    return f"CASE WHEN {text} = '0' THEN '0' ELSE regexp_replace({text}, '^(-?)0[.]', '\\1.') END"
+
+
+_LABEL_SQL = "'[Package] --> HR_MANAGEMENT    [PROCEDURE] --> ADJUST_SALARIES_BY_COMMISSION'"
+
+
+def _audit_sql(debug: bool) -> str:
+    rows = f"""
 WITH adj AS (SELECT a.*, ROW_NUMBER() OVER (ORDER BY s_suppkey) AS seq FROM ({_ADJ_SQL}) a),
 body AS (
-  SELECT 1 + (seq - 1) * 3 + 1 AS log_id, 'INFO' AS log_level,
-         'employee ' || CAST(s_suppkey AS VARCHAR) || ' old salary ' || CAST(old AS VARCHAR) AS log_message FROM adj
-  UNION ALL
-  SELECT 1 + (seq - 1) * 3 + 2, CASE WHEN branch = 'DEFAULT' THEN 'WARNING' ELSE 'INFO' END,
-         CASE WHEN branch = 'DEFAULT' THEN 'employee ' || CAST(s_suppkey AS VARCHAR) || ' has no commission, default used'
-              ELSE 'employee ' || CAST(s_suppkey AS VARCHAR) || ' commission applied' END FROM adj
-  UNION ALL
-  SELECT 1 + (seq - 1) * 3 + 3, 'INFO',
-         'employee ' || CAST(s_suppkey AS VARCHAR) || ' new salary ' || CAST(new AS VARCHAR) FROM adj)
-SELECT CAST(log_id AS BIGINT) AS log_id, 'SALARY.ADJUST' AS module_name, log_level, log_message FROM body
-UNION ALL SELECT CAST(1 AS BIGINT), 'SALARY.ADJUST', 'INFO', 'START'
-UNION ALL SELECT CAST((SELECT COUNT(*) FROM adj) * 3 + 2 AS BIGINT), 'SALARY.ADJUST', 'INFO', 'END'
-""")
+  SELECT 4 * seq - 2 AS log_id, 2 AS line_no, 'DEBUG' AS log_level, '[VAR] EMP_ID = ' || CAST(s_suppkey AS VARCHAR) AS log_message FROM adj
+  UNION ALL SELECT 4 * seq - 1, 3, 'DEBUG', '[VAR] OLD_SALARY = ' || {_number_sql('old')} FROM adj
+  UNION ALL SELECT 4 * seq, 4, CASE WHEN com IS NULL THEN 'WARNING' ELSE 'DEBUG' END,
+         CASE WHEN com IS NULL THEN 'Commission_pct NULL, applied default 2%' ELSE 'Commission_pct found: ' || {_number_sql('com')} END FROM adj
+  UNION ALL SELECT 4 * seq + 1, 5, 'DEBUG', 'Updated SALARY -> ' || {_number_sql('new')} FROM adj
+  UNION ALL SELECT 1, 1, 'INFO', '>>> START HR_MANAGEMENT'
+  UNION ALL SELECT (SELECT COUNT(*) FROM adj) * 4 + 2, 6, 'INFO', '<<< END HR_MANAGEMENT'),
+err AS (SELECT s_suppkey AS log_id, 7 AS line_no, 'ERROR' AS log_level,
+               'Code = [-1476] > ORA-01476: divisor is equal to zero' AS log_message
+        FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE n.n_regionkey = 0),
+log AS (SELECT *, {_LABEL_SQL} AS module_name FROM body
+        UNION ALL SELECT *, '[Package] --> HR_MANAGEMENT    [Function] --> TEST_ERROR_LOGGING' FROM err)
+SELECT CAST(log_id AS BIGINT) AS log_id, '{LOG_TIME}' AS log_time, module_name, CAST(line_no AS BIGINT) AS line_no, log_level, log_message FROM log
+"""
+    return rows if debug else rows + "WHERE log_level = 'ERROR'"
+
+
+def _audit(spark, sf, debug: bool):
+    """Salary audit, and the errors of a division (by the region's number) that fails for some suppliers."""
+    t = Tables(spark, sf)
+    adj = _adjusted(t)
+    body = wh.audit_rows(assign_keys(adj, ["s_suppkey"], "seq"), "s_suppkey", "salary", "commission_pct", "new_salary", "seq", LOG_TIME)
+    log = wh.bracket_log(body, adj.agg(F.count(F.lit(1))).scalar(), LOG_TIME)
+    parts = t.supplier.join(t.nation, c("s_nationkey") == c("n_nationkey")).withColumn("share", safe_divide("s_acctbal", "n_regionkey"))
+    failed = parts.where(c("share").isNull() & divide_error("n_regionkey").isNotNull())
+    errors = wh.error_rows(failed, "s_suppkey", "HR_MANAGEMENT.TEST_ERROR_LOGGING", "HR_MANAGEMENT", "FUNCTION", LOG_TIME)
+    return wh.filter_log(log.unionByName(errors), debug).withColumn("log_time", F.date_format("log_time", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("audit_log", _audit_sql(True))
 def audit_log_q(spark, sf):
-    adj = _adjusted(Tables(spark, sf))
-    seq = assign_keys(adj, ["s_suppkey"], "seq")
-    body = wh.audit_rows(seq, "s_suppkey", "salary", "new_salary", "seq")
-    total = adj.agg(F.count(F.lit(1))).scalar()
-    log = wh.bracket_log(body, total)
-    return wh.filter_log(log, debug=True)
+    return _audit(spark, sf, True)
+
+
+@query("audit_log_quiet", _audit_sql(False))
+def audit_log_quiet_q(spark, sf):
+    return _audit(spark, sf, False)
+
+
+@query("module_label", """
+SELECT p_partkey, CASE p_partkey % 4
+  WHEN 0 THEN 'Stored PROCEDURE: ' || upper(p_brand)
+  WHEN 1 THEN '[Package] --> ' || p_brand || '    [Function] --> ' || p_type
+  WHEN 2 THEN '[Package] --> ' || p_brand || '    [PROCEDURE] --> ' || p_type
+  ELSE 'No package; No procedure; No function. Check anonymous PL/SQL blocks.' END AS label
+FROM part
+""")
+def module_label_q(spark, sf):
+    """P15 over made-up units of the parts: stored, function, procedure, anonymous."""
+    part, kind = Tables(spark, sf).part, c("p_partkey") % 4
+    unit = F.when(kind == 0, F.upper("p_brand")).otherwise(F.concat("p_brand", F.lit("."), c("p_type")))
+    what = F.when(kind == 1, "function").when(kind != 3, "PROCEDURE")
+    return part.select("p_partkey", module_label(unit, c("p_brand"), what).alias("label"))

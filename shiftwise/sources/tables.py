@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 TEST_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -15,11 +16,13 @@ TEST_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
 
 
 def read_table(spark: SparkSession, base: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """Scan ``<base>/<name>.parquet`` (file) or ``<base>/<name>`` (directory)."""
-    path = os.path.join(base, f"{name}.parquet")
-    if not os.path.exists(path) and os.path.exists(os.path.join(base, name)):
-        path = os.path.join(base, name)
-    df = spark.read.parquet(path)
+    """Scan ``<base>/<name>.parquet`` (file or folder), or else the folder ``<base>/<name>``."""
+    try:
+        df = spark.read.parquet(os.path.join(base, f"{name}.parquet"))
+    except AnalysisException as e:  # asked of the file system that holds it
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        df = spark.read.parquet(os.path.join(base, name))
     return df.select(*columns) if columns else df
 
 

@@ -79,13 +79,16 @@ def usage_sessions_windowed(uses: DataFrame, key: str, ts: str, ttl_s: int = ANO
                     F.when(F.col("uses") >= limit, "blocked").otherwise("open").alias("verdict"))
 
 
+_NO_KEY = object()  # unlike any key, null included
+
+
 def _walk(df: DataFrame, key: str, order: Sequence[str], schema: T.StructType, step) -> DataFrame:
     """Per-key ordered scan: ``step(state, row) -> (state, outputs)``, state reset per key."""
     names = [f.name for f in schema.fields]
     extra = [f.name for f in schema.fields if f.name not in df.columns]
 
     def run(batches):
-        cur, state = object(), None
+        cur, state = _NO_KEY, None
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -93,7 +96,7 @@ def _walk(df: DataFrame, key: str, order: Sequence[str], schema: T.StructType, s
             rows = pdf.to_dict("records")
             outs = {c: [None] * len(pdf) for c in extra}
             for i, r in enumerate(rows):
-                if keys[i] != cur:
+                if keys[i] != cur and not (pd.isna(keys[i]) and pd.isna(cur)):
                     cur, state = keys[i], None
                 state, out = step(state, r)
                 for c in extra:
@@ -103,8 +106,7 @@ def _walk(df: DataFrame, key: str, order: Sequence[str], schema: T.StructType, s
                 pdf[c] = outs[c]
             yield pdf[names]
 
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def epoch_seconds(col: str | Column) -> Column:
@@ -127,13 +129,20 @@ def _segmented(df: DataFrame, key: str, ts: str, reset_gap_s: int) -> DataFrame:
     there: segments are independent and a hot key's history is spread over
     many tasks instead of one.
     """
-    per = gap_session_buckets(df, key, ts, reset_gap_s).select(key, "_bucket", "session_no")
-    b = F.floor(epoch_seconds(ts) / F.lit(reset_gap_s)).cast("long")
-    out = df.withColumn("_bucket", b).join(per, [key, "_bucket"])
-    return out.withColumn("_seg", F.concat_ws("#", F.col(key).cast("string"), F.col("session_no").cast("string"))
+    out = _with_session(df, key, ts, gap_session_buckets(df, key, ts, reset_gap_s), reset_gap_s)
+    named = F.when(F.col(key).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(key).cast("string")))
+    return out.withColumn("_seg", F.concat(named, F.lit("#"), F.coalesce(F.col("session_no").cast("string"), F.lit("")))
                           ).drop("_bucket", "session_no")
 
 
+def _with_session(df: DataFrame, key: str, ts: str, buckets: DataFrame, width_s: int) -> DataFrame:
+    """``df`` with ``_bucket`` and ``session_no``; events without a key are those of one more key."""
+    per = buckets.select(F.col(key).alias("_pk"), F.col("_bucket").alias("_pb"), "session_no")
+    b = F.floor(epoch_seconds(ts) / F.lit(width_s)).cast("long")
+    return df.withColumn("_bucket", b).join(
+        per, F.col(key).eqNullSafe(F.col("_pk")) & F.col("_bucket").eqNullSafe(F.col("_pb"))).drop("_pk", "_pb")
+
+
 def _epoch(x) -> int:
     """Microseconds since the epoch of a wall-clock timestamp (exact integer)."""
     return pd.Timestamp(x).value // 1000
@@ -235,10 +244,8 @@ def context_sessions(events: DataFrame, key: str, ts: str, tiebreak: str, ttl_s:
     the TTL (key with expiry).  Adds ``ctx_session`` (1, 2, ... per key) from
     ``gap_session_buckets`` joined back on (key, bucket).
     """
-    per = gap_session_buckets(events, key, ts, ttl_s, strict_gap).select(key, "_bucket", "session_no")
-    b = F.floor(epoch_seconds(ts) / F.lit(ttl_s)).cast("long")
-    out = (events.withColumn("_bucket", b).join(per, [key, "_bucket"])
-           .withColumnRenamed("session_no", "ctx_session"))
+    out = _with_session(events, key, ts, gap_session_buckets(events, key, ts, ttl_s, strict_gap), ttl_s
+                        ).withColumnRenamed("session_no", "ctx_session")
     return out if keep_bucket else out.drop("_bucket")
 
 
@@ -272,9 +279,10 @@ def session_context(events: DataFrame, key: str, ts: str, tiebreak: str, fields:
     ends = s.groupBy(key, "ctx_session", "_bucket").agg(
         *[F.max_by(F.col(f"_w_{n}"), F.when(F.col(f"_w_{n}").isNotNull(), order)).alias(f"_e_{n}") for n in writes])
     carry_w = Window.partitionBy(key, "ctx_session").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(key, "ctx_session", "_bucket",
+    ends = ends.select(F.col(key).alias("_ek"), F.col("ctx_session").alias("_es"), F.col("_bucket").alias("_eb"),
                        *[F.last(f"_e_{n}", ignorenulls=True).over(carry_w).alias(f"_c_{n}") for n in writes])
-    s = s.join(ends, [key, "ctx_session", "_bucket"])
+    s = s.join(ends, F.col(key).eqNullSafe(F.col("_ek")) & F.col("ctx_session").eqNullSafe(F.col("_es"))
+               & F.col("_bucket").eqNullSafe(F.col("_eb"))).drop("_ek", "_es", "_eb")
     for n in writes:
         s = s.withColumn(n, F.coalesce(F.last(f"_w_{n}", ignorenulls=True).over(inb), F.col(f"_c_{n}"))["v"])
     return s.drop("_bucket", *[f"_w_{n}" for n in writes], *[f"_c_{n}" for n in writes])

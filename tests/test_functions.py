@@ -35,7 +35,7 @@ def test_names_labels_and_lists(spark):
     df = spark.createDataFrame([("Ana", None, "PKG.MOD.SUB", " a, ,b ,c ")], "f string, l string, q string, t string")
     pkg, mod = sc.split_qualified_name(F.col("q"))
     r = df.select(sc.full_name("f", "l").alias("n"), pkg.alias("p"), mod.alias("m"),
-                  sc.module_label(F.lit("PKG"), F.lit("MOD"), F.lit("PROCEDURE")).alias("lab"),
+                  sc.module_label(F.lit("PKG.MOD"), F.lit("PKG"), F.lit("procedure")).alias("lab"),
                   sc.module_label(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("X")).alias("anon"),
                   sc.split_list("t").alias("items"),
                   sc.render_document(F.lit("T"), F.array(F.lit("a"), F.lit("b")), F.lit("S")).alias("doc"),
@@ -44,7 +44,8 @@ def test_names_labels_and_lists(spark):
                   sc.estimate_tokens(F.lit("  one two\nthree  ")).alias("tok"),
                   sc.estimate_tokens(F.lit("")).alias("tok0")).first()
     assert r.n == "Ana" and (r.p, r.m) == ("PKG", "MOD.SUB")
-    assert r.lab == "PROCEDURE PKG.MOD" and r.anon == "ANONYMOUS BLOCK"
+    assert r.lab == "[Package] --> PKG    [PROCEDURE] --> MOD"
+    assert r.anon == "No package; No procedure; No function. Check anonymous PL/SQL blocks."
     assert r.items == ["a", "b", "c"]
     assert r.doc == "Title: T\nThemes: a, b\nSummary: S" and r.id == "book_T" and r.mgr == "M1"
     assert (r.tok, r.tok0) == (3, 0)

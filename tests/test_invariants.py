@@ -17,7 +17,7 @@ def test_distributed_rank_matches_window(spark):
     df = spark.createDataFrame(rows, "id long, v int, x double")
     for method, fn in (("rank", F.rank), ("dense_rank", F.dense_rank), ("row_number", F.row_number)):
         order = [F.col("v").desc_nulls_first(), "id"] if method == "row_number" else [F.col("v").desc_nulls_first()]
-        got = global_rank(df, order, method, "r", offset=10, num_partitions=6, single_task_max_rows=0)
+        got = global_rank(df, order, method, "r", offset=10, num_partitions=6)
         exp = df.withColumn("r", fn().over(Window.orderBy(*order)) + 10)
         assert sorted(got.select("id", "r").collect()) == sorted(exp.select("id", "r").collect()), method
 

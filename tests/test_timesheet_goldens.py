@@ -44,7 +44,7 @@ def test_regular_totals_and_rank(ts):
     got = {r.employee_id: int(r.total_hours) for r in totals.collect()}
     assert got == {103: 32, 100: 24, 127: 24, 124: 12}
     ranked = global_rank(totals, [F.col("total_hours").desc_nulls_first()], "rank", "rk",
-                         num_partitions=3, single_task_max_rows=0)
+                         num_partitions=3)
     assert {r.employee_id: r.rk for r in ranked.collect()} == {103: 1, 100: 2, 127: 2, 124: 4}
 
 
