@@ -119,9 +119,8 @@ def project_hours_frame(t: Tables):
     """A2 / materialized view body: hours per employee x project."""
     lines = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity").join(
         t.part.select("p_partkey", "p_brand"), c("l_partkey") == c("p_partkey"))
-    per_order = agg.hours_by_key(lines, ["l_orderkey", "p_brand"], "l_quantity", out="h")
-    per_emp = (per_order.join(t.orders.select("o_orderkey", "o_custkey"), c("l_orderkey") == c("o_orderkey"))
-               .groupBy("o_custkey", "p_brand").agg(F.sum("h").alias("h")))
+    lines = lines.join(t.orders.select("o_orderkey", "o_custkey"), c("l_orderkey") == c("o_orderkey"))
+    per_emp = agg.hours_by_key(lines, ["o_custkey", "p_brand"], "l_quantity", out="h")
     named = per_emp.join(t.customer.select("c_custkey", "c_name"), c("o_custkey") == c("c_custkey"))
     return named.select(c("o_custkey").alias("employee_id"), c("c_name").alias("full_name"),
                         c("p_brand").alias("project_id"), money("h").alias("total_hours"))

@@ -193,12 +193,20 @@ def hourly_cap(attempts: DataFrame, key: str, ts: str, tiebreak: str,
     """Attempts per key and clock hour; allowed while the running count <= limit.
 
     Refused attempts still count (the counter is incremented before the test).
+    Attempts are numbered within their second, after those of earlier seconds of
+    the hour (at most 3600 counts), so a busy hour is not one task.
     """
-    hour = F.date_trunc("hour", F.col(ts))
-    w = Window.partitionBy(key, hour).orderBy(ts, tiebreak)
-    return (attempts.withColumn("hour_key", F.date_format(hour, "yyyyMMddHH"))
-            .withColumn("attempt_no", F.row_number().over(w).cast("long"))
-            .withColumn("allowed", (F.col("attempt_no") <= limit).cast("int")))
+    x = attempts.withColumn("_h", F.date_trunc("hour", F.col(ts))).withColumn("_s", F.date_trunc("second", F.col(ts)))
+    counts = x.groupBy(key, "_h", "_s").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(key, "_h").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col(key).alias("_ck"), F.col("_s").alias("_cs"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    w = Window.partitionBy(key, "_s").orderBy(ts, tiebreak)
+    return (x.withColumn("_row", F.row_number().over(w))
+            .join(counts, F.col(key).eqNullSafe(F.col("_ck")) & F.col("_s").eqNullSafe(F.col("_cs")))
+            .withColumn("hour_key", F.date_format("_h", "yyyyMMddHH"))
+            .withColumn("attempt_no", (F.col("_before") + F.col("_row")).cast("long"))
+            .withColumn("allowed", (F.col("attempt_no") <= limit).cast("int"))
+            .drop("_h", "_s", "_ck", "_cs", "_row", "_before"))
 
 
 def send_step(ts: str, cooldown_s: int = OTP_COOLDOWN_S, limit: int = OTP_HOURLY_LIMIT):
