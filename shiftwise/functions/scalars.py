@@ -166,13 +166,12 @@ def usage_cost(df: DataFrame, prices: DataFrame, model: str, tokens_in: str, tok
                out: str = "usd_cost") -> DataFrame:
     """in/1000 * price_in + out/1000 * price_out, unknown model -> 0, 6 decimals.
 
-    ``prices`` is the (small, literal) price list ``model, price_in, price_out``
-    per 1000 tokens; it is broadcast: its size is the number of price entries.
+    ``prices`` is the price list ``model, price_in, price_out`` per 1000 tokens.
     Arithmetic is decimal so costs are exact.
     """
-    p = F.broadcast(prices.select(F.col("model").alias("_pm"),
-                                  (F.col("price_in").cast("decimal(12,8)") / 1000).cast("decimal(16,12)").alias("_pin"),
-                                  (F.col("price_out").cast("decimal(12,8)") / 1000).cast("decimal(16,12)").alias("_pout")))
+    p = prices.select(F.col("model").alias("_pm"),
+                      (F.col("price_in").cast("decimal(12,8)") / 1000).cast("decimal(16,12)").alias("_pin"),
+                      (F.col("price_out").cast("decimal(12,8)") / 1000).cast("decimal(16,12)").alias("_pout"))
     j = df.join(p, F.lower(F.col(model)) == F.lower(F.col("_pm")), "left")
     cost = (F.col(tokens_in).cast("decimal(18,0)") * F.coalesce(F.col("_pin"), F.lit(0).cast("decimal(16,12)"))
             + F.col(tokens_out).cast("decimal(18,0)") * F.coalesce(F.col("_pout"), F.lit(0).cast("decimal(16,12)")))

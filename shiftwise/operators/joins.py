@@ -4,8 +4,7 @@ Policy for join strategies: equi joins are declared plainly and Catalyst/AQE
 pick broadcast-hash vs sort-merge from statistics (the size check is
 ``spark.sql.autoBroadcastJoinThreshold`` and AQE's runtime sizes).  An explicit
 ``broadcast`` hint is only given to inputs with a proven bound: one-row
-scalars, per-partition tables, literal lists and key lists whose row count is
-checked first (``bounded_broadcast``).
+scalars, literal lists and tables with a row for each partition.
 """
 
 from __future__ import annotations
@@ -17,23 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-class TooLargeToBroadcast(ValueError):
-    pass
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast-hint ``df`` after checking it has at most ``max_rows`` rows.
-
-    The count is one aggregate job over an input that is meant to be small
-    (key lists, word lists); above the bound the caller must use its shuffled
-    alternative, so nothing unbounded is ever broadcast.
-    """
-    n = df.count()
-    if n > max_rows:
-        raise TooLargeToBroadcast(f"{n} rows > {max_rows}")
-    return F.broadcast(df)
-
-
 def star_join(fact: DataFrame, dims: Sequence[tuple[DataFrame, str | Sequence[str] | Column]],
               how: str = "inner") -> DataFrame:
     """Fact joined to each dimension on its key (strategy left to Catalyst)."""

@@ -357,8 +357,7 @@ def insert_new_q(spark, sf):
 def _resolve(spark, sf):
     t = Tables(spark, sf)
     europe = t.region.where(c("r_name") == "EUROPE").select("r_regionkey")
-    nations = F.broadcast(t.nation.join(F.broadcast(europe), c("n_regionkey") == c("r_regionkey"))
-                          .select("n_nationkey"))  # at most 25 rows by definition
+    nations = t.nation.join(europe, c("n_regionkey") == c("r_regionkey")).select("n_nationkey")
     cust = t.customer.join(nations, c("c_nationkey") == c("n_nationkey"), "left_semi").select("c_custkey")
     dim_cust = windows.assign_keys(cust, ["c_custkey"], "cust_sk")
     dim_date = (t.orders.where(ts_range("o_orderdate", "1995-01-01", "2000-01-01"))
