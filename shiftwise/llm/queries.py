@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiftwise.llm import oracles
 from shiftwise.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,14 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_quality_rules")
+@query("op1_quality_rules", oracles.QUALITY)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shiftwise.llm import quality_rules
     out = quality_rules.judge(table(spark, sf_dir, "documents"), ["doc_id"])
     return out.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
-@query("op7_chat_formatting")
+@query("op7_chat_formatting", oracles.CHAT)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shiftwise.llm import chat_format
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -76,7 +77,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
-@query("op4_url_trust")
+@query("op4_url_trust", oracles.URLS)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shiftwise.llm import url_filter
     return url_filter.judge(table(spark, sf_dir, "pages"), [url_filter.Rule(*r) for r in RULES])
@@ -96,13 +97,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-@query("op9_substring_dedup")
+@query("op9_substring_dedup", oracles.SUBSTRINGS)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shiftwise.llm import substring_dedup
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-@query("op3_ngram_jaccard_join")
+@query("op3_ngram_jaccard_join", oracles.JACCARD)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shiftwise.llm import ngram_join
     return ngram_join.join(table(spark, sf_dir, "documents"))
