@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 
 #: Token ids fit in 4 bytes; they are written as little-endian unsigned integers.
 WIDTH = 4
-#: Words whose ids a worker remembers; it forgets them all when it has more.
-REMEMBERED = 1 << 19
+#: Words whose ids a worker remembers; when it has more, it keeps those of the texts at hand.
+REMEMBERED = 3 << 18
 
 
 class Encoder:
@@ -22,6 +24,10 @@ class Encoder:
     (``by_word``) a text's ids are those of its words, one after the other, so
     each different word goes through the library once and the worker remembers
     its ids.  Others get whole texts.  The result is the same.
+
+    New words go through the library many at a time where the model marks the
+    ends of words: a word of letters alone has one end mark, so the marks part
+    the ids.  If there are more marks than words, they are encoded one by one.
     """
 
     def __init__(self, path: str, by_word: bool):
@@ -31,23 +37,44 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = by_word
         self.known: dict[bytes, bytes] = {}
-
-    def _fresh(self, texts: list[bytes]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), 20_000):
-            found = self.tokenizer.encode_batch_fast([x.decode() for x in texts[i:i + 20_000]], add_special_tokens=False)
-            out += [array("I", x.ids).tobytes() for x in found]
-        return out
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for piece, i in vocab.items() if piece.endswith(suffix)]] = True
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
+            return self._each(words)
+        data, at = ids.tobytes(), [0, *(WIDTH * ends).tolist()]
+        return [data[a:b] for a, b in itertools.pairwise(at)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [x.decode() for x in words]
+        if self.ends.any():
+            letters = np.fromiter(map(str.isalpha, texts), bool, len(texts))
+        else:
+            letters = np.zeros(len(texts), dtype=bool)
+        for rows, encode in ((np.flatnonzero(letters).tolist(), self._together), (np.flatnonzero(~letters).tolist(), self._each)):
+            for i in range(0, len(rows), 5000):
+                some = rows[i:i + 5000]
+                self.known.update(zip([words[j] for j in some], encode([texts[j] for j in some]), strict=True))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
-            return self._fresh(texts)
+            return self._each([x.decode() for x in texts])
         words = [x.split() for x in texts]  # bytes.split() breaks at ASCII white space
-        new = list(set(chain.from_iterable(words)).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set(chain.from_iterable(words)))
-        self.known.update(zip(new, self._fresh(new), strict=True))
+        seen = set(chain.from_iterable(words))
+        new = list(seen.difference(self.known))
+        if len(self.known) + len(new) > REMEMBERED:  # keep what is in use
+            self.known = {x: self.known[x] for x in seen.intersection(self.known)}
+        self._learn(new)
         ids = self.known.__getitem__
         return [b"".join(map(ids, x)) for x in words]
 
