@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shiftwise.session import checkpoint_dir, ship_package
 
@@ -34,6 +35,26 @@ def ready(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Words of 64 bits of the table by which ``likely`` rows are found; bounds what is broadcast, at any size of the tables.
+FILTER_WORDS = 1 << 20
+
+
+def likely(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be in ``ids``: before a join, so that it doesn't move the others.
+
+    Each key of ``ids`` sets a bit of a table of fixed size, which is broadcast.
+    Rows whose bit isn't set go; a few others stay, and the join drops them.
+    """
+    def place(where: DataFrame) -> tuple[Column, Column]:
+        at = F.pmod(F.xxhash64(where[key]), F.lit(64 * FILTER_WORDS))
+        return F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+
+    word, bit = place(ids)
+    bits = ids.groupBy(word.alias("filter_word")).agg(F.bit_or(bit).alias("filter_bits"))
+    word, bit = place(df)
+    return df.join(F.broadcast(bits), (word == bits["filter_word"]) & (bit.bitwiseAND(bits["filter_bits"]) != 0), "left_semi")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -358,3 +358,12 @@ def test_unigram_model(tmp_path, dummy, trim):
     texts = ["the then hen", "the", "then the  the", "thethe nnn", "日 the\nthe", "", "t h e", "  the "]
     made = encoder.encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x, _ in made] == encoder.native.encode(texts)
+
+
+def test_likely_rows_are_a_superset(spark, monkeypatch):
+    from shiftwise.llm import staging
+    df, ids = spark.range(-500, 5000), spark.range(-500, 5000, 37)
+    for size in (1 << 20, 1 << 4, 1):
+        monkeypatch.setattr(staging, "FILTER_WORDS", size)
+        got = {r[0] for r in staging.likely(df, ids, "id").collect()}
+        assert got >= {r[0] for r in ids.collect()} and (size < 100 or len(got) < 200)
