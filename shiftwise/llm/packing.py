@@ -88,9 +88,9 @@ def _refilled(left: DataFrame, capacity: int, group_rows: int) -> DataFrame:
     left = left.withColumn("row", row).withColumn("bin", F.floor(F.col("row") / F.col("class"))).withColumn("full", (F.col("bin") + 1) * F.col("class") <= n)
     # the groups' numbers begin past those of any worker, those of the last sequences past the bins'
     inside = Window.partitionBy("group", "class", "bin").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.lit(1 << 60) + F.col("group") * (1 << 32)
+    base = F.lit(1 << 60) + F.col("group") * (1 << 36)
     columns = [c for c in left.columns if c not in ("group", "row", "bin", "full")]
-    full = left.where("full").withColumn("sequence_id", base + F.col("class") * (1 << 20) + F.col("bin")).withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).select(columns)
+    full = left.where("full").withColumn("sequence_id", base + F.col("class").cast("long") * (1 << 20) + F.col("bin")).withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).select(columns)
     line = Window.partitionBy("group").orderBy("class", "row").rowsBetween(Window.unboundedPreceding, -1)
     last = left.where("not full").withColumn("at", F.coalesce(F.sum("length").over(line), F.lit(0)))
     head = F.least(F.col("length"), capacity - F.col("at") % capacity)
