@@ -173,7 +173,8 @@ def sliding(values: np.ndarray, k: int, op=np.minimum) -> np.ndarray:
     """op over values[i:i + k]; the last k - 1 entries cover what is left."""
     out, width = values.copy(), 1
     while width * 2 <= k:
-        out[:len(out) - width] = op(out[:len(out) - width], out[width:])
+        if width < len(out):  # else each entry covers all that is left
+            out[:len(out) - width] = op(out[:len(out) - width], out[width:])
         width *= 2
     rest = k - width
     if 0 < rest < len(out):

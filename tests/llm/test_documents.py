@@ -42,6 +42,14 @@ def test_sliding(k):
     assert words.sliding(v, k).tolist() == [min(v[i:i + k]) for i in range(len(v))]
 
 
+@pytest.mark.parametrize("k", [1, 2, 5, 25, 50])
+def test_sliding_over_few(k):
+    for n in range(61):
+        v = np.random.default_rng(n).integers(0, 1000, n).astype(np.uint64)
+        for op, plain in ((np.minimum, min), (np.maximum, max)):
+            assert words.sliding(v, k, op).tolist() == [plain(v[i:i + k]) for i in range(n)]
+
+
 # ---------------------------------------------------------- quality rules
 
 
@@ -110,6 +118,12 @@ def test_keep_first(edge_docs, no_docs):
 # -------------------------------------------------------- substring dedup
 
 
+@pytest.mark.parametrize("n", [3, 5, 7])
+def test_substring_dedup_of_one_short_text(spark, n):
+    df = spark.createDataFrame([(1, " ".join("abcdefg"[:n]))], "doc_id bigint, text string").coalesce(1)
+    assert rows(substring_dedup.digest(df)) == Counter(brute.substring_dedup(pairs(df)))
+
+
 @pytest.mark.parametrize("name,how", [("documents", {}), ("edge_docs", {}), ("edge_docs", {"shard_words": 40, "share_bytes": 500})])
 def test_substring_dedup(name, how, request, monkeypatch):
     df = request.getfixturevalue(name)
