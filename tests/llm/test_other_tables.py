@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shiftwise.llm import chat_format, neighbours, queries, url_filter
-from shiftwise.llm.graph import components
+from shiftwise.llm.graph import _sign, components
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -215,3 +215,10 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {x: min(group[x]) for a, b in edges if a != b for x in (a, b)}
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_sign_of_many_edges(spark):
+    edges = spark.range(1 << 25).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v"))
+    sign = _sign(edges)
+    assert sign[0] == 1 << 25 and sign == _sign(edges.repartition(5))
+    assert sign != _sign(edges.withColumn("v", F.when(F.col("u") == 7, 1).otherwise(F.col("v"))))
