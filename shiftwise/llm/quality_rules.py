@@ -10,11 +10,15 @@ the divergence, base 2).  The references come from all documents:
   words; the reference histogram is the language's own;
 * the class reference is the median document: for each class the (lower) median
   of the documents' shares in steps of 1/1000, so that junk doesn't move it;
-* languages with under ``language_share`` of all documents, and documents without
-  a language, share one reference.
+* every language has a reference of its own, and so have the documents without a
+  language.
 
-Both shares bound what is sent to the workers: at most ``1 / language_share``
-references of at most ``2 / common_share`` words, however large the corpus.
+Only where a reference is held depends on the corpus.  Those of languages with at
+least ``language_share`` of all documents are sent to the workers: at most
+``1 / language_share`` references of at most ``2 / common_share`` words.  Those of
+all rarer languages stay in a table and are dealt out by language together with
+the documents, which follow their reference; a task streams them, and one
+language has less than ``language_share`` of all documents there.
 
 Lengths guard the tests: short texts scatter, so the word test allows
 ``word_distance + word_scatter / sqrt(words)`` and neither test is applied below
@@ -31,11 +35,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftwise.llm.staging import ready
+from shiftwise.llm.staging import free_name, ready, stage
 from shiftwise.llm.words import SPACE, U64, Words, mix, short_windows, slices, span_hashes
 
 CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "other")
@@ -208,8 +213,19 @@ def _bins(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(known[at] == hashes, at, len(known))
 
 
-def references(docs: DataFrame, rules: Rules) -> tuple[frozenset, dict[str | None, Reference]]:
-    """The languages with a reference of their own, and the references.
+def _parted(docs: DataFrame, rules: Rules) -> tuple[frozenset, DataFrame, DataFrame | None]:
+    """The frequent languages, the documents of these or of none, and those of rare languages, if there are any."""
+    by_lang = docs.groupBy("lang").count()
+    total, named = by_lang.agg(F.sum("count"), F.count("lang")).first()
+    languages = frozenset(r["lang"] for r in by_lang.where((F.col("count") >= rules.language_share * (total or 0)) & F.col("lang").isNotNull()).collect())
+    if len(languages) == named:
+        return languages, docs, None
+    frequent = F.col("lang").isin(*sorted(languages)) if languages else F.lit(False)
+    return languages, docs.where(F.col("lang").isNull() | frequent), docs.where(F.col("lang").isNotNull() & ~frequent)
+
+
+def references(docs: DataFrame, languages: frozenset, rules: Rules) -> dict[str | None, Reference]:
+    """The references of ``languages`` and of documents without a language; ``docs`` has no others.
 
     A run of documents reports the words with half the common share among its
     own.  A word it doesn't report has less than that there, so ``reported +
@@ -218,9 +234,6 @@ def references(docs: DataFrame, rules: Rules) -> tuple[frozenset, dict[str | Non
     the candidates.  A second pass counts these exactly.
     """
     docs = docs.select("text", "lang")
-    by_lang = docs.groupBy("lang").count()
-    total = by_lang.agg(F.sum("count")).first()[0] or 0
-    languages = frozenset(r["lang"] for r in by_lang.where((F.col("count") >= rules.language_share * total) & F.col("lang").isNotNull()).collect())
     half = rules.common_share / 2
     seen = docs.mapInArrow(_frequent(half, languages), _COUNTS).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
     whole = docs.sparkSession.createDataFrame(  # a row for each language with a reference
@@ -244,11 +257,83 @@ def references(docs: DataFrame, rules: Rules) -> tuple[frozenset, dict[str | Non
             continue
         common = [x for x in n if x is not None and n[x] >= rules.common_share * total]
         hashes, order = _sorted_hashes(common) if common else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        shares = np.array([n[sorted(common)[i]] for i in order] + [total - sum(n[x] for x in common)], dtype=float) / total
-        cum = steps[key].cumsum(axis=1)
-        median = (2 * cum >= cum[:, -1:]).argmax(axis=1).astype(float)
-        out[key] = Reference(hashes, shares, median / max(median.sum(), 1.0))
-    return languages, out
+        out[key] = _reference(hashes, [n[sorted(common)[i]] for i in order], total, steps[key])
+    return out
+
+
+def _reference(hashes: np.ndarray, counts: list[int], total: int, steps: np.ndarray) -> Reference:
+    shares = np.array([*counts, total - sum(counts)], dtype=float) / total
+    cum = steps.cumsum(axis=1)
+    median = (2 * cum >= cum[:, -1:]).argmax(axis=1).astype(float)
+    return Reference(hashes, shares, median / max(median.sum(), 1.0))
+
+
+# ---------------------------------------- references of rare languages
+
+_ITEMS = T.StructType([T.StructField(n, t) for n, t in (("lang", T.StringType()), ("kind", T.StringType()), ("item", T.LongType()), ("n", T.LongType()))])
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of all words (by hash), and documents by class and step, of each language of a run."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            w = Words(part.column("text"))
+            names = part.column("lang").dictionary_encode()
+            lang = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            words, word = np.unique(w.hashes(), return_inverse=True)
+            at, n = np.unique(lang[w.text_of()] * len(words) + word, return_counts=True)
+            wide = len(CLASSES) * (_STEPS + 1)
+            some = w.counts > 0
+            places = lang[some, None] * wide + np.arange(len(CLASSES)) * (_STEPS + 1) + _class_steps(w)[some]
+            place, docs = np.unique(places, return_counts=True)
+            kinds = ["word"] * len(at) + ["class"] * len(place)
+            item = np.concatenate([words.view(np.int64)[at % max(len(words), 1)], place % wide])
+            whose = np.concatenate([at // max(len(words), 1), place // wide])
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(whose)).cast(pa.string()), pa.array(kinds, pa.string()), pa.array(item, pa.int64()), pa.array(np.concatenate([n, docs]), pa.int64())], names=_ITEMS.names)
+
+
+def _reference_table(docs: DataFrame, rules: Rules) -> DataFrame:
+    """(lang, reference): a row for each language of ``docs`` that has words; all counts are exact."""
+    counted = docs.select("text", "lang").mapInArrow(_items, _ITEMS).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    counted = stage(counted, "items")
+    total = counted.where("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("total"))
+    held = counted.join(total, "lang").where((F.col("kind") == "class") | (F.col("n") >= rules.common_share * F.col("total")))
+
+    def listed(kind: str):
+        return F.collect_list(F.when(F.col("kind") == kind, F.struct("item", "n")))
+
+    return held.groupBy("lang").agg(F.struct(F.first("total").alias("total"), listed("word").alias("words"), listed("class").alias("steps")).alias("reference"))
+
+
+def _read_reference(row: dict) -> Reference:
+    hashes = np.array([x["item"] for x in row["words"]], dtype=np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    steps = np.zeros((len(CLASSES), _STEPS + 1), dtype=np.int64)
+    for x in row["steps"]:
+        steps[divmod(x["item"], _STEPS + 1)] = x["n"]
+    return _reference(hashes[order], [row["words"][i]["n"] for i in order], row["total"], steps)
+
+
+def _judge_rare(docs: DataFrame, rules: Rules, schema: T.StructType, answer) -> DataFrame:
+    """``answer(part, found)`` of the documents, each judged by the reference of its language."""
+    name = free_name(docs, "reference")
+    refs = _reference_table(docs, rules).withColumnRenamed("reference", name)
+    dealt = docs.unionByName(refs, allowMissingColumns=True).repartition("lang").sortWithinPartitions("lang", F.col(name).isNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}  # a language's reference comes before its documents
+        for batch in batches:
+            for part in slices(batch, "text"):
+                is_ref = part.column(name).is_valid()
+                new = part.filter(is_ref)
+                for lang, row in zip(new.column("lang").to_pylist(), new.column(name).to_pylist(), strict=True):
+                    known[lang] = _read_reference(row)
+                part = part.filter(pc.invert(is_ref)).drop_columns([name])
+                if part.num_rows:
+                    yield answer(part, _judge(Words(part.column("text")), part, frozenset(known), known, rules))
+                known = dict([*known.items()][-1:])
+
+    return dealt.mapInArrow(run, schema)
 
 
 # ----------------------------------------------------------------- verdict
@@ -301,30 +386,40 @@ def judge(docs: DataFrame, carry: list[str], rules: Rules = Rules()) -> DataFram
     """The columns ``carry`` of every row of ``docs``, then the counts, distances and verdict of its text.
 
     ``docs`` needs ``text`` and ``lang`` and may have any other columns.  A null
-    or empty text has no words and fails the base rules.  A null language is
-    judged with the rare ones.  An empty table gives an empty result.  Repeated
+    or empty text has no words and fails the base rules.  Texts without a
+    language are judged by the reference of all such texts.  An empty table gives an empty result.  Repeated
     rows are judged each by itself; nothing depends on the order of rows.
     """
-    languages, refs = references(ready(docs), rules)
+    languages, usual, rare = _parted(ready(docs), rules)
+    refs = references(usual, languages, rules)
     schema = T.StructType([docs.schema[c] for c in carry] + list(RESULT))
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
 
+    def answer(part: pa.RecordBatch, found: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(c) for c in carry] + [pa.array(found[f.name], t) for f, t in zip(RESULT, kinds, strict=True)], names=schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = _judge(Words(part.column("text")), part, languages, refs, rules)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in carry] + [pa.array(found[f.name], t) for f, t in zip(RESULT, kinds, strict=True)], names=schema.names)
+                yield answer(part, _judge(Words(part.column("text")), part, languages, refs, rules))
 
-    return docs.select(*dict.fromkeys([*carry, "text", "lang"])).mapInArrow(run, schema)
+    columns = list(dict.fromkeys([*carry, "text", "lang"]))
+    out = usual.select(*columns).mapInArrow(run, schema)
+    return out if rare is None else out.union(_judge_rare(rare.select(*columns), rules, schema, answer))
 
 
 def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` whose text is kept, with all their columns."""
-    languages, refs = references(ready(docs), rules)
+    languages, usual, rare = _parted(ready(docs), rules)
+    refs = references(usual, languages, rules)
+
+    def answer(part: pa.RecordBatch, found: dict) -> pa.RecordBatch:
+        return part.filter(pa.array(found["kept"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield part.filter(pa.array(_judge(Words(part.column("text")), part, languages, refs, rules)["kept"]))
+                yield answer(part, _judge(Words(part.column("text")), part, languages, refs, rules))
 
-    return docs.mapInArrow(run, docs.schema)
+    out = usual.mapInArrow(run, docs.schema)
+    return out if rare is None else out.union(_judge_rare(rare, rules, docs.schema, answer))

@@ -73,6 +73,35 @@ def test_quality_keep(edge_docs, no_docs):
     assert quality_rules.judge(no_docs, ["doc_id"]).count() == 0
 
 
+def each_language(rows):
+    """brute.quality of every language by itself."""
+    langs = {lang for *_, lang in rows}
+    return Counter(x for key in langs for x in brute.quality([r for r in rows if r[2] == key]))
+
+
+def test_rare_languages_have_their_own_references(spark):
+    def text(lang, i, n=400):
+        rng = np.random.default_rng(i)
+        return " ".join(f"{lang}{j}" for j in rng.integers(0, 90, n))
+    docs = [(i, "a few words", "en") for i in range(4500)] + [(9000 + i, text(lang, i), lang) for lang in ("xx", "yy", "zz", "") for i in range(4)]
+    docs += [(9100, text("other", 1), "xx"), (9101, "#$% &* " * 100, "yy"), (9102, None, "none"), (9103, text("lone", 1), "vv"), (9104, text("null", 2), None), (9105, None, None), (9106, text("xx", 1), "xx")]
+    df = spark.createDataFrame([(*r, "?") for r in docs], "doc_id bigint, text string, lang string, reference string").repartition(3)
+    want = each_language(docs)
+    assert quality_of(df) == want
+    kept = Counter(x[0] for x in want.elements() if x[-1])
+    assert kept[9000] and kept[9103] and not kept[9101]
+    out = quality_rules.keep(df)
+    assert out.columns == df.columns and Counter(r["doc_id"] for r in out.collect()) == kept
+
+
+@pytest.mark.parametrize("name", ["documents", "edge_docs"])
+def test_both_ways_to_a_reference_agree(name, request):
+    df = request.getfixturevalue(name)
+    def judged(rules):
+        return Counter((r["doc_id"], r["kept"], round(r["class_distance"], 9), round(r["word_distance"], 9)) for r in quality_rules.judge(df, ["doc_id"], rules).collect())
+    assert judged(quality_rules.Rules(language_share=2.0)) == judged(quality_rules.Rules())
+
+
 def test_js_distance_bounds():
     same = quality_rules.js_distance(np.array([[1, 3], [0, 0]]), np.array([0.25, 0.75]))
     assert same.tolist() == [0.0, 0.0]
