@@ -15,6 +15,7 @@ the host and a partial sum, and the scores are written to the shared folder.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -69,13 +70,14 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, hosts: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most: int = 50) -> DataFrame:
+def propagate(edges: DataFrame, hosts: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """Trust and distrust of every host.
 
     ``edges`` (source, target, n); ``hosts`` (host, trusted, blocked).  What
     reaches a host without outgoing edges goes back to the seeds.  Iterates
-    until no score changes by more than ``tolerance`` seeds, ``most`` times at
-    the most (damping alone brings the change under it by then).
+    until no score changes by more than ``tolerance`` seeds.  A round shrinks the
+    sum of all changes, at first no more than twice the seeds, by ``damping``,
+    which bounds the rounds by the logarithm of the number of seeds.
     """
     both = edges.select(F.lit("trust").alias("kind"), F.col("source").alias("from"), F.col("target").alias("to"), "n").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("target").alias("from"), F.col("source").alias("to"), "n"))
@@ -89,6 +91,7 @@ def propagate(edges: DataFrame, hosts: DataFrame, damping: float = 0.85, toleran
     nodes = stage(nodes.join(ends, ["kind", "host"], "left").select("kind", "host", F.col("seed").cast("double").alias("seed"), F.col("linked").isNotNull().alias("linked")), "nodes")
     seeds = {r["kind"]: r["n"] for r in nodes.groupBy("kind").agg(F.sum("seed").alias("n")).collect()}
     scores = nodes.withColumn("score", F.col("seed"))
+    most = math.ceil(math.log(tolerance / (2 * max([1.0, *(n or 0 for n in seeds.values())]))) / math.log(damping)) + 1
     for _ in range(most):
         lost = {r["kind"]: r["n"] for r in scores.where("not linked").groupBy("kind").agg(F.sum("score").alias("n")).collect()}
         back = F.lit(0.0)

@@ -149,6 +149,14 @@ def test_linked_pages(spark):
     assert url_filter.judge(df.limit(0), RULES).count() == 0
 
 
+def test_trust_converges(spark):
+    ring = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "a", 1)], "source string, target string, n bigint")
+    hosts = spark.createDataFrame([("a", True, False)], "host string, trusted boolean, blocked boolean")
+    got = {r["host"]: r["trust"] for r in url_filter.propagate(ring, hosts).collect()}
+    a = 0.15 / (1 - 0.85**3)
+    assert got == pytest.approx({"a": a, "b": 0.85 * a, "c": 0.85**2 * a}, abs=1e-5)
+
+
 # ---------------------------------------------------------------- vectors
 
 
