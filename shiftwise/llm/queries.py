@@ -107,3 +107,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shiftwise.llm import ngram_join
     return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+@query("op12_hard_negatives", oracles.NEGATIVES)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shiftwise.llm import hard_negatives
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
