@@ -161,44 +161,46 @@ def _best_in_windows(block: Block, anchor: np.ndarray, label: int, windows: list
     return out
 
 
-def _units(batches: Iterator[pa.RecordBatch], mining: Mining) -> Iterator[tuple[Block, list[dict]]]:
-    """Each row's block and its anchors (id, label, vector, windows)."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            block = Block(row)
-            for x in row["anchors"]:
-                x["vector"] = np.floor(np.asarray(x["vector"], dtype=np.float64) * mining.scale).astype(np.int64)
-            yield block, row["anchors"]
-
-
-def _positives(batches: Iterator[pa.RecordBatch], mining: Mining) -> Iterator[pa.RecordBatch]:
-    for block, anchors in _units(batches, mining):
-        found = [(x["id"], *y) for x in anchors for y in _best_of_label(block, x["vector"], x["id"], x["label"], mining.positives)]
-        yield _rows(found, ("anchor_id", "positive_id", "positive_score"))
-
-
-def _negatives(batches: Iterator[pa.RecordBatch], mining: Mining) -> Iterator[pa.RecordBatch]:
-    for block, anchors in _units(batches, mining):
-        found = []
-        for x in anchors:
+def _units(anchors: pa.Table, blocks: pa.Table, mining: Mining) -> Iterator[tuple[Block, list[dict]]]:
+    """A group's blocks, one after the other, and its anchors (id, label, vector, positives)."""
+    chosen = [x for row in anchors["anchors"].to_pylist() for x in row]
+    for x in chosen:
+        x["vector"] = np.floor(np.asarray(x["vector"], dtype=np.float64) * mining.scale).astype(np.int64)
+    for i in range(blocks.num_rows if chosen else 0):
+        yield Block(blocks.slice(i, 1).to_pylist()[0]), chosen
+
+
+def _positives(anchors: pa.Table, blocks: pa.Table, mining: Mining) -> pa.Table:
+    found = [(x["id"], *y) for block, chosen in _units(anchors, blocks, mining) for x in chosen
+             for y in _best_of_label(block, x["vector"], x["id"], x["label"], mining.positives)]
+    return _rows(found, ("anchor_id", "positive_id", "positive_score"))
+
+
+def _negatives(anchors: pa.Table, blocks: pa.Table, mining: Mining) -> pa.Table:
+    found = []
+    for block, chosen in _units(anchors, blocks, mining):
+        for x in chosen:
             windows = [(-(-mining.low * y["score"] // 100), mining.high * y["score"] // 100) for y in x["positives"]]
             wanted = [(a, b) for a, b in windows if a <= b]
             if wanted:
                 best = dict(zip(wanted, _best_in_windows(block, x["vector"], x["label"], wanted, mining.negatives), strict=True))
                 found += [(x["id"], y["place"], y["id"], y["score"], *z) for w, y in zip(windows, x["positives"], strict=True) for z in best.get(w, ())]
-        yield _rows(found, ("anchor_id", "place", "positive_id", "positive_score", "negative_id", "negative_score"))
+    return _rows(found, ("anchor_id", "place", "positive_id", "positive_score", "negative_id", "negative_score"))
 
 
-def _rows(found: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+def _rows(found: list[tuple], names: tuple[str, ...]) -> pa.Table:
     columns = list(zip(*found, strict=True)) if found else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=list(names))
+    return pa.table([pa.array(x, pa.int64()) for x in columns], names=list(names))
 
 
 def _longs(*names: str) -> str:
     return ", ".join(f"{x} bigint" for x in names)
 
 
+def _upto(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def mine(vectors: DataFrame, is_anchor: Column, mining: Mining = Mining()) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score) of all anchors.
 
@@ -222,12 +224,14 @@ def mine(vectors: DataFrame, is_anchor: Column, mining: Mining = Mining()) -> Da
     chosen = stage(chosen.select("id", "least.label", F.col("least.embedding").alias("vector")), "anchors")
     sets = max(1, -(-chosen.count() // mining.anchors))
 
+    places = max(1, blocks.count())
+
     def scanned(anchors: DataFrame, scan: Callable, ddl: str) -> DataFrame:
-        """Every block against every set of anchors; a set's size is bounded, so is that of a unit."""
+        """Every block against every set of anchors: groups of about one block and one set, both of bounded size."""
         dealt = anchors.groupBy(F.pmod(F.xxhash64("id"), F.lit(sets)).alias("set")).agg(F.collect_list(F.struct(*(c for c in anchors.columns))).alias("anchors"))
-        units = blocks.withColumn("set", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sets - 1).cast("long"))))
-        units = units.repartition("set", "key").join(dealt, "set").select("ids", "labels", "dims", "anchors")
-        return units.mapInArrow(functools.partial(scan, mining=mining), ddl)
+        dealt = dealt.withColumn("place", F.explode(_upto(places)))
+        units = blocks.withColumn("place", F.pmod(F.xxhash64("key"), F.lit(places))).withColumn("set", F.explode(_upto(sets)))
+        return dealt.groupBy("set", "place").cogroup(units.groupBy("set", "place")).applyInArrow(functools.partial(scan, mining=mining), ddl)
 
     found = scanned(chosen, _positives, _longs("anchor_id", "positive_id", "positive_score"))
     order = Window.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
