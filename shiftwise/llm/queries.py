@@ -114,3 +114,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shiftwise.llm import hard_negatives
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shiftwise.llm import repair
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
