@@ -120,3 +120,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shiftwise.llm import repair
     return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from shiftwise.llm import toxicity
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
