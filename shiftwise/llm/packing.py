@@ -59,13 +59,14 @@ def _filled(batches: Iterator[pa.RecordBatch], kind: pa.DataType, tokenizer: str
         kinds = (kind, pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "class", "sequence_id", "offset", "ids"])
 
-    for part, ids in encoded(batches, tokenizer, by_word, end):
+    for part, ids, offsets in encoded(batches, tokenizer, by_word, end):
         rows: list[tuple] = []
-        for doc, blob in zip(part.column("doc_id").to_pylist(), ids, strict=True):
-            n, start = len(blob) // WIDTH, 0
+        data = memoryview(ids).cast("B")
+        for doc, at, to in zip(part.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            blob, n, start = data[WIDTH * at:WIDTH * to], to - at, 0
             for k, length in (*[(1, capacity)] * (n // capacity), *cut(n % capacity, capacity, slack)):
                 bin_ = open_bins[k]
-                bin_.append((doc, start, length, n, blob[WIDTH * start:WIDTH * (start + length)]))
+                bin_.append((doc, start, length, n, bytes(blob[WIDTH * start:WIDTH * (start + length)])))
                 start += length
                 if len(bin_) == k:
                     offset = 0

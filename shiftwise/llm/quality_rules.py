@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftwise.llm.staging import free_name, ready, stage
-from shiftwise.llm.words import SPACE, U64, Words, mix, short_windows, slices, span_hashes
+from shiftwise.llm.words import SLICE, SPACE, U64, Words, mix, short_windows, slices, span_hashes
 
 CLASSES = ("lower", "upper", "digit", "space", "punctuation", "symbol", "other")
 PUNCTUATION = ".,;:!?'\"()-"
@@ -71,10 +71,21 @@ class Rules:
     language_share: float = 1 / 1000
 
 
-def _per_text(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(mask) + 1, dtype=np.int64)
-    np.cumsum(mask, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
+def _by_class(codes: np.ndarray, n: int, w: Words) -> np.ndarray:
+    """Per text, how many bytes have each of ``n`` codes (``codes`` of a byte value), a mebibyte at a time."""
+    out = np.zeros((len(w.counts), n), dtype=np.int64)
+    for lo in range(0, len(w.data), SLICE):
+        hi = min(lo + SLICE, len(w.data))
+        first, last = np.searchsorted(w.offsets, (lo, hi - 1), side="right") - 1
+        inside = np.diff(np.clip(w.offsets[first:last + 2], lo, hi))
+        at = np.repeat(np.arange(last - first + 1, dtype=np.int32) * np.int32(n), inside)
+        out[first:last + 1] += np.bincount(at + codes[w.data[lo:hi]], minlength=(last - first + 1) * n).reshape(-1, n)
+    return out
+
+
+def _per_text(held: np.ndarray, w: Words) -> np.ndarray:
+    """Per text, bytes whose value is held."""
+    return _by_class(held.astype(np.uint8), 2, w)[:, 1]
 
 
 def _in_text(hashes: np.ndarray, texts: np.ndarray) -> np.ndarray:
@@ -118,10 +129,7 @@ def _repeat_words(w: Words, h: np.ndarray, k: int = 3) -> np.ndarray:
 
 
 def _class_counts(w: Words) -> np.ndarray:
-    n = len(w.counts)
-    text = np.repeat(np.arange(n, dtype=np.int64) * (_CONT + 1), np.diff(w.offsets))
-    return np.bincount(text + _CLASS[w.data], minlength=n * (_CONT + 1)).reshape(n, _CONT + 1)[:, :_CONT]
-
+    return _by_class(_CLASS.astype(np.uint8), _CONT + 1, w)[:, :_CONT]
 
 
 # ------------------------------------------------------------- references
@@ -156,7 +164,7 @@ def _frequent(share: float, languages: frozenset):
     """Words with at least ``share`` of a language's words in a run of documents, and the run's words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 w = Words(part.column("text"))
                 h, text, rows = w.hashes(), w.text_of(), []
                 for key, held in _groups(part, languages):
@@ -366,12 +374,12 @@ def _judge(w: Words, part: pa.RecordBatch, languages: frozenset, refs: dict, rul
             rows = min(4096, len(mine) - lo)
             counts = np.bincount((row[text[inside][at]] - lo) * wide + bins[at], minlength=rows * wide).reshape(rows, wide)
             by_word[mine[lo:lo + rows]] = js_distance(counts, ref.word_shares)
-    chars = _per_text(_IN_WORD[w.data], w.offsets)
+    chars = _per_text(_IN_WORD, w)
     base_failed = (w.counts < rules.min_words) | (100 * repeat > rules.max_repeat_percent * w.counts)
     odd_class = (by_class > rules.class_distance) & (chars >= rules.min_chars)
     odd_words = (by_word > rules.word_distance + rules.word_scatter / np.sqrt(np.maximum(w.counts, 1))) & (w.counts >= rules.min_words)
     return {
-        "n_words": w.counts, "word_chars": chars, "n_symbols": _per_text(_IS_SYMBOL[w.data], w.offsets), "n_dup_lines": _dup_lines(w),
+        "n_words": w.counts, "word_chars": chars, "n_symbols": _per_text(_IS_SYMBOL, w), "n_dup_lines": _dup_lines(w),
         "n_repeat_words": repeat, "base_failed": base_failed, "kept": ~(base_failed | odd_class | odd_words),
         "class_distance": by_class, "word_distance": by_word,
     }

@@ -57,10 +57,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, by_word:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, file_no = 0, TaskContext.get().partitionId()
-        for part, ids in encoded(batches, tokenizer, by_word, end):
-            n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            offsets = np.append(0, np.cumsum(n))
-            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
+        for part, ids, offsets in encoded(batches, tokenizer, by_word, end):
+            n = np.diff(offsets)
+            values = pa.array(ids.view("<i4"))
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), pa.array(np.full(len(n), file_no, np.int32)), pa.array(at + offsets[:-1]), pa.array(n),
                 pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values),

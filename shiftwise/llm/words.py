@@ -202,14 +202,14 @@ def shingle_sets(texts: pa.Array, k: int = 5) -> Iterator[np.ndarray]:
             yield h[:0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with at most ``limit`` bytes of text (one row at least)."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of at most ``rows`` rows with at most ``limit`` bytes of text (one row at least)."""
     n = batch.num_rows
     if not n:
         return
     _, off = buffers(batch.column(column))
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
+        j = min(i + rows, max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1))
         yield batch.slice(i, j - i)
         i = j
