@@ -63,19 +63,26 @@ def _key_names(df: DataFrame, order: Sequence) -> list[str]:
     return names
 
 
+def _leaves(col: Column, kind: T.DataType) -> list[Column]:
+    """A key as columns that pandas can compare: a struct as its fields, arrays as their JSON text."""
+    if isinstance(kind, T.StructType):
+        inner = [c for f in kind.fields for c in _leaves(col[f.name], f.dataType)]
+        return [col.isNull(), *inner]
+    return [F.to_json(col) if isinstance(kind, T.ArrayType) else col]
+
+
 def _changed(pdf: pd.DataFrame, keys: list[str], prev: tuple | None) -> np.ndarray:
     """True where the key tuple differs from the previous row (NULL == NULL)."""
     n = len(pdf)
     out = np.zeros(n, dtype=bool)
-    for k in keys:
+    out[0] = prev is None
+    for i, k in enumerate(keys):
         s = pdf[k]
-        sh = s.shift(1)
+        empty = s.isna().to_numpy(dtype=bool)
+        values = s.to_numpy()
+        out[1:] |= (values[1:] != values[:-1]) & ~(empty[1:] & empty[:-1])
         if prev is not None:
-            sh.iloc[0] = prev[keys.index(k)]
-        same = (s == sh) | (s.isna() & sh.isna())
-        out |= ~same.to_numpy(dtype=bool)
-    if prev is None and n:
-        out[0] = True
+            out[0] |= not (empty[0] and pd.isna(prev[i])) and bool(values[0] != prev[i])
     return out
 
 
@@ -89,24 +96,22 @@ def _local_ranker(keys: list[str], method: str, out_schema_names: list[str]):
             n = len(pdf)
             if n == 0:
                 continue
-            ch = _changed(pdf, keys, prev)
             pos = np.arange(seen + 1, seen + n + 1, dtype=np.int64)
-            if method == "row_number":
-                local = pos
-            elif method == "dense_rank":
+            seen += n
+            if method == "row_number":  # needs no comparison
+                yield pdf.assign(**{_LOCAL: pos})[out_schema_names]
+                continue
+            ch = _changed(pdf, keys, prev)
+            if method == "dense_rank":
                 local = np.cumsum(ch).astype(np.int64) + distinct
             else:  # rank
                 start = np.where(ch, pos, 0)
                 start = np.maximum.accumulate(start)
                 local = np.where(start == 0, last_rank, start).astype(np.int64)
-            seen += n
             distinct += int(ch.sum())
             last_rank = int(local[-1])
-            last = pdf.iloc[-1]
-            prev = tuple(last[k] for k in keys)
-            pdf = pdf.copy()
-            pdf[_LOCAL] = local
-            yield pdf[out_schema_names]
+            prev = tuple(pdf[k].iloc[-1] for k in keys)
+            yield pdf.assign(**{_LOCAL: local})[out_schema_names]
     return run
 
 
@@ -126,13 +131,17 @@ def global_rank(df: DataFrame, order: Sequence, method: str = "rank", out: str =
     sort_exprs = [_sort_col(c) for c in order]
     keys = _key_names(df, order)
     checkpoint_dir(spark)
+    leaves = [c for k in keys for c in _leaves(F.col(k), df.schema[k].dataType)] if method != "row_number" else []
+    compared = [f"_sw_key{i}" for i in range(len(leaves))]
+    df_columns = df.columns
+    df = df.select("*", *(c.alias(n) for c, n in zip(leaves, compared, strict=True)))
     part = (df.repartitionByRange(n, *sort_exprs)
               .sortWithinPartitions(*sort_exprs)
               .withColumn(_PID, F.spark_partition_id())
               .checkpoint(eager=True))
     out_fields = part.schema.fields + [T.StructField(_LOCAL, T.LongType(), False)]
     schema = T.StructType(out_fields)
-    local = part.mapInPandas(_local_ranker(keys, method, [f.name for f in out_fields]), schema)
+    local = part.mapInPandas(_local_ranker(compared, method, [f.name for f in out_fields]), schema)
     # One row per partition: rows before it, distinct keys before it.
     per_part = part.groupBy(_PID).agg(
         F.count(F.lit(1)).alias("_sw_rows"),
@@ -147,7 +156,7 @@ def global_rank(df: DataFrame, order: Sequence, method: str = "rank", out: str =
         value = value + F.lit(offset)
     else:
         value = value + offset
-    return res.withColumn(out, value.cast("long")).drop(_PID, _LOCAL, "_sw_off")
+    return res.withColumn(out, value.cast("long")).select(*(c for c in df_columns if c != out), out)
 
 
 def assign_keys(df: DataFrame, order: Sequence, key_col: str, start_after: Column | int = 0) -> DataFrame:

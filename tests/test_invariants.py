@@ -95,3 +95,25 @@ def test_context_variants(spark):
     ga = {r.id: (r.ctx_session, r.f) for r in a.collect()}
     assert gb == {1: (1, "a"), 2: (1, None), 3: (2, None), 4: (3, None)}
     assert ga == {1: (1, "a"), 2: (1, "a"), 3: (2, None), 4: (3, None)}
+
+
+def test_struct_keys_over_several_batches(spark):
+    """Struct and array keys, each method, with few rows in an Arrow batch."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, (i // 3 % 7, None if i % 5 == 0 else f"x{i % 2}"), [i % 4]) for i in range(100)] + [(100, None, None), (101, None, None), (102, (None, None), [])]
+    df = spark.createDataFrame(rows, "id long, s struct<a:long,b:string>, v array<long>")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for method in ("rank", "dense_rank", "row_number"):
+            for spec, order in (("s, v", ["s", "v"]), ("s DESC, id", [F.col("s").desc(), F.col("id")])):
+                got = global_rank(df, order, method, "r", num_partitions=3).select("id", "s", "v", "r").collect()
+                want = {r.id: r.w for r in df.selectExpr("id", f"{method}() OVER (ORDER BY {spec}) AS w").collect()}
+                assert {r.id: r.s for r in got} == {r.id: r.s for r in df.collect()}
+                if method == "row_number" and spec == "s, v":
+                    assert sorted(r.r for r in got) == list(range(1, 104))
+                else:
+                    assert {r.id: r.r for r in got} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
