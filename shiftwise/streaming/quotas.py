@@ -4,9 +4,8 @@ The source kept this state in keys with a time-to-live.  A key that every use
 renews expires after a *gap* of TTL seconds, so its batch form is a gap
 session: ``session_window`` (batch or streaming) or ``lag`` + running sum.
 Rules whose outcome feeds back into the state (blocked uses are not counted,
-refused sends do not restart the cooldown) are walked in time order in one
-streaming pass per partition (``mapInPandas`` over rows hash-partitioned by
-key and sorted by time); the running state is a few scalars, never the group.
+refused sends do not restart the cooldown) are chains of the events that change
+it: see ``chains``.  No key is walked by one task.
 """
 
 from __future__ import annotations
@@ -19,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shiftwise.streaming import chains as ch
+
 ANON_LIMIT = 3
 ANON_TTL_S = 24 * 3600
 OTP_TTL_S = 600
@@ -121,20 +122,6 @@ def _later_by(a: Column, b: Column, seconds: int) -> Column:
     return a >= b + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
 
 
-def _segmented(df: DataFrame, key: str, ts: str, reset_gap_s: int) -> DataFrame:
-    """Add ``_seg``: key + gap-session number for a gap that guarantees a state reset.
-
-    When no event of a key happened for ``reset_gap_s`` seconds, every state
-    with a lifetime up to that gap has expired, so the walk can restart
-    there: segments are independent and a hot key's history is spread over
-    many tasks instead of one.
-    """
-    out = _with_session(df, key, ts, gap_session_buckets(df, key, ts, reset_gap_s), reset_gap_s)
-    named = F.when(F.col(key).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(key).cast("string")))
-    return out.withColumn("_seg", F.concat(named, F.lit("#"), F.coalesce(F.col("session_no").cast("string"), F.lit("")))
-                          ).drop("_bucket", "session_no")
-
-
 def _with_session(df: DataFrame, key: str, ts: str, buckets: DataFrame, width_s: int) -> DataFrame:
     """``df`` with ``_bucket`` and ``session_no``; events without a key are those of one more key."""
     per = buckets.select(F.col(key).alias("_pk"), F.col("_bucket").alias("_pb"), "session_no")
@@ -177,14 +164,42 @@ def usage_verdicts(requests: DataFrame, key: str, ts: str, tiebreak: str, counte
     Before each request the counter is dropped if its expiry passed; a request
     is ``blocked`` when ``used >= limit``; an allowed request that is a counted
     use (``counted``) increments the counter and renews the expiry to
-    ``ts + ttl``.  Blocked requests neither count nor renew.
+    ``ts + ttl``.  Blocked requests neither count nor renew.  A request
+    without a time is allowed and not counted; requests without a key are those
+    of one more key.
     """
-    src = _segmented(requests.withColumn("_counted", counted.cast("boolean")), key, ts, ttl_s)
-    schema = T.StructType(src.schema.fields + [T.StructField("used_before", T.LongType()),
-                                               T.StructField("verdict", T.StringType()),
-                                               T.StructField("remaining", T.LongType())])
-    step = usage_step(ts, ttl_s, limit)
-    return _walk(src, "_seg", [ts, tiebreak], schema, step).drop("_counted", "_seg")
+    rows = ch.numbered(requests.withColumn("_counted", F.coalesce(counted.cast("boolean"), F.lit(False))), key, ts, tiebreak)
+    width = ttl_s * _US
+    uses = rows.where("_counted").where(F.col("_e.us").isNotNull()).select("_k", "_e")
+    seq = ch.following(uses, width, limit - 1)
+    # a use after a silent TTL starts a count whatever was before
+    fresh = F.col("previous").isNull() | (F.col("_e.us") >= F.col("previous.us") + width)
+    chain = F.concat(F.array("_e"), "then")
+    late = F.filter(F.sequence(F.lit(1), F.size("chain") - 1), lambda i: F.get("chain", i)["us"] >= F.get("chain", i - 1)["us"] + width)
+    seq = seq.select("_k", "_e", fresh.alias("fresh"), chain.alias("chain"))
+    seq = seq.withColumn("cut", F.when(F.size("chain") > 1, F.get(late, F.lit(0))))
+    # of a use that starts a count: the uses that count, and the use that starts the next count
+    seq = seq.select("_k", "_e", "fresh", F.when(F.col("cut").isNull(), F.col("chain")).otherwise(F.slice("chain", 1, F.greatest("cut", F.lit(1)))).alias("counts"),
+                     F.get("chain", F.col("cut")).alias("onward"))
+    full = F.col("onward").isNull() & (F.size("counts") == limit)
+    seq = seq.withColumn("last", F.when(full, F.element_at("counts", -1)["id"]))
+    after = ch.first_after(uses, width).select(F.col("id").alias("last"), F.col("next.id").alias("_after"))
+    seq = seq.join(after, "last", "left").select("_k", F.col("_e.id").alias("id"), "fresh", "counts", F.coalesce("onward.id", "_after").alias("next")).checkpoint(eager=True)
+    heads = seq.join(ch.reached(seq, seq.where("fresh")), "id")
+    # a count lasts under limit TTLs after its first use, so it matters to so many buckets; its first uses lie a TTL apart or more
+    first = ch.bucket(F.get("counts", F.lit(0))["us"], width)
+    near = heads.select(F.col("_k").alias("_hk"), F.explode(F.sequence(first, first + limit)).alias("_hb"), "counts")
+    near = near.groupBy("_hk", "_hb").agg(F.sort_array(F.collect_list("counts")).alias("_groups"))
+    out = rows.withColumn("_b", ch.bucket(F.col("_e.us"), width)).join(near, ch.same_key("_hk") & (F.col("_b") == F.col("_hb")), "left")
+    group = F.element_at(F.filter("_groups", lambda g: g[0] < F.col("_e")), -1)
+    before = F.filter(group, lambda e: e < F.col("_e"))
+    out = out.withColumn("_before", F.when(F.size(F.filter("_groups", lambda g: g[0] < F.col("_e"))) > 0, before))
+    alive = F.col("_before").isNotNull() & (F.col("_e.us") < F.element_at("_before", -1)["us"] + width)
+    used = F.when(alive, F.size("_before")).otherwise(0).cast("long")
+    out = out.withColumn("used_before", used).withColumn("verdict", F.when(F.col("used_before") >= limit, "blocked").otherwise("allowed"))
+    counts = (F.col("_counted") & (F.col("verdict") == "allowed")).cast("long")
+    out = out.withColumn("remaining", F.greatest(F.lit(limit) - F.col("used_before") - counts, F.lit(0)).cast("long"))
+    return out.select(*requests.columns, "used_before", "verdict", "remaining")
 
 
 # --- T2, T3 ---------------------------------------------------------------------
@@ -232,14 +247,42 @@ def send_verdicts(attempts: DataFrame, key: str, ts: str, tiebreak: str,
 
     An accepted send starts a cooldown of ``cooldown_s`` seconds; the hourly
     counter of the clock hour is incremented by every attempt that passes the
-    cooldown test, allowed while it stays <= limit.
-    """
-    # A one-hour gap ends both the cooldown and the clock hour: independent segments.
-    src = _segmented(attempts, key, ts, max(3600, cooldown_s))
-    schema = T.StructType(src.schema.fields + [T.StructField("verdict", T.StringType())])
-    step = send_step(ts, cooldown_s, limit)
+    cooldown test, allowed while it stays <= limit.  An attempt without a time
+    has no verdict; attempts without a key are those of one more key.
 
-    return _walk(src, "_seg", [ts, tiebreak], schema, step).drop("_seg")
+    A send's next one is the key's first attempt past the cooldown; once an
+    hour is full, the first one of a later hour past it.
+    """
+    rows = ch.numbered(attempts, key, ts, tiebreak)
+    width, hour = cooldown_s * _US, 3600 * _US
+    timed = rows.where(F.col("_e.us").isNotNull()).select("_k", "_e", ch.bucket(F.col("_e.us"), hour).alias("_h"))
+    next_ = ch.first_after(timed, width).select(F.col("id").alias("_nid"), "next").checkpoint(eager=True)
+    by_hour = Window.partitionBy("_k").orderBy("_h")
+    hours = timed.groupBy("_k", "_h").agg(F.min("_e").alias("_first"), F.max("_e").alias("_last"), F.min(F.when(F.col("_e.us") >= F.col("_h") * hour + width, F.col("_e"))).alias("_cool"))
+    # a cooldown from before the hour is over by width into it, so the hour's first send is one of these
+    silent = F.col("_first.us") >= F.lag("_last").over(by_hour)["us"] + width
+    hours = hours.select(F.col("_k").alias("_hk"), F.col("_h").alias("_hh"), "_first", "_cool", F.lead("_first").over(by_hour).alias("_later"), F.coalesce(silent, F.lit(True)).alias("_silent"))
+    may = (F.col("_e.us") < F.col("_h") * hour + width) | (F.col("_e.id") == F.col("_first.id")) | (F.col("_e.id") == F.col("_cool.id"))
+    path = timed.join(hours, ch.same_key("_hk") & (F.col("_h") == F.col("_hh"))).where(may)
+    path = path.select("_k", "_h", "_later", F.col("_e.id").alias("id"), (F.col("_silent") & (F.col("_e.id") == F.col("_first.id"))).alias("fresh"), F.array("_e").alias("sent"), F.lit(None).cast("long").alias("onward"))
+    for i in range(limit):
+        # one more send in this hour, or the first one past it
+        path = path.withColumn("_last", F.when(F.col("onward").isNull() & (F.size("sent") == i + 1), F.element_at("sent", -1)["id"]))
+        path = path.join(next_, F.col("_last") == F.col("_nid"), "left")
+        here = ch.bucket(F.col("next.us"), hour) == F.col("_h")
+        grows = F.coalesce(here, F.lit(False)) if i + 1 < limit else F.lit(False)
+        full = F.when(F.coalesce(here, F.lit(True)), F.col("_later.id")).otherwise(F.col("next.id")) if i + 1 == limit else F.col("next.id")
+        path = path.select("_k", "_h", "_later", "id", "fresh", F.when(grows, F.concat("sent", F.array("next"))).otherwise(F.col("sent")).alias("sent"),
+                           F.when(F.col("_last").isNotNull() & ~grows, full).otherwise(F.col("onward")).alias("onward"))
+    path = path.select("_k", "id", "fresh", "sent", F.col("onward").alias("next")).checkpoint(eager=True)
+    sends = path.join(ch.reached(path, path.where("fresh")), "id").select("_k", F.explode("sent").alias("_s"))
+    at = ch.bucket(F.col("_s.us"), width)  # sends lie a cooldown apart, so a bucket holds one
+    near = sends.select(F.col("_k").alias("_sk"), F.explode(F.array(at, at + 1)).alias("_sb"), "_s").groupBy("_sk", "_sb").agg(F.collect_list("_s").alias("_sends"))
+    out = rows.withColumn("_b", ch.bucket(F.col("_e.us"), width)).join(near, ch.same_key("_sk") & (F.col("_b") == F.col("_sb")), "left")
+    is_send = F.exists("_sends", lambda s: s["id"] == F.col("_e.id"))
+    cooling = F.exists("_sends", lambda s: (s["us"] <= F.col("_e.us")) & (F.col("_e.us") < s["us"] + width))
+    verdict = F.when(F.col("_e.us").isNull(), F.lit(None)).when(is_send, "sent").when(cooling, "cooldown").otherwise("hourly_limit")
+    return out.select(*attempts.columns, verdict.alias("verdict"))
 
 
 # --- T4 ---------------------------------------------------------------------------
