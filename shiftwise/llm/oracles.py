@@ -91,30 +91,29 @@ def _rules(what: str) -> str:
     return f"CASE {cases} END"
 
 
-def _trust(rounds: int) -> str:
-    """So many rounds of propagation; by then damping has made further change too small to tell."""
-    steps = [f"""
-s{i} AS MATERIALIZED (SELECT s.kind, s.host, s.seed, s.linked,
-  CAST(0.15 AS DOUBLE) * s.seed + CAST(0.85 AS DOUBLE) * (coalesce(g.got, 0) + s.seed * coalesce(b.back, 0)) AS score
-  FROM s{i - 1} s LEFT JOIN (SELECT ed.kind, ed.t AS host, sum(ed.share * x.score) AS got FROM ed JOIN s{i - 1} x ON x.kind = ed.kind AND x.host = ed.f GROUP BY ed.kind, ed.t) g
-         ON g.kind = s.kind AND g.host = s.host
-       LEFT JOIN (SELECT kind, sum(score) FILTER (WHERE NOT linked) / nullif(sum(seed), 0) AS back FROM s{i - 1} GROUP BY kind) b ON b.kind = s.kind)""" for i in range(1, rounds + 1)]
-    return ",".join(steps)
-
-
 URLS = rf"""
-WITH u AS (SELECT row_number() OVER () AS rid, page_id, html, translate(regexp_extract(coalesce(url, ''), '{_HOST}', 1), '{UPPER}', '{LOWER}') AS host,
+WITH RECURSIVE u AS (SELECT row_number() OVER () AS rid, page_id, html, translate(regexp_extract(coalesce(url, ''), '{_HOST}', 1), '{UPPER}', '{LOWER}') AS host,
                   regexp_extract(coalesce(url, ''), '{_PATH}', 1) AS path FROM pages),
 r AS (SELECT *, {_rules("rule")} AS rule, {_rules("verdict")} AS ruled FROM u),
 h AS (SELECT host, avg(CASE WHEN ruled = 'allow' THEN 1.0 ELSE 0 END) AS a, avg(CASE WHEN ruled = 'block' THEN 1.0 ELSE 0 END) AS b FROM r WHERE host <> '' GROUP BY host),
 links AS (SELECT host AS f, translate(unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?\bhref\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)), '{UPPER}', '{LOWER}') AS t FROM r WHERE host <> ''),
 e AS (SELECT f, t, count(*) AS n FROM links WHERE f <> t GROUP BY f, t),
-both_ AS (SELECT 'trust' AS kind, f, t, n FROM e UNION ALL SELECT 'distrust', t, f, n FROM e),
-ed AS MATERIALIZED (SELECT kind, f, t, n / sum(n) OVER (PARTITION BY kind, f) AS share FROM both_),
-known AS (SELECT host, max(tr) AS tr, max(bl) AS bl FROM (SELECT host, a >= 0.5 AS tr, a < 0.5 AND b >= 0.5 AS bl FROM h UNION ALL SELECT t, false, false FROM both_) k GROUP BY host),
-s0 AS MATERIALIZED (SELECT kind, host, CAST(CASE WHEN kind = 'trust' THEN tr ELSE bl END AS DOUBLE) AS seed, (kind, host) IN (SELECT (kind, f) FROM both_) AS linked,
-                           CAST(CASE WHEN kind = 'trust' THEN tr ELSE bl END AS DOUBLE) AS score FROM known, (VALUES ('trust'), ('distrust')) v(kind)),{_trust(50)},
-bad AS (SELECT a.host FROM s50 a JOIN s50 b ON a.host = b.host AND a.kind = 'distrust' AND b.kind = 'trust' WHERE a.score >= 0.1 AND a.score > b.score)
+ed AS MATERIALIZED (SELECT f, t, n / sum(n) OVER (PARTITION BY f) AS share FROM e),
+known AS MATERIALIZED (SELECT host, CAST(max(tr) AS DOUBLE) AS tr, CAST(max(bl) AS DOUBLE) AS bl, host IN (SELECT f FROM ed) AS linked
+  FROM (SELECT host, CAST(a >= 0.5 AS INTEGER) AS tr, CAST(a < 0.5 AND b >= 0.5 AS INTEGER) AS bl FROM h UNION ALL SELECT f, 0, 0 FROM ed UNION ALL SELECT t, 0, 0 FROM ed) k GROUP BY host),
+pairs AS MATERIALIZED (SELECT k.host, k.tr, k.bl, k.linked, coalesce(i.ins, []) AS ins, coalesce(o.outs, []) AS outs
+  FROM known k LEFT JOIN (SELECT t, list({{'h': f, 's': share}}) AS ins FROM ed GROUP BY t) i ON i.t = k.host
+               LEFT JOIN (SELECT f, list({{'h': t, 's': share}}) AS outs FROM ed GROUP BY f) o ON o.f = k.host),
+sc AS (SELECT 0 AS round, map_from_entries(list((host, tr))) AS trust, map_from_entries(list((host, bl))) AS distrust FROM known
+  UNION ALL
+  SELECT x.round, map_from_entries(list((x.host, x.trust))), map_from_entries(list((x.host, x.distrust)))
+  FROM (SELECT sc.round + 1 AS round, p.host,
+          CAST(0.15 AS DOUBLE) * p.tr + CAST(0.85 AS DOUBLE) * (coalesce(list_sum(list_transform(p.ins, lambda i: i.s * sc.trust[i.h])), 0)
+            + p.tr * coalesce(sum(CASE WHEN p.linked THEN 0 ELSE sc.trust[p.host] END) OVER () / nullif(sum(p.tr) OVER (), 0), 0)) AS trust,
+          CASE WHEN p.bl > 0 THEN p.bl ELSE CAST(0.85 AS DOUBLE) * coalesce(list_sum(list_transform(p.outs, lambda i: i.s * sc.distrust[i.h])), 0) END AS distrust
+        FROM sc, pairs p WHERE sc.round < 120) x GROUP BY x.round),
+last AS (SELECT trust, distrust FROM sc WHERE round = 120),
+bad AS (SELECT host FROM known, last WHERE distrust[host] >= 0.4 AND distrust[host] > trust[host])
 SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN r.host IN (SELECT host FROM bad) THEN 'block' END, 'allow') AS verdict FROM r
 """
 

@@ -1,12 +1,17 @@
 """URL filter: rules first, then trust and distrust propagated over the host graph.
 
 The graph's edges are links from one host to another, counted over all pages.
-Trust is personalised PageRank from the trusted seeds along the links, distrust
-the same from the blocked seeds against them: who links to a blocked host earns
-distrust.  A seed is a host whose pages are, by half or more, allowed
-(trusted) or else blocked by the rules.  Scores are multiplied by the number of
-seeds, so that 1 is what a seed has by itself.  A host is blocked if its
-distrust reaches ``threshold`` and exceeds its trust.
+Trust is personalised PageRank from the trusted seeds along the links, multiplied
+by the number of seeds, so that 1 is what a seed has by itself.  Distrust runs
+from the blocked seeds against the links: who links to a blocked host earns
+distrust.  It is told as a share of what a host would get if all its links
+led to blocked hosts: a blocked seed has 1, another host ``damping`` times the mean
+of what its links lead to.  So it doesn't fade when many hosts link to the same
+blocked one, as it would if a blocked host dealt out one unit among them.
+
+A seed is a host whose pages are, by half or more, allowed (trusted) or else
+blocked by the rules.  A host is blocked if its distrust reaches ``threshold``
+(0.4: by and large, half of its links lead to blocked hosts) and exceeds its trust.
 
 Edges are summed per pair of hosts before they are joined, so a page or host
 with many links is one row for each other host; every iteration is a join on
@@ -63,66 +68,70 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule], what: str) -> Col
     return out
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """(source, target, share): what share of a host's links to other hosts goes to each."""
-    links = pages.where("host <> ''").select(F.col("host").alias("source"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("target"))
+def host_edges(links: DataFrame) -> DataFrame:
+    """(source, target, n) of ``links`` (host, targets): how many links lead from a host to another."""
+    links = links.select(F.col("host").alias("source"), F.explode("targets").alias("target"))
     links = links.withColumn("target", lower_ascii(F.col("target"))).where("source <> target")
     return links.groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
 def propagate(edges: DataFrame, hosts: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
-    """Trust and distrust of every host.
+    """(host, trust, distrust) of every host.
 
-    ``edges`` (source, target, n); ``hosts`` (host, trusted, blocked).  What
-    reaches a host without outgoing edges goes back to the seeds.  Iterates
-    until no score changes by more than ``tolerance`` seeds.  A round shrinks the
-    sum of all changes, at first no more than twice the seeds, by ``damping``,
-    which bounds the rounds by the logarithm of the number of seeds.
+    ``edges`` (source, target, n); ``hosts`` (host, trusted, blocked).  Trust that
+    reaches a host without links to others goes back to the seeds.  Iterates
+    until no score changes by more than ``tolerance``.  A round shrinks all
+    changes by ``damping`` (trust: their sum, at first no more than twice the
+    seeds), which bounds the rounds by the logarithm of the number of seeds.
     """
-    both = edges.select(F.lit("trust").alias("kind"), F.col("source").alias("from"), F.col("target").alias("to"), "n").unionByName(
-        edges.select(F.lit("distrust").alias("kind"), F.col("target").alias("from"), F.col("source").alias("to"), "n"))
-    out = both.groupBy("kind", "from").agg(F.sum("n").alias("all"))
-    both = stage(both.join(out, ["kind", "from"]).select("kind", "from", "to", (F.col("n") / F.col("all")).alias("share")), "edges")
+    out = edges.groupBy(F.col("source").alias("s")).agg(F.sum("n").alias("all"))
+    shares = stage(edges.join(out, F.col("source") == F.col("s")).select("source", "target", (F.col("n") / F.col("all")).alias("share")), "edges")
+    # both kinds use a host's shares: trust hands them out, distrust takes the mean of what they lead to
+    both = stage(shares.select(F.lit("trust").alias("kind"), F.col("source").alias("from"), F.col("target").alias("to"), "share").unionByName(
+        shares.select(F.lit("distrust").alias("kind"), F.col("target").alias("from"), F.col("source").alias("to"), "share")), "edges")
     known = hosts.select("host", "trusted", "blocked").unionByName(
         both.select(F.col("to").alias("host"), F.lit(False).alias("trusted"), F.lit(False).alias("blocked")).distinct())
     known = known.groupBy("host").agg(F.max("trusted").alias("trusted"), F.max("blocked").alias("blocked"))
-    ends = both.select("kind", F.col("from").alias("host")).distinct().withColumn("linked", F.lit(True))
-    nodes = known.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("trusted").alias("seed")), F.struct(F.lit("distrust").alias("kind"), F.col("blocked").alias("seed")))).alias("x")).select("host", "x.*")
-    nodes = stage(nodes.join(ends, ["kind", "host"], "left").select("kind", "host", F.col("seed").cast("double").alias("seed"), F.col("linked").isNotNull().alias("linked")), "nodes")
-    seeds = {r["kind"]: r["n"] for r in nodes.groupBy("kind").agg(F.sum("seed").alias("n")).collect()}
+    ends = shares.select(F.col("source").alias("s")).distinct().withColumn("linked", F.lit(True))
+    kinds = F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("trusted").alias("seed")), F.struct(F.lit("distrust").alias("kind"), F.col("blocked").alias("seed"))))
+    nodes = known.join(ends, F.col("host") == F.col("s"), "left").select("host", F.col("linked").isNotNull().alias("linked"), kinds.alias("x"))
+    nodes = stage(nodes.select("x.kind", "host", F.col("x.seed").cast("double").alias("seed"), "linked"), "nodes")
+    trust = F.col("kind") == "trust"
+    seeds = nodes.where(trust).agg(F.sum("seed")).first()[0] or 0.0
     scores = nodes.withColumn("score", F.col("seed"))
-    most = math.ceil(math.log(tolerance / (2 * max([1.0, *(n or 0 for n in seeds.values())]))) / math.log(damping)) + 1
+    most = math.ceil(math.log(tolerance / (2 * max(1.0, seeds))) / math.log(damping)) + 1
     for _ in range(most):
-        lost = {r["kind"]: r["n"] for r in scores.where("not linked").groupBy("kind").agg(F.sum("score").alias("n")).collect()}
-        back = F.lit(0.0)
-        for kind, n in seeds.items():
-            back = F.when(F.col("kind") == kind, F.lit(lost.get(kind, 0.0) / n if n else 0.0)).otherwise(back)
+        lost = scores.where(trust & ~F.col("linked")).agg(F.sum("score")).first()[0] or 0.0
         got = both.join(scores.select("kind", F.col("host").alias("from"), "score"), ["kind", "from"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
-        new = scores.join(got, ["kind", "host"], "left").withColumn("new", (1 - damping) * F.col("seed") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("seed") * back))
+        new = scores.join(got, ["kind", "host"], "left").withColumn("got", F.coalesce("got", F.lit(0.0)))
+        ranked = (1 - damping) * F.col("seed") + damping * (F.col("got") + F.col("seed") * F.lit(lost / seeds if seeds else 0.0))
+        new = new.withColumn("new", F.when(trust, ranked).otherwise(F.when(F.col("seed") > 0, F.col("seed")).otherwise(damping * F.col("got"))))
         new = stage(new.select("kind", "host", "seed", "linked", F.col("score").alias("old"), F.col("new").alias("score")), "scores")
         change = new.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0]
         scores = new.drop("old")
         if change is None or change <= tolerance:
             break
-    return scores.groupBy("host").agg(F.max(F.when(F.col("kind") == "trust", F.col("score"))).alias("trust"), F.max(F.when(F.col("kind") == "distrust", F.col("score"))).alias("distrust"))
+    return scores.groupBy("host").agg(F.max(F.when(trust, F.col("score"))).alias("trust"), F.max(F.when(~trust, F.col("score"))).alias("distrust"))
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], threshold: float = 0.1) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule], threshold: float = 0.4, tolerance: float = 1e-6) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every row of ``pages``.
 
     ``pages`` needs ``page_id``, ``url`` and ``html`` and may have any other
     columns.  A null url, or one without ``://``, has an empty host and path; an
     empty host is no node of the graph and is allowed.  A null html has no
-    links.  Repeated rows are judged each by itself.
+    links.  Repeated rows are judged each by itself; an empty table gives no
+    rows.  Html is read whole, once, however long it is.
     """
     url = F.col("url")
-    rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), "html")
+    rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), F.regexp_extract_all("html", F.lit(LINK), 1).alias("targets"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules, "text")).withColumn("ruled", rule_of(F.col("host"), F.col("path"), rules, "verdict"))
+    rows = stage(rows, "links")
     share = {v: F.avg((F.coalesce("ruled", F.lit("")) == v).cast("double")) for v in ("allow", "block")}
     hosts = rows.where("host <> ''").groupBy("host").agg(share["allow"].alias("allowed"), share["block"].alias("blocked"))
     trusted = F.col("allowed") >= 0.5
     hosts = stage(hosts.select("host", trusted.alias("trusted"), (~trusted & (F.col("blocked") >= 0.5)).alias("blocked")), "hosts")
-    scores = propagate(host_edges(rows), hosts)
+    scores = propagate(host_edges(rows.where("host <> ''").select("host", "targets")), hosts, tolerance=tolerance)
     bad = scores.where((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))).select("host", F.lit("block").alias("found"))
     out = rows.select("page_id", "host", "path", "rule", "ruled").join(bad, "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", "found", F.lit("allow")).alias("verdict"))

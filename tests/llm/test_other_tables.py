@@ -95,7 +95,7 @@ def rule_for(host, path):
     return max(fits, key=lambda r: len(r.text), default=None)
 
 
-def brute_verdicts(rows, threshold=0.1, damping=0.85):
+def brute_verdicts(rows, threshold=0.4, damping=0.85):
     hosts, edges, out = defaultdict(list), Counter(), []
     for page, url, html in rows:
         host, path = split_url(url)
@@ -124,7 +124,11 @@ def brute_verdicts(rows, threshold=0.1, damping=0.85):
             score = (1 - damping) * seed + damping * (walk.T @ score + seed * score[sums[:, 0] == 0].sum() / seed.sum())
         return score
 
-    trust, distrust = rank(links, trusted), rank(links.T, blocked)
+    sums = links.sum(axis=1, keepdims=True)
+    walk, distrust = np.divide(links, sums, out=np.zeros_like(links), where=sums > 0), blocked
+    for _ in range(200):
+        distrust = np.where(blocked > 0, blocked, damping * walk @ distrust)
+    trust = rank(links, trusted)
     bad = {h for h, t, d in zip(names, trust, distrust) if d >= threshold and d > t}
     return Counter((p, h, path, rule.text if rule else None, rule.verdict if rule else "block" if h in bad else "allow") for p, h, path, rule in out), bad
 
@@ -149,6 +153,25 @@ def test_linked_pages(spark):
     assert url_filter.judge(df.limit(0), RULES).count() == 0
 
 
+@pytest.mark.parametrize("linkers", [4, 300])
+def test_farms_of_any_size(spark, linkers):
+    """Hosts that link to nothing but a blocked host are blocked, however many there are; so are those that link to them alone."""
+    import duckdb
+    import pyarrow as pa
+
+    from shiftwise.llm import oracles
+    farm = [(i, f"http://farm{i}.com/", "<a href='http://bad.net/'>x</a>") for i in range(linkers)]
+    rows = [(1000, "http://bad.net/", None), (1001, "http://second.com/", "".join(f"<a href='//farm{i}.com'>" for i in range(linkers))), (1002, "http://news.com/", "<a href='http://bad.net/'>" + "<a href='http://good.org/fr/'>" * 2),
+            (1003, "http://good.org/fr/", "<a href='http://vouched.com/'>"), (1004, "http://vouched.com/", "<a href='http://good.org/'>"), *farm]
+    found = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = Counter(map(tuple, url_filter.judge(found, RULES, tolerance=0.01).collect()))
+    want, bad = brute_verdicts(rows)
+    assert got == want and bad == {"bad.net", "second.com", *(f"farm{i}.com" for i in range(linkers))}
+    con = duckdb.connect()
+    con.register("pages", pa.table(dict(zip(("page_id", "url", "html"), map(list, zip(*rows))))))
+    assert Counter(con.execute(oracles.URLS).fetchall()) == want
+
+
 def test_trust_converges(spark):
     ring = spark.createDataFrame([("a", "b", 1), ("b", "c", 1), ("c", "a", 1)], "source string, target string, n bigint")
     hosts = spark.createDataFrame([("a", True, False)], "host string, trusted boolean, blocked boolean")
