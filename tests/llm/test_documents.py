@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shiftwise.llm import ngram_join, packing, pieces, quality_rules, queries, sharding, substring_dedup, token_files, tokens, words
@@ -417,3 +418,28 @@ def test_likely_rows_are_a_superset(spark, monkeypatch):
         monkeypatch.setattr(staging, "FILTER_WORDS", size)
         got = {r[0] for r in staging.likely(df, ids, "id").collect()}
         assert got >= {r[0] for r in ids.collect()} and (size < 100 or len(got) < 200)
+
+
+def test_two_sets_under_one_id(spark):
+    """Two unlike texts share an id and are first of their sets: no link is lost."""
+    def text(name, *changed):
+        return " ".join(f"{name}{i}" if i not in changed else f"other{name}{i}" for i in range(60))
+    rows = [(20, text("a")), (20, text("b")), (21, text("a", 59)), (22, text("b", 59)), (23, text("a", 0)), (24, text("b", 0)), (25, text("c")), (25, text("c", 0)), (26, text("c", 59))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = {(r.doc_id, r.component_id, r.n_links) for r in ngram_join.join(df).collect()}
+    assert found == {(20, 20, 2), (21, 20, 2), (22, 20, 2), (23, 20, 2), (24, 20, 2), (25, 25, 2), (26, 25, 2)}
+    kept = Counter((r.doc_id, r.text[:1]) for r in ngram_join.keep_first(df).collect())
+    assert sum(kept.values()) == 3 and {d for d, _ in kept} == {20, 25}
+
+
+def test_many_short_texts_in_one_batch(spark):
+    """More rows than 16 bits can number, in one Arrow batch."""
+    n = 70_000
+    df = spark.range(n, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.floor(F.col("id") / 2).cast("string"), F.lit(" x")).alias("text"))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "0")
+    try:
+        out = ngram_join.join(df)
+        assert out.where(F.col("component_id") != F.col("doc_id") - F.col("doc_id") % 2).count() == 0 and out.where("n_links <> 1").count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
