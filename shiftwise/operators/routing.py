@@ -22,7 +22,12 @@ from pyspark.sql import types as T
 
 from shiftwise.functions.scalars import strip
 from shiftwise.functions.text import classify_intent, is_offensive_tokens, ordinal_ref
-from shiftwise.streaming.quotas import ANON_LIMIT, _walk
+from shiftwise.streaming.chains import micros
+from shiftwise.streaming.ordered import in_order
+from shiftwise.streaming.quotas import ANON_LIMIT, ANON_TTL_S, _walk, segmented
+
+_US = 1_000_000
+CONTEXT_TTL_S = 3600
 
 # Answer templates of the follow-up branch (title in quotes).
 PAGES_OK = "„{t}” are {v} pagini."
@@ -57,61 +62,102 @@ def keyword_shortlist(queries: DataFrame, qid: str, text: str, titles: DataFrame
     return lists.select(qid, F.transform("_s", lambda s: s["_title"]).alias("shortlist"))
 
 
-def route_queries(queries: DataFrame, session: str, order: str, text: str, shortlists: DataFrame, qid: str,
-                  limit: int = ANON_LIMIT, anonymous: Column | None = None) -> DataFrame:
-    """Status, selected title and shortlist per query (see module doc)."""
-    q = strip(F.col(text))
-    pre = (queries.join(shortlists, qid, "left")
-           .withColumn("_empty", (F.coalesce(q, F.lit("")) == "").cast("boolean"))
-           .withColumn("_offensive", is_offensive_tokens(text))
-           .withColumn("_intent", classify_intent(text))
-           .withColumn("_ordinal", ordinal_ref(text).cast("long"))
-           .withColumn("_anon", (anonymous if anonymous is not None else F.lit(True)).cast("boolean"))
-           .withColumn("shortlist", F.coalesce(F.col("shortlist"), F.array().cast("array<string>"))))
-    out = T.StructType(pre.schema.fields + [T.StructField("status", T.StringType()),
-                                            T.StructField("selected_title", T.StringType()),
-                                            T.StructField("context_title", T.StringType())])
+#: What a routing decision depends on, beside the state.
+FEATURES = ("is_empty", "is_anonymous", "is_offensive", "intent", "ordinal", "shortlist")
+#: The state of a session, and what a decision adds to a query.
+ROUTE_STATE = "used bigint, quota_until bigint, last_list array<string>, last_title string, context_at bigint"
+ROUTE_ADDS = "status string, selected_title string, context_title string"
+
+
+def route_step(limit: int = ANON_LIMIT, quota_ttl_s: int | None = None, context_ttl_s: int | None = None):
+    """State transition of a session: ``ROUTE_STATE`` x query (``FEATURES``, ``_us``) -> decision.
 
+    The quota ends ``quota_ttl_s`` after its last counted use; the context once
+    nothing has read or written it for more than ``context_ttl_s``.  Without a TTL
+    neither ends.  Empty, blocked, offensive and out-of-scope queries don't touch the context.
+    """
     def step(state, r):
-        used, last_list, last_title = state or (0, [], None)
-        res = {"selected_title": None, "context_title": last_title}
-        if r["_empty"]:
-            res["status"] = "empty"
-        elif r["_anon"] and used >= limit:
-            res["status"] = "blocked"
-        elif r["_offensive"]:
-            res["status"] = "offensive"
-        elif r["_intent"] == "out_of_scope":
-            res["status"] = "out_of_scope"
-        elif r["_intent"] == "book_followup":
-            res["status"] = "need_title" if last_title is None else "followup"
-            res["selected_title"] = last_title
+        used, until, last_list, last_title, touched = state or (0, None, [], None, None)
+        last_list, now = list(last_list or []), r.get("_us")
+        if quota_ttl_s is not None and until is not None and now >= until:
+            used, until = 0, None
+        over = context_ttl_s is not None and touched is not None and now > touched + context_ttl_s * _US
+        if r["is_empty"]:
+            status = "empty"
+        elif r["is_anonymous"] and used >= limit:
+            status = "blocked"
+        elif r["is_offensive"]:
+            status = "offensive"
+        elif r["intent"] == "out_of_scope":
+            status = "out_of_scope"
         else:
-            n = r["_ordinal"]
-            sl = list(r["shortlist"]) if r["shortlist"] is not None else []
-            if n is not None and not _isnan(n) and 1 <= int(n) <= len(last_list):
-                res["status"] = "ordinal_pick"
-                res["selected_title"] = last_list[int(n) - 1]
-            elif not sl:
-                res["status"] = "no_results"
+            status = None
+        title, chosen = None if over else last_title, None
+        if status is None:
+            if over:
+                last_list, last_title = [], None
+            touched = now
+            found, n = list(r["shortlist"] if r["shortlist"] is not None else []), r["ordinal"]
+            if r["intent"] == "book_followup":
+                status, chosen = "need_title" if last_title is None else "followup", last_title
+            elif n is not None and n == n and 1 <= int(n) <= len(last_list):
+                status, chosen = "ordinal_pick", last_list[int(n) - 1]
+            elif not found:
+                status = "no_results"
             else:
-                res["status"] = "candidates"
-                last_list = sl
-                last_title = sl[0]
-                res["selected_title"] = last_title
-        if res["status"] in SUCCESS and r["_anon"]:
-            used += 1
-        return (used, last_list, last_title), res
-
-    routed = _walk(pre, session, [order], out, step)
-    return routed.drop("_empty", "_offensive", "_anon")
-
-
-def _isnan(x) -> bool:
-    try:
-        return x != x
-    except Exception:
-        return False
+                status, last_list, last_title, chosen = "candidates", found, found[0], found[0]
+        if status in SUCCESS and r["is_anonymous"]:
+            used, until = used + 1, None if quota_ttl_s is None else now + quota_ttl_s * _US
+        return (used, until, last_list, last_title, touched), {"status": status, "selected_title": chosen, "context_title": title}
+    return step
+
+
+def query_features(queries: DataFrame, text: str, shortlists: DataFrame, qid: str, anonymous: Column | None = None) -> DataFrame:
+    """``queries`` with ``FEATURES``: what can be told from a query alone, set-based."""
+    q = strip(F.col(text))
+    return queries.join(shortlists, qid, "left").withColumns({
+        "is_empty": (F.coalesce(q, F.lit("")) == "").cast("boolean"), "is_anonymous": (anonymous if anonymous is not None else F.lit(True)).cast("boolean"),
+        "is_offensive": is_offensive_tokens(text), "intent": classify_intent(text), "ordinal": ordinal_ref(text).cast("long"),
+        "shortlist": F.coalesce(F.col("shortlist"), F.array().cast("array<string>"))})
+
+
+def route_features(rows: DataFrame, session: str, order: Sequence[str], qid: str, ts: str | None = None, limit: int = ANON_LIMIT,
+                   quota_ttl_s: int = ANON_TTL_S, context_ttl_s: int = CONTEXT_TTL_S) -> DataFrame:
+    """M14 for rows with ``FEATURES``: adds status, selected title and context title.
+
+    Sessions are walked in order, with key, order and features alone; the other
+    columns are joined to the decisions by ``qid`` (unique).  With ``ts`` quota
+    and context expire, so a silence of both TTLs ends a session's state and the
+    walk of a busy session is split there; without it nothing expires.
+    """
+    times = [] if ts is None else [ts]
+    thin = rows.select(*dict.fromkeys([session, *order, qid, *times, *FEATURES]))
+    key, step = session, route_step(limit, *((quota_ttl_s, context_ttl_s) if ts else (None, None)))
+    if ts is not None:
+        thin = segmented(thin.withColumn("_us", micros(F.col(ts))), session, ts, max(quota_ttl_s, context_ttl_s) + 1)
+        key = "_seg"
+    adds = T.StructType.fromDDL(ROUTE_ADDS)
+    out = T.StructType([*thin.schema.fields, *adds.fields])
+    routed = _walk(thin, key, list(order), out, step).select(F.col(qid).alias("_qid"), *(f.name for f in adds.fields))
+    return rows.join(routed, rows[qid].eqNullSafe(F.col("_qid"))).drop("_qid")
+
+
+def route_queries(queries: DataFrame, session: str, order: str, text: str, shortlists: DataFrame, qid: str,
+                  limit: int = ANON_LIMIT, anonymous: Column | None = None, ts: str | None = None) -> DataFrame:
+    """Status, selected title and shortlist per query (see module doc); ``ts``: see ``route_features``."""
+    rows = query_features(queries, text, shortlists, qid, anonymous)
+    return route_features(rows, session, [order], qid, ts, limit).drop("is_empty", "is_offensive", "is_anonymous").withColumnsRenamed({"intent": "_intent", "ordinal": "_ordinal"})
+
+
+def route_stream(rows: DataFrame, session: str, ts: str, tiebreak: str, limit: int = ANON_LIMIT, quota_ttl_s: int = ANON_TTL_S,
+                 context_ttl_s: int = CONTEXT_TTL_S, watermark: str = "1 hour") -> DataFrame:
+    """M14 on a stream of rows with ``FEATURES``; quota and context expire by event time."""
+    def lives(state) -> int | None:
+        _, until, _, _, touched = state
+        ends = [x for x in (until, None if touched is None else touched + context_ttl_s * _US) if x is not None]
+        return max(ends, default=0)
+
+    return in_order(rows, session, ts, tiebreak, route_step(limit, quota_ttl_s, context_ttl_s), ROUTE_STATE, ROUTE_ADDS, watermark, lives)
 
 
 def candidate_prompt(shortlist: Column) -> Column:

@@ -143,3 +143,73 @@ def valid_within(spark, sf):
     v = qt.valid_within(issues.select("event_id", "user_id", "ts", "code"),
                         attempts.select("event_id", "user_id", "ts", "code"), "user_id", "ts", "code", "event_id")
     return v.select("event_id", "user_id", "code", "issue_id", "valid")
+
+
+@query("spent_codes", """
+WITH e AS (SELECT event_id, user_id, ts, event_type FROM events),
+i AS (SELECT * FROM e WHERE event_type = 'signup'),
+a AS (SELECT * FROM e WHERE event_type IN ('click', 'view')),
+v AS (SELECT a.event_id, a.user_id, a.ts, CASE WHEN a.ts < i.ts + INTERVAL 36000 SECOND THEN i.event_id END AS issue_id,
+             CASE WHEN a.ts < i.ts + INTERVAL 36000 SECOND AND a.event_id % 3 > 0 THEN 1 ELSE 0 END AS valid
+      FROM a ASOF LEFT JOIN i ON a.user_id = i.user_id AND a.ts >= i.ts)
+SELECT event_id, user_id, issue_id,
+       CAST(CASE WHEN valid = 1 AND COALESCE(SUM(valid) OVER (PARTITION BY issue_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 THEN 1 ELSE 0 END AS INTEGER) AS valid
+FROM v
+""")
+def spent_codes(spark, sf):
+    """J12 with reset codes, which their first valid attempt spends; two attempts in three give the right code, codes live ten hours."""
+    ev = Tables(spark, sf).events.select("event_id", "user_id", "ts", "event_type")
+    issues = ev.where(c("event_type") == "signup").withColumn("code", F.lit(1))
+    attempts = ev.where(c("event_type").isin("click", "view")).withColumn("code", (c("event_id") % 3 > 0).cast("int"))
+    v = qt.valid_within(issues, attempts, "user_id", "ts", "code", "event_id", ttl_s=36_000, invalidate_on_use=True)
+    return v.select("event_id", "user_id", "issue_id", "valid")
+
+
+@query("route_events", """
+WITH RECURSIVE e AS (
+  SELECT event_id, user_id, ts, event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+         ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events),
+p AS (
+  SELECT *, CASE WHEN event_type IN ('view', 'error') THEN list_transform(range(1, 1 + k % 4), lambda i: 'title ' || (k * i)) ELSE [] END AS shortlist,
+         CASE WHEN event_type = 'click' THEN 1 + k % 3 END AS ord FROM e),
+s AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS selected_title,
+         CAST(NULL AS VARCHAR) AS context_title, CAST(0 AS BIGINT) AS used, CAST(NULL AS TIMESTAMP) AS until, CAST([] AS VARCHAR[]) AS last_list,
+         CAST(NULL AS VARCHAR) AS last_title, CAST(NULL AS TIMESTAMP) AS touched
+  FROM p
+  UNION ALL
+  SELECT p.user_id, p.rn, p.event_id, y.status,
+         CASE y.status WHEN 'followup' THEN x.title WHEN 'ordinal_pick' THEN x.list[p.ord] WHEN 'candidates' THEN p.shortlist[1] END,
+         x.title, x.used + CASE WHEN y.status IN ('ordinal_pick', 'candidates') THEN 1 ELSE 0 END,
+         CASE WHEN y.status IN ('ordinal_pick', 'candidates') THEN p.ts + INTERVAL 86400 SECOND WHEN x.used = 0 AND s.used > 0 THEN NULL ELSE s.until END,
+         CASE WHEN y.status = 'candidates' THEN p.shortlist WHEN y.status IN ('blocked', 'out_of_scope') THEN s.last_list ELSE x.list END,
+         CASE WHEN y.status = 'candidates' THEN p.shortlist[1] WHEN y.status IN ('blocked', 'out_of_scope') THEN s.last_title ELSE x.title END,
+         CASE WHEN y.status IN ('blocked', 'out_of_scope') THEN s.touched ELSE p.ts END
+  FROM s JOIN p ON p.user_id = s.user_id AND p.rn = s.rn + 1,
+       LATERAL (SELECT CASE WHEN s.until IS NOT NULL AND p.ts >= s.until THEN 0 ELSE s.used END AS used,
+                       CASE WHEN p.ts > s.touched + INTERVAL 3600 SECOND THEN [] ELSE s.last_list END AS list,
+                       CASE WHEN p.ts > s.touched + INTERVAL 3600 SECOND THEN NULL ELSE s.last_title END AS title) x,
+       LATERAL (SELECT CASE WHEN x.used >= 3 THEN 'blocked'
+                            WHEN p.event_type = 'signup' THEN 'out_of_scope'
+                            WHEN p.event_type = 'purchase' THEN CASE WHEN x.title IS NULL THEN 'need_title' ELSE 'followup' END
+                            WHEN p.ord BETWEEN 1 AND len(x.list) THEN 'ordinal_pick'
+                            WHEN len(p.shortlist) = 0 THEN 'no_results'
+                            ELSE 'candidates' END AS status) y)
+SELECT event_id, user_id, status, selected_title, context_title FROM s WHERE rn > 0
+""")
+def route_events(spark, sf):
+    """M14 with expiry: a user's events as queries of one session; the quota ends after 24 hours, the context after one."""
+    from shiftwise.operators.routing import route_features
+    return route_features(event_queries(Tables(spark, sf).events), "user_id", ["ts", "event_id"], "event_id", ts="ts").select(
+        "event_id", "user_id", "status", "selected_title", "context_title")
+
+
+def event_queries(events):
+    """Events as routed queries: a view or error finds k % 4 titles, a click picks one, a purchase asks on, a signup is out of scope."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    titles = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(3).cast("long")), lambda i: F.concat(F.lit("title "), (k * i).cast("string")))
+    finds = F.slice(titles, F.lit(1), (k % 4).cast("int"))
+    intent = F.when(c("event_type") == "purchase", "book_followup").when(c("event_type") == "signup", "out_of_scope").otherwise("book_search")
+    return events.select("event_id", "user_id", "ts", F.lit(False).alias("is_empty"), F.lit(True).alias("is_anonymous"), F.lit(False).alias("is_offensive"), intent.alias("intent"),
+                         F.when(c("event_type") == "click", 1 + k % 3).alias("ordinal"), F.when(c("event_type").isin("view", "error"), finds).otherwise(F.array().cast("array<string>")).alias("shortlist"))

@@ -122,6 +122,16 @@ def _later_by(a: Column, b: Column, seconds: int) -> Column:
     return a >= b + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
 
 
+def segmented(df: DataFrame, key: str, ts: str, reset_gap_s: int) -> DataFrame:
+    """Add ``_seg``: the key and the number of its gap session, for a gap after which no state matters.
+
+    Segments are independent, so the walk of a busy key is split over many tasks.
+    """
+    out = _with_session(df, key, ts, gap_session_buckets(df, key, ts, reset_gap_s), reset_gap_s)
+    named = F.when(F.col(key).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(key).cast("string")))
+    return out.withColumn("_seg", F.concat(named, F.lit("#"), F.coalesce(F.col("session_no").cast("string"), F.lit("")))).drop("_bucket", "session_no")
+
+
 def _with_session(df: DataFrame, key: str, ts: str, buckets: DataFrame, width_s: int) -> DataFrame:
     """``df`` with ``_bucket`` and ``session_no``; events without a key are those of one more key."""
     per = buckets.select(F.col(key).alias("_pk"), F.col("_bucket").alias("_pb"), "session_no")
@@ -341,7 +351,7 @@ def session_context(events: DataFrame, key: str, ts: str, tiebreak: str, fields:
 
 # --- J12 / T7 ------------------------------------------------------------------------
 def valid_within(issues: DataFrame, attempts: DataFrame, key: str, ts: str, code: str, id_col: str,
-                 ttl_s: int = OTP_TTL_S) -> DataFrame:
+                 ttl_s: int = OTP_TTL_S, invalidate_on_use: bool = False) -> DataFrame:
     """An attempt is valid if the latest code issued for its key is equal and younger than the TTL.
 
     Only issues of the last ``ttl_s`` seconds can make an attempt valid, so
@@ -349,6 +359,9 @@ def valid_within(issues: DataFrame, attempts: DataFrame, key: str, ts: str, code
     issue is offered to its own and the next bucket - followed by the range
     filter and ``max_by`` on the issue time.  Candidates per attempt are
     bounded by the issues of one key in two TTL windows.
+
+    ``invalidate_on_use`` (reset codes): a code is spent by its first valid
+    attempt (by time, then id); later ones are invalid until the next issue.
     """
     b = F.floor(epoch_seconds(ts) / F.lit(ttl_s)).cast("long")
     iss = issues.select(F.col(key).alias("_ik"), F.col(ts).alias("_its"), F.col(code).alias("_icode"),
@@ -361,6 +374,14 @@ def valid_within(issues: DataFrame, attempts: DataFrame, key: str, ts: str, code
     latest = cand.groupBy(id_col).agg(F.max_by(F.struct("_icode", "issue_id"),
                                                F.struct("_its", "issue_id")).alias("_last"))
     res = attempts.join(latest, id_col, "left")
-    return res.select(*attempts.columns, F.col("_last.issue_id").alias("issue_id"),
-                      (F.col("_last._icode").isNotNull() & (F.col("_last._icode") == F.col(code)))
-                      .cast("int").alias("valid"))
+    right = F.col("_last._icode").isNotNull() & (F.col("_last._icode") == F.col(code))
+    res = res.select(*attempts.columns, F.col("_last.issue_id").alias("issue_id"), right.cast("int").alias("valid"))
+    return spend(res, ts, id_col) if invalidate_on_use else res
+
+
+def spend(checked: DataFrame, ts: str, id_col: str) -> DataFrame:
+    """Attempts whose code an earlier valid attempt has spent are invalid: one row an issue tells who spent it."""
+    order = F.struct(ts, id_col)
+    spent = checked.where("valid = 1").groupBy(F.col("issue_id").alias("_spent")).agg(F.min(order).alias("_by"))
+    out = checked.join(spent, F.col("issue_id") == F.col("_spent"), "left")
+    return out.withColumn("valid", F.when(F.col("_by").isNotNull() & (order > F.col("_by")), 0).otherwise(F.col("valid"))).drop("_spent", "_by")

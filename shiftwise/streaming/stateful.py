@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from shiftwise.streaming.ordered import in_order
 from shiftwise.streaming.quotas import (ANON_LIMIT, ANON_TTL_S, OTP_COOLDOWN_S, OTP_HOURLY_LIMIT, OTP_TTL_S, _epoch,
                                        send_step, usage_sessions_windowed, usage_step)
 
@@ -127,6 +128,18 @@ def send_verdicts_stream(attempts: DataFrame, key: str, ts: str, tiebreak: str,
                                                    GroupStateTimeout.EventTimeTimeout)
 
 
+def validity_step(kind: str, code: str, ttl_s: int, invalidate_on_use: bool):
+    """State transition of a key's latest code: ``(code, issued)`` x issue or attempt; issues give no row."""
+    def step(state, r):
+        latest, issued = state or (None, None)
+        if r[kind] == "issue":
+            return (r[code], r["_us"]), None
+        right = latest is not None and r["_us"] - issued < ttl_s * _US and r[code] == latest
+        spent = right and invalidate_on_use
+        return (None if spent else latest, issued), {"valid": int(right)}
+    return step
+
+
 def validity_stream(events: DataFrame, key: str, ts: str, tiebreak: str, kind: str, code: str,
                     watermark: str = "10 minutes", ttl_s: int = OTP_TTL_S,
                     invalidate_on_use: bool = False) -> DataFrame:
@@ -134,46 +147,31 @@ def validity_stream(events: DataFrame, key: str, ts: str, tiebreak: str, kind: s
 
     ``kind`` is 'issue' or 'attempt'.  A code expires ``ttl_s`` after it was
     issued (event time); ``invalidate_on_use`` drops it after a valid attempt
-    (password-reset codes).  Output: the attempts with ``valid`` (0/1).
+    (password-reset codes).  Rows are taken in event-time order, whatever the
+    order they come in.  Output: the attempts with ``valid`` (0/1).
     """
-    src = event_time(events, ts).withWatermark(ts, watermark)
-    out_fields = [f for f in src.schema.fields if f.name != kind]
-    out = T.StructType(out_fields + [T.StructField("valid", T.IntegerType())])
-    names = [f.name for f in out.fields]
+    kind_of = events.schema[code].dataType.simpleString()
+    out = in_order(events, key, ts, tiebreak, validity_step(kind, code, ttl_s, invalidate_on_use), f"code {kind_of}, issued bigint", "valid int", watermark,
+                   lambda state: (state[1] or 0) + ttl_s * _US)
+    return out.drop(kind)
 
-    def fn(k, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        cur_code, issued = state.get if state.exists else (None, None)
-        pdf = _sorted(pdfs, [ts, tiebreak])
-        if pdf is None:
-            return
-        keep, valid = [], []
-        for i, r in enumerate(pdf.to_dict("records")):
-            t = _epoch(r[ts])
-            if r[kind] == "issue":
-                cur_code, issued = r[code], t
-                continue
-            ok = (cur_code is not None and issued is not None and t - issued < ttl_s * _US
-                  and r[code] == cur_code)
-            keep.append(i)
-            valid.append(1 if ok else 0)
-            if ok and invalidate_on_use:
-                cur_code, issued = None, None
-        if cur_code is not None:
-            state.update((int(cur_code), int(issued)))
-            state.setTimeoutTimestamp(max(int((issued + ttl_s * _US) // 1000), state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        if keep:
-            res = pdf.iloc[keep].copy()
-            res["valid"] = valid
-            yield res[names]
 
-    state_schema = T.StructType([T.StructField("code", T.LongType()), T.StructField("issued", T.LongType())])
-    return src.groupBy(key).applyInPandasWithState(fn, out, state_schema, "append",
-                                                   GroupStateTimeout.EventTimeTimeout)
+def valid_within_stream(issues: DataFrame, attempts: DataFrame, key: str, ts: str, code: str, id_col: str,
+                        watermark: str = "10 minutes", ttl_s: int = OTP_TTL_S) -> DataFrame:
+    """T7 as an interval join of two streams: (attempt columns, issue_id, valid), as ``quotas.valid_within`` in batch.
+
+    Both sides have a watermark, so Spark drops an issue from the join's state
+    once no attempt of its lifetime can come.  An attempt joins every
+    issue it may mean; an aggregate per attempt, closed by the watermark, takes the latest.
+    """
+    iss = event_time(issues.select(F.col(key).alias("_ik"), F.col(ts).alias("_its"), F.col(code).alias("_icode"), F.col(id_col).alias("_iid")), "_its").withWatermark("_its", watermark)
+    att = event_time(attempts, ts).withWatermark(ts, watermark)
+    ttl = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl_s))
+    pairs = att.join(iss, (F.col(key) == F.col("_ik")) & (F.col("_its") <= F.col(ts)) & (F.col(ts) < F.col("_its") + ttl), "left_outer")
+    latest = F.max_by(F.struct(F.col("_iid").alias("id"), F.col("_icode").alias("code")), F.struct("_its", "_iid"))
+    out = pairs.groupBy(*attempts.columns).agg(latest.alias("_last"))
+    right = F.col("_last.code").isNotNull() & (F.col("_last.code") == F.col(code))
+    return out.select(*attempts.columns, F.col("_last.id").alias("issue_id"), right.cast("int").alias("valid"))
 
 
 def dedup_requests_stream(requests: DataFrame, key_cols: list[str], ts: str, watermark: str = "1 hour") -> DataFrame:
@@ -181,56 +179,43 @@ def dedup_requests_stream(requests: DataFrame, key_cols: list[str], ts: str, wat
     return event_time(requests, ts).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(key_cols)
 
 
-def session_context_stream(events: DataFrame, key: str, ts: str, tiebreak: str, fields: dict[str, Column],
-                           ttl_s: int = 3600, strict_gap: bool = True, watermark: str = "1 hour") -> DataFrame:
-    """T4 on a stream: per key the context (last touch, session number, field
-    values); an access after the TTL starts a new session.  Every event
-    renews the context (variant B); fields written as NULL are skipped
-    (pass only the written values).  Output: events with ``ctx_session`` and
-    the field values after the event."""
-    names_f = list(fields)
-    src = event_time(events.select("*", *[v.alias(f"_w_{n}") for n, v in fields.items()]), ts).withWatermark(ts, watermark)
-    out = T.StructType([f for f in src.schema.fields if not f.name.startswith("_w_")]
-                       + [T.StructField("ctx_session", T.LongType())]
-                       + [T.StructField(n, src.schema[f"_w_{n}"].dataType) for n in names_f])
-    names = [f.name for f in out.fields]
+def context_step(names: list[str], ttl_s: int, strict_gap: bool, nulls_overwrite: bool):
+    """State transition of a context: ``(last, session, values)`` x event -> session number and values.
 
-    def fn(k, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        if state.exists:
-            st_ = state.get
-            last, sess, vals = st_[0], st_[1], list(st_[2:])
-        else:
-            last, sess, vals = None, 0, [None] * len(names_f)
-        pdf = _sorted(pdfs, [ts, tiebreak])
-        if pdf is None:
-            return
-        sessions, cols = [], {n: [] for n in names_f}
-        for r in pdf.to_dict("records"):
-            t = _epoch(r[ts])
-            expired = last is None or ((t - last > ttl_s * _US) if strict_gap else (t - last >= ttl_s * _US))
-            if expired:
-                sess, vals = sess + 1, [None] * len(names_f)
-            for j, n in enumerate(names_f):
-                v = r[f"_w_{n}"]
-                if v is not None and not (isinstance(v, float) and v != v):
-                    vals[j] = v
-                cols[n].append(vals[j])
-            sessions.append(sess)
-            last = t
-        pdf["ctx_session"] = sessions
-        for n in names_f:
-            pdf[n] = cols[n]
-        state.update((int(last), int(sess), *vals))
-        state.setTimeoutTimestamp(max(int((last + ttl_s * _US) // 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pdf[names]
-
-    state_schema = T.StructType([T.StructField("last", T.LongType()), T.StructField("session", T.LongType())]
-                                + [T.StructField(n, src.schema[f"_w_{n}"].dataType) for n in names_f])
-    return src.groupBy(key).applyInPandasWithState(fn, out, state_schema, "append",
-                                                   GroupStateTimeout.EventTimeTimeout)
+    ``_w_<name>`` holds whether an event writes a field, ``_v_<name>`` the value, ``_renews`` whether it renews the context.
+    """
+    def step(state, r):
+        last, session, *values = state or (None, 0, *[None] * len(names))
+        gap = None if last is None else r["_us"] - last
+        if gap is None or (gap > ttl_s * _US if strict_gap else gap >= ttl_s * _US):
+            session, values, last = session + 1, [None] * len(names), r["_us"]
+        writes = [r[f"_w_{n}"] and (nulls_overwrite or r[f"_v_{n}"] is not None) for n in names]
+        values = [r[f"_v_{n}"] if w else v for n, v, w in zip(names, values, writes, strict=True)]
+        return (r["_us"] if r["_renews"] else last, session, *values), {"ctx_session": session, **dict(zip(names, values, strict=True))}
+    return step
+
+
+def session_context_stream(events: DataFrame, key: str, ts: str, tiebreak: str, fields: dict[str, Column | tuple[Column, Column]],
+                           ttl_s: int = 3600, strict_gap: bool = True, watermark: str = "1 hour", nulls_overwrite: bool = True,
+                           renews: Column | None = None) -> DataFrame:
+    """T4 on a stream: each event, in time order, with its context's number and the field values after it.
+
+    ``fields`` as in ``quotas.session_context``: a column (NULL = no write) or a
+    ``(writes, value)`` pair.  Variant B (default): NULLs that are written
+    overwrite, every event renews.  Variant A: ``nulls_overwrite=False``,
+    ``strict_gap=False``, and ``renews`` tells the updates, which alone renew.
+    The numbers go on while the state lives: one TTL past the last renewal it
+    is dropped, and a key that comes back begins with 1 again.
+    """
+    specs = {n: x if isinstance(x, tuple) else (x.isNotNull(), x) for n, x in fields.items()}
+    rows = events.withColumns({f"_w_{n}": F.coalesce(w.cast("boolean"), F.lit(False)) for n, (w, _) in specs.items()} | {f"_v_{n}": v for n, (_, v) in specs.items()})
+    rows = rows.withColumn("_renews", F.lit(True) if renews is None else F.coalesce(renews.cast("boolean"), F.lit(False)))
+    values = ", ".join(f"{n} {rows.schema[f'_v_{n}'].dataType.simpleString()}" for n in fields)
+    state = "last bigint, session bigint" + (f", {values}" if values else "")
+    adds = "ctx_session bigint" + (f", {values}" if values else "")
+    step = context_step(list(fields), ttl_s, strict_gap, nulls_overwrite)
+    out = in_order(rows, key, ts, tiebreak, step, state, adds, watermark, lambda state: state[0] + ttl_s * _US)
+    return out.select(*events.columns, "ctx_session", *fields)
 
 
 def request_events_stream(requests: DataFrame, op: str, key_cols: list[str], ts: str,
