@@ -1,14 +1,12 @@
 """Title matching and mention joins.
 
-Both are "first key in key order that satisfies a containment" problems.  A
-containment is found by an equi join on short substrings (grams of up to three
-characters) and then verified with ``instr``, so the same plan answers for any
-number of keys and texts, and no candidate is dropped:
-
-* a text inside a key: the keys are indexed by all their grams; a text looks up
-  its rarest gram (itself, if it is no longer than a gram);
-* a key inside a text: the texts' different grams are joined with the first
-  gram of each key.
+Both are "first key in key order that satisfies a containment" problems; the
+same plan answers for any number of keys and texts, and no candidate is dropped:
+
+* a text inside a key: the keys are indexed by all their grams (substrings of up
+  to three characters); a text looks up its rarest gram (itself, if it is no
+  longer than a gram), and ``instr`` verifies;
+* a key inside a text: automata over shards of the keys, see ``automata``.
 """
 
 from __future__ import annotations
@@ -17,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftwise.functions.text import normalize_title
+from shiftwise.operators.automata import first_key_in
 
 GRAM = 3
 
@@ -68,12 +67,10 @@ def mention_join(texts: DataFrame, id_col: str, text_col: str, keys: DataFrame,
 
     An empty key is mentioned in every text, a NULL text mentions none.
     """
-    k = keys.select(F.col(key_col).alias("_key"), F.col(pos_col).alias("_pos"), F.lower(F.col(key_col)).alias("_kl"))
-    k = k.withColumn("_gram", F.substring("_kl", 1, GRAM))
-    low = F.lower(F.col(text_col))
-    t = texts.select(id_col, low.alias("_tl"), F.explode(F.concat(F.array(F.lit("")), _grams(low, range(1, GRAM + 1)))).alias("_gram"))
-    pairs = t.join(k, "_gram").where((F.col("_kl") == "") | (F.instr(F.col("_tl"), F.col("_kl")) > 0))
-    return texts.join(_first_key(pairs, id_col, out), id_col, "left")
+    k = keys.select(F.col(key_col).alias("_key"), F.col(pos_col).cast("long").alias("_pos"), F.lower(F.col(key_col)).alias("_kl"))
+    found = first_key_in(texts.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_tl")), k)
+    named = found.join(k.groupBy("_pos").agg(F.min("_key").alias(out)), "_pos")
+    return texts.join(named.select(F.col("_id").alias(id_col), out), id_col, "left")
 
 
 def shortlist(hits: DataFrame, query_col: str, title_col: str, rank_col: str, allow: DataFrame,
