@@ -132,6 +132,32 @@ def answer(requests: DataFrame, order: list[str], stored: DataFrame, op: str = "
     return _null_safe(memo, results, key, "left"), fresh.where(F.col("status") == "ok").select(*key, "result")
 
 
+def answer_stream(requests: DataFrame, order: list[str], cache_path: str, answers_path: str, op: str = "operation", x: str = "x", y: str = "y"):
+    """T5 on a stream: a writer that answers each micro-batch and grows the cache table.
+
+    A batch reads what earlier batches stored, computes what is new, and
+    appends results and answers under its number, so a batch that is run again
+    replaces its own rows: nothing is stored twice, and hits return the stored
+    result.  Start the writer with a checkpoint location.
+    """
+    from shiftwise.sources.sinks import BATCH, append_once
+    from shiftwise.sources.tables import path_exists
+    fields = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
+
+    def each(batch: DataFrame, batch_no: int) -> None:
+        spark = batch.sparkSession
+        kinds = f"{op} {fields[op]}, {x} {fields[x]}, {y} {fields[y]}, result string"
+        if path_exists(spark, cache_path):
+            stored = spark.read.schema(f"{kinds}, {BATCH} bigint").parquet(cache_path).where(F.col(BATCH) < batch_no).drop(BATCH)
+        else:
+            stored = spark.createDataFrame([], kinds)
+        answered, fresh = answer(batch, order, stored, op, x, y)
+        append_once(fresh, cache_path, batch_no)
+        append_once(answered, answers_path, batch_no)
+
+    return requests.writeStream.outputMode("append").foreachBatch(each)
+
+
 def evaluate_requests(requests: DataFrame, op: str = "operation", x: str = "x", y: str = "y") -> DataFrame:
     """Results for every request, computed once per distinct input."""
     return _null_safe(requests, evaluate(requests.select(op, x, y).distinct(), op, x, y), [op, x, y], "left")

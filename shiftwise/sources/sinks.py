@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -43,11 +43,20 @@ def padded(cols: Sequence[tuple[Column, int]]) -> Column:
     return F.concat(*[F.rpad(c.cast("string"), w, " ") for c, w in cols])
 
 
+#: The folder level that tells which run or micro-batch wrote a row.
+BATCH = "batch_no"
+
+
+def append_once(df: DataFrame, path: str, batch_no: int) -> None:
+    """S9/S12, repeatable: the rows of one batch replace those that an earlier try of the same batch wrote.
+
+    The batch number is the first folder level, and only the folders of this
+    batch are overwritten; a replayed batch so adds nothing.
+    """
+    numbered = df.withColumn(BATCH, F.lit(int(batch_no)).cast("long"))
+    numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     """Append one row per event (question log etc.)."""
     df.write.mode("append").parquet(path)
-
-
-def with_line_numbers(df: DataFrame, order: Sequence[str], out: str = "line_no") -> DataFrame:
-    """Line numbers for a small, already-aggregated report (one ordered task by design)."""
-    return df.withColumn(out, F.row_number().over(Window.orderBy(*order)))

@@ -26,6 +26,17 @@ def read_table(spark: SparkSession, base: str, name: str, columns: list[str] | N
     return df.select(*columns) if columns else df
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something under ``path``, asked of the file system that Spark reads it from."""
+    try:
+        spark.read.schema("x int").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def write_table(df: DataFrame, base: str, name: str, mode: str = "append",
                 partition_by: list[str] | None = None) -> str:
     """Append (or overwrite) a layer table; returns its path."""
