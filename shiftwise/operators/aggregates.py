@@ -43,6 +43,21 @@ def people_by_code(df: DataFrame, code: str, person: str, out: str = "people") -
               .groupBy(code).agg(F.count_distinct(person).cast("long").alias(out)))
 
 
+def people_sketches(df: DataFrame, code: str, day: str, person: str, lg_size: int = 12) -> DataFrame:
+    """A3 at scale: a HyperLogLog sketch of the people of each code and day (2**lg_size registers, some KB).
+
+    Sketches are built map-side and merge, so any period is answered from the
+    stored sketches without the facts.  The standard error is 1.04 / sqrt(2**lg_size): 1.6 % at 12.
+    """
+    return df.where(F.col(code).isNotNull()).groupBy(code, day).agg(F.hll_sketch_agg(person, lg_size).alias("sketch"))
+
+
+def people_of_period(sketches: DataFrame, code: str, period: Column | None = None, out: str = "people") -> DataFrame:
+    """People per code over the days that ``period`` selects, from their sketches."""
+    rows = sketches if period is None else sketches.where(period)
+    return rows.groupBy(code).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias(out))
+
+
 def distinct_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """SELECT DISTINCT cols WHERE all cols are NOT NULL."""
     cond = F.lit(True)

@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiftwise.functions.scalars import fill_template, module_label
@@ -97,6 +97,54 @@ def scd2_apply(history: DataFrame, snapshot: DataFrame, key: Sequence[str], attr
     return kept.unionByName(new_rows.select(*history.columns))
 
 
+def scd2_versions(active: DataFrame, snapshots: DataFrame, key: Sequence[str], attrs: Sequence[str], effective: str,
+                  start_col: str = "start_ts", end_col: str = "end_ts") -> DataFrame:
+    """D1 for several snapshots in one pass: the versions of every key that is active or in a snapshot.
+
+    ``active`` (key, attrs, start) holds the open versions alone, ``snapshots``
+    (key, attrs, ``effective``) any number of rows a key, one for each time.
+    A snapshot row that differs (NULL-safe) from the version before it starts a
+    new one, which closes the other; the last stays open (null end).  Rows no
+    later than a key's open version are known already and change nothing, so
+    a snapshot may be applied again.  Closed rows of the stored history are
+    neither read nor written.
+    """
+    seen = active.select(*key, *attrs, F.col(start_col), F.lit(True).alias("_stored")).unionByName(
+        snapshots.select(*key, *attrs, F.col(effective).alias(start_col), F.lit(False).alias("_stored")))
+    order = Window.partitionBy(*key).orderBy(F.desc("_stored"), start_col)
+    same = reduce(lambda x, y: x & y, [F.col(a).eqNullSafe(F.lag(a).over(order)) for a in attrs])
+    opened = F.max(F.when(F.col("_stored"), F.col(start_col))).over(Window.partitionBy(*key))
+    seen = seen.withColumn("_open", opened).where(F.col("_stored") | F.col("_open").isNull() | (F.col(start_col) > F.col("_open"))).drop("_open")
+    kept = seen.withColumn("_same", same & (F.row_number().over(order) > 1)).where(~F.col("_same")).drop("_same")
+    return kept.withColumn(end_col, F.lead(start_col).over(order)).withColumnRenamed("_stored", "stored")
+
+
+def scd2_store(spark: SparkSession, path: str, snapshots: DataFrame, key: Sequence[str], attrs: Sequence[str], effective: str,
+               batch_no: int, id_col: str = "history_id") -> None:
+    """D1 on a stored history, partitioned by ``is_active`` and the batch that closed a row.
+
+    Only the active folder is read and replaced; rows that this batch closes
+    become a folder of their own.  A batch that runs again closes nothing more.
+    """
+    from shiftwise.sources.tables import path_exists
+    kinds = {f.name: f.dataType.simpleString() for f in snapshots.schema.fields}
+    schema = ", ".join([f"{id_col} bigint", *(f"{c} {kinds[c]}" for c in (*key, *attrs)), f"start_ts {kinds[effective]}", f"end_ts {kinds[effective]}", "is_active string", "batch_no bigint"])
+    history = spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+    active = history.where("is_active = 'Y'")
+    versions = scd2_versions(active, snapshots, key, attrs, effective)
+    old = active.select(*[F.col(k).alias(f"_o_{k}") for k in key], id_col)
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in key])
+    stored = versions.where("stored").join(old, same).drop(*[f"_o_{k}" for k in key])
+    base = next_key(history, id_col).scalar()  # reads the id column alone
+    new = assign_keys(versions.where("not stored"), [*key, "start_ts"], id_col, start_after=base)
+    closes = F.col("end_ts").isNotNull()
+    rows = stored.unionByName(new, allowMissingColumns=True).withColumn("is_active", F.when(closes, "N").otherwise("Y"))
+    rows = rows.withColumn("batch_no", F.when(closes, F.lit(batch_no)).otherwise(F.lit(-1)).cast("long"))
+    checkpoint_dir(spark)
+    done = rows.select(*history.columns).checkpoint(eager=True)  # before the folder that it was read from is replaced
+    done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("is_active", "batch_no").parquet(path)
+
+
 # --- D7-D11, D16 ------------------------------------------------------------
 def upsert(current: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
     """Insert or replace by key."""

@@ -69,7 +69,7 @@ def orders_between_q(spark, sf):
 
 
 @query("lookup_people", """
-WITH i AS (SELECT s_name AS identifier FROM supplier UNION SELECT c_name FROM customer WHERE c_custkey % 7 = 0),
+WITH i AS (SELECT s_name AS identifier FROM supplier UNION SELECT c_name FROM customer UNION SELECT c_mktsegment || '@' || c_name FROM customer),
 p AS (SELECT c_custkey, c_name, c_mktsegment || '@' || c_name AS mail FROM customer)
 SELECT DISTINCT i.identifier, p.c_custkey FROM i JOIN p ON i.identifier = p.c_name OR i.identifier = p.mail
 UNION ALL SELECT 'BUILDING@' || c_name, c_custkey FROM p WHERE mail = 'BUILDING@' || c_name
@@ -78,7 +78,7 @@ def lookup_people_q(spark, sf):
     """People by any of their identifiers, for many identifiers at once and for one segment's addresses."""
     t = Tables(spark, sf)
     people = t.customer.select("c_custkey", "c_name", F.concat("c_mktsegment", F.lit("@"), c("c_name")).alias("mail"))
-    names = t.supplier.select(c("s_name").alias("ident")).union(t.customer.where(c("c_custkey") % 7 == 0).select("c_name")).distinct()
+    names = t.supplier.select(c("s_name").alias("ident")).union(people.select("c_name")).union(people.select("mail")).distinct()
     many = sc.lookup_many(people, ["c_name", "mail"], names, "ident", ["c_custkey"]).select("identifier", "c_custkey")
     asked = people.withColumn("asked", F.concat(F.lit("BUILDING@"), c("c_name")))
     return many.unionByName(asked.where(c("mail") == c("asked")).select(c("asked").alias("identifier"), "c_custkey"))
@@ -132,12 +132,13 @@ def running_before_q(spark, sf):
 
 
 @query("new_codes", """
-SELECT DISTINCT p_type AS code FROM part WHERE p_type IS NOT NULL AND p_type NOT IN (SELECT p_type FROM part WHERE p_size <= 3 AND p_type IS NOT NULL)
+WITH p AS (SELECT p_brand || ' ' || CAST(p_size AS VARCHAR) AS code, p_type FROM part)
+SELECT DISTINCT code FROM p WHERE code IS NOT NULL AND code NOT IN (SELECT code FROM p WHERE p_type < 'M' AND code IS NOT NULL)
 """)
 def new_codes_q(spark, sf):
     """U2."""
-    part = Tables(spark, sf).part.where(c("p_type").isNotNull())
-    return sets.new_codes(part.select(c("p_type").alias("code")).distinct(), part.where(c("p_size") <= 3).select(c("p_type").alias("code")).distinct(), "code")
+    part = Tables(spark, sf).part.select(F.concat("p_brand", F.lit(" "), c("p_size").cast("string")).alias("code"), "p_type").where(c("code").isNotNull())
+    return sets.new_codes(part.select("code").distinct(), part.where(c("p_type") < "M").select("code").distinct(), "code")
 
 
 @query("day_and_mail_checks", """

@@ -59,6 +59,28 @@ def scd2_apply_q(spark, sf):
                       ts_text("start_ts").alias("start_ts"), ts_text("end_ts").alias("end_ts"), "is_active")
 
 
+@query("scd2_versions", """
+WITH a AS (SELECT c_custkey, c_nationkey, c_mktsegment, TIMESTAMP '1995-01-01 00:00:00' AS ts FROM customer WHERE c_nationkey <> 0),
+s AS (SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal < 0 THEN 'DEBTOR' ELSE c_mktsegment END AS c_mktsegment, TIMESTAMP '1996-01-01 00:00:00' AS ts FROM customer
+  UNION ALL SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN NULL ELSE c_nationkey END, c_mktsegment, TIMESTAMP '1997-01-01 00:00:00' FROM customer WHERE c_mktsegment <> 'BUILDING'),
+u AS (SELECT *, true AS stored FROM a UNION ALL SELECT *, false FROM s),
+g AS (SELECT *, lag(ROW(c_nationkey, c_mktsegment)) OVER (PARTITION BY c_custkey ORDER BY ts) AS old FROM u),
+k AS (SELECT * FROM g WHERE old IS NULL OR old IS DISTINCT FROM ROW(c_nationkey, c_mktsegment))
+SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_mktsegment, strftime(ts, '%Y-%m-%d') AS start_day,
+       strftime(lead(ts) OVER (PARTITION BY c_custkey ORDER BY ts), '%Y-%m-%d') AS end_day, stored FROM k
+""")
+def scd2_versions_q(spark, sf):
+    """D1 for two snapshots at once."""
+    cust = Tables(spark, sf).customer
+    day = lambda x: F.lit(f"{x} 00:00:00").cast("timestamp_ntz")
+    active = cust.where(c("c_nationkey") != 0).select("c_custkey", "c_nationkey", "c_mktsegment", day("1995-01-01").alias("start_ts"))
+    first = cust.select("c_custkey", "c_nationkey", F.when(c("c_acctbal") < 0, "DEBTOR").otherwise(c("c_mktsegment")).alias("c_mktsegment"), day("1996-01-01").alias("at"))
+    second = cust.where(c("c_mktsegment") != "BUILDING").select("c_custkey", F.when(c("c_acctbal") <= 5000, c("c_nationkey")).alias("c_nationkey"), "c_mktsegment", day("1997-01-01").alias("at"))
+    res = wh.scd2_versions(active, first.unionByName(second), ["c_custkey"], ["c_nationkey", "c_mktsegment"], "at")
+    return res.select("c_custkey", c("c_nationkey").cast("long").alias("c_nationkey"), "c_mktsegment", F.date_format("start_ts", "yyyy-MM-dd").alias("start_day"),
+                      F.date_format("end_ts", "yyyy-MM-dd").alias("end_day"), "stored")
+
+
 @query("upsert", """
 SELECT c_custkey, c_name, c_acctbal FROM customer
 WHERE c_mktsegment <> 'BUILDING'

@@ -43,13 +43,25 @@ def test_top_k_ties_broken_by_order(spark):
     assert got == [1, 4]
 
 
-def test_refined_blend_and_audit_update(spark, tmp_path):
+def test_blend_weights_at_the_optimum(spark):
+    import math
+    import random
+
     from shiftwise.operators import ml
-    df = spark.createDataFrame([(0.9, 0.5, 0.2), (0.6, 0.7, 0.3), (0.7, 0.4, 0.6)], "a double, b double, c double")
-    coarse = ml.fit_blend_weights(df, ["a", "b", "c"], 0.1).first()
-    fine = ml.refine_blend_weights(df, ["a", "b", "c"], 0.1, 0.02).first()
-    assert fine.log_loss <= coarse.log_loss + 1e-12
-    assert abs(fine.w1 + fine.w2 + fine.w3 - 1) < 1e-9
+    rnd = random.Random(1)
+    for k, rows in ((3, [(0.9, 0.5, 0.2), (0.6, 0.7, 0.3), (0.7, 0.4, 0.6)]), (3, [tuple(rnd.random() for _ in range(3)) for _ in range(50)]), (2, [(0.3, 0.3), (0.6, 0.6)]),
+                    (4, [tuple(rnd.choice((0.0, 0.1, 0.9, 1.0)) for _ in range(4)) for _ in range(80)])):
+        cols = [f"m{i}" for i in range(k)]
+        best = ml.fit_blend_weights(spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)), cols).first()
+        loss = lambda w: -sum(math.log(min(max(sum(p * x for p, x in zip(r, w)), 1e-15), 1 - 1e-15)) for r in rows) / len(rows)
+        assert abs(sum(best[:k]) - 1) < 1e-9 and min(best[:k]) >= 0
+        assert abs(loss(best[:k]) - best.log_loss) < 1e-9
+        assert best.log_loss <= min(map(loss, ml.simplex_grid(k, 0.05))) + 1e-9
+    none = ml.fit_blend_weights(spark.createDataFrame([], "a double, b double"), ["a", "b"]).first()
+    assert (none.w1, none.w2, none.log_loss) == (0.5, 0.5, None)
+
+
+def test_audit_update(spark, tmp_path):
     sal = spark.createDataFrame([(1, 1000.0, 0.2), (2, 1000.0, None)], "emp long, salary double, pct double")
     path = wh.update_with_audit(sal, "emp", "salary", "pct", str(tmp_path / "salary"), str(tmp_path / "log"), "2025-06-05 12:00:00")
     new = {r.emp: float(r.salary) for r in spark.read.parquet(path).collect()}
