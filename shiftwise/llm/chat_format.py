@@ -198,5 +198,10 @@ def _told(done: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """Format (conv_id, turn, role, text), write the formatted turns, and tell what they hold when read back."""
+    """Format (conv_id, turn, role, text), write the formatted turns, and tell what they hold when read back.
+
+    Other columns are left out.  Null roles and texts are empty; a very long text
+    is one turn's row, whole.  Equal rows are turns each.  A null ``conv_id`` is
+    one conversation; an empty table gives no rows.
+    """
     return digests(stage(format_turns(turns.withColumn("parts", text_part(F.col("text")))), "chat"))

@@ -109,7 +109,8 @@ def pack(docs: DataFrame, tokenizer: str, end: int, capacity: int = 2048, by_wor
     """Pieces of all ``docs`` (doc_id, text; other columns are left out) with their place in a sequence, and their ids.
 
     A null or empty text is its end mark alone.  Repeated rows are packed each
-    by itself.  An empty table gives no rows.  ``ids`` are little-endian 4-byte
+    by itself.  A text is encoded whole and cut freely, however long it is: its
+    pieces are as many rows.  An empty table gives no rows.  ``ids`` are little-endian 4-byte
     integers.
     """
     slack = capacity // 128 if slack is None else slack
@@ -126,4 +127,5 @@ def pack(docs: DataFrame, tokenizer: str, end: int, capacity: int = 2048, by_wor
 
 
 def digest(pieces: DataFrame) -> DataFrame:
+    """The pieces with a checksum instead of their ids; a row for each piece, so none for an empty table."""
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -170,13 +170,14 @@ class PieceEncoder:
         self.chunks = chunk_pattern(self.model)
         self.native = sentencepiece.SentencePieceProcessor(model_file=path)
         self.threads = threads
+        self.normaliser = self.whole.normalizer
         self.lone = lone_characters(self.model)[:1]
         self.before = len(self.native.encode(self.lone))
         self.known: dict[str, tuple[bytes, bool]] = {}
 
     def normalise(self, text: str) -> str:
-        """Of a model without a character map; like the normaliser, an empty text stays empty."""
-        return (MARK if self.model.dummy_prefix and text else "") + text.replace(" ", MARK)
+        """The text as the rebuilt normaliser and metaspace step leave it; an empty text stays empty."""
+        return self.normaliser.normalize_str(text) if self.normaliser else text
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """Little-endian 4-byte ids of each text, and whether both libraries agree and decoding restores it."""
@@ -226,8 +227,11 @@ def encode(docs: DataFrame, path: str, threads: int = 1) -> DataFrame:
     """(doc_id, ids, verified): the pieces of every text of ``docs`` (doc_id, text; other columns are left out).
 
     ``verified``: sentencepiece gives the same ids and decoding them restores
-    the normalised text.  A null or empty text has no ids and is verified.  Rows
-    are encoded each by itself.
+    the normalised text: of the whole text, or, where the model's texts fall into
+    chunks that are encoded alike wherever they stand, of each of its different chunks.
+    A null or empty text has no ids and is verified.  Rows are encoded each by
+    itself, whole, so a text needs room for its ids in a worker; an empty table
+    gives no rows.
     """
     kind = ready(docs).schema["doc_id"].dataType.simpleString()
 
@@ -260,7 +264,10 @@ def decode(encoded: DataFrame, path: str, threads: int = 1) -> DataFrame:
 
 
 def digest(docs: DataFrame, path: str, threads: int = 1) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, verified) of every document; the checksum is over little-endian 4-byte ids."""
+    """(doc_id, n_tokens, ids_crc32, verified) of every document; the checksum is over little-endian 4-byte ids.
+
+    Nulls, empty and very long texts, repeated rows and empty tables: see ``encode``.
+    """
     kind = ready(docs).schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

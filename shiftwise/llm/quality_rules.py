@@ -396,7 +396,8 @@ def judge(docs: DataFrame, carry: list[str], rules: Rules = Rules()) -> DataFram
     ``docs`` needs ``text`` and ``lang`` and may have any other columns.  A null
     or empty text has no words and fails the base rules.  Texts without a
     language are judged by the reference of all such texts.  An empty table gives an empty result.  Repeated
-    rows are judged each by itself; nothing depends on the order of rows.
+    rows are judged each by itself; nothing depends on the order of rows.  A very
+    long text is judged whole, in some 15 times its size of a worker's memory.
     """
     languages, usual, rare = _parted(ready(docs), rules)
     refs = references(usual, languages, rules)

@@ -94,7 +94,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     from shiftwise.llm import pieces
-    return pieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    cores = int(spark.conf.get("spark.task.cpus", "1"))  # the library's threads of a batch
+    return pieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cores)
 
 
 @query("op9_substring_dedup", oracles.SUBSTRINGS)

@@ -230,7 +230,9 @@ def removals(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, shard_wo
 
     ``docs`` needs ``doc_id`` and ``text``.  A null text has no words.  A row
     without an id has no place in the order: it loses nothing and costs no other
-    row anything.  Repeated rows lose the same words, and nothing to each other.
+    row anything.  Repeated rows lose the same words, and nothing to each other.  A
+    very long text is read whole, in some 15 times its size of a worker's memory;
+    an empty table gives no rows.
     """
     docs = ready(docs).select(F.col("doc_id").cast("long"), "text")
     rows = stage(docs.mapInArrow(_documents(width, phrase), "doc_id bigint, hi bigint, lo bigint, n_words bigint, digest binary, phrases array<bigint>"), "documents")

@@ -49,7 +49,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int, by_word:
 
     A null text has no ids but the end mark.  Rows with a null id come first,
     rows of one id in the order of their texts.  Ranges are cut by id and a hash
-    of the text, so many rows of one id still make files of even size.
+    of the text, so many rows of one id still make files of even size.  A text is
+    encoded whole, so a very long one needs room for its ids in a worker.  An empty
+    table writes files without rows.
     """
     rows = ready(docs).select("doc_id", "text", F.xxhash64("text").alias("h"))
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
@@ -105,7 +107,10 @@ def crc_of_ids(df: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end: int, by_word: bool = False) -> DataFrame:
-    """Write the files to the shared folder and read back every document's start, length and checksum."""
+    """Write the files to the shared folder and read back every document's start, length and checksum.
+
+    One row for each row of ``docs``, those without an id first; none for an empty table.  See ``write_tokens``.
+    """
     spark = docs.sparkSession
     path = folder(spark, "tokens")
     write_tokens(docs, path, tokenizer, end, by_word)
