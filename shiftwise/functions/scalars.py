@@ -178,6 +178,12 @@ def usage_cost(df: DataFrame, prices: DataFrame, model: str, tokens_in: str, tok
     return j.withColumn(out, F.round(cost, 6).cast("decimal(18,6)")).drop("_pm", "_pin", "_pout")
 
 
+def embedding_cost(tokens: str, price: str) -> Column:
+    """tokens/1000 * price of an embedding model, 6 decimals, exact."""
+    a_token = (F.lit(price).cast("decimal(12,8)") / 1000).cast("decimal(16,12)")
+    return F.round(F.col(tokens).cast("decimal(18,0)") * a_token, 6).cast("decimal(18,6)")
+
+
 def split_list(x, sep: str = ",") -> Column:
     """Split, strip, drop empty items."""
     return F.filter(F.transform(F.split(_c(x), sep), lambda t: strip(t)), lambda t: t != "")

@@ -78,7 +78,7 @@ def outside_day_window(day: str, as_of: str, days: int = 7) -> Column:
 # --- Q7-Q9, Q11: timesheet rules --------------------------------------------
 def timesheet_rules(df: DataFrame, *, group: Sequence[str], order: Sequence[str], hours: str,
                     time_type: str, limit: str, overtime_cap: int = 6, mode: str = "strict",
-                    day: str | None = None) -> DataFrame:
+                    day: str | None = None, as_of: str | None = None, window_days: int = 7) -> DataFrame:
     """Apply the hour rules to candidate rows; adds existing_hours, error_code, message.
 
     * 20001: a regular row above the contract's daily hours;
@@ -88,7 +88,8 @@ def timesheet_rules(df: DataFrame, *, group: Sequence[str], order: Sequence[str]
       existing + new > daily``, G8);
     * 20003: an overtime row above ``overtime_cap``.
 
-    The first failing rule wins.  "Already recorded" counts every earlier
+    With ``as_of`` the day window (Q6) is the first rule: 20001 for a ``day``
+    outside [as_of - window_days, as_of].  The first failing rule wins.  "Already recorded" counts every earlier
     regular row of the group (set-based form); ``sequential_rules`` gives the
     insert-by-insert form where rejected rows do not count.
     """
@@ -104,9 +105,11 @@ def timesheet_rules(df: DataFrame, *, group: Sequence[str], order: Sequence[str]
     else:
         raise ValueError(mode)
     day_txt = F.date_format(F.col(day), "yyyy-MM-dd") if day else F.lit("this day")
-    code = (F.when(reg & (h > lim), F.lit(20001)).when(cumul, F.lit(20002))
+    outside = outside_day_window(day, as_of, window_days) if as_of else F.lit(False)
+    code = (F.when(outside | (reg & (h > lim)), F.lit(20001)).when(cumul, F.lit(20002))
              .when((F.col(time_type) == "OVT") & (h > overtime_cap), F.lit(20003)))
-    msg = (F.when(code == 20001, F.concat(F.lit("Inserted regular hours ("), h.cast("string"),
+    msg = (F.when(outside, F.lit(f"The day of work must be between today and the past {window_days} days"))
+             .when(code == 20001, F.concat(F.lit("Inserted regular hours ("), h.cast("string"),
                                           F.lit(") exceed daily limit of "), lim.cast("string"),
                                           F.lit(" hours of employment contract.")))
              .when(code == 20002, F.concat(F.lit("This user is already recorded with "), ex.cast("string"),

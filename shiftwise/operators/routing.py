@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from shiftwise.functions.scalars import strip
 from shiftwise.functions.text import classify_intent, is_offensive_tokens, ordinal_ref
+from shiftwise.operators.matching import match_title
 from shiftwise.streaming.chains import micros
 from shiftwise.streaming.ordered import in_order
 from shiftwise.streaming.quotas import ANON_LIMIT, ANON_TTL_S, _walk, segmented
@@ -165,20 +166,27 @@ def candidate_prompt(shortlist: Column) -> Column:
     return F.concat(F.lit(CANDIDATES_PREFIX), F.array_join(shortlist, ", "))
 
 
+def _known_as(df: DataFrame, title_col: str, keys: DataFrame) -> DataFrame:
+    """``df`` with ``_known``: the key of ``keys`` (title; ``pos`` or else the title tells their order) that its title matches."""
+    k = keys.select(F.col("title").alias("_key"), F.col("pos" if "pos" in keys.columns else "title").alias("_place")).distinct()
+    found = match_title(df.select(F.col(title_col).alias("_asked")).distinct(), "_asked", "_asked", k, "_key", "_place", out="_known")
+    return df.join(found, F.col(title_col) == F.col("_asked"), "left").drop("_asked")
+
+
 def summary_lookup(df: DataFrame, title_col: str, summaries: DataFrame, out: str = "summary") -> DataFrame:
-    """Summary of an exactly known title; blank or missing -> the fixed text.
+    """Summary of the known title that a title matches (J10); blank or missing -> the fixed text.
 
     ``summaries`` holds ``title, summary`` already merged by source priority
-    (``sets.priority_union``) and matched keys (``matching.match_title``).
+    (``sets.priority_union``), and may have the order of its titles as ``pos``.
     """
     s = summaries.select(F.col("title").alias("_t"), F.col("summary").alias("_s"))
-    j = df.join(s, df[title_col] == s["_t"], "left")
+    j = _known_as(df, title_col, summaries).join(s, F.col("_known") == F.col("_t"), "left")
     val = F.when(F.col("_s").isNotNull() & (strip(F.col("_s")) != ""), F.col("_s")).otherwise(F.lit(SUMMARY_NA))
-    return j.withColumn(out, F.when(F.col(title_col).isNotNull(), val)).drop("_t", "_s")
+    return j.withColumn(out, F.when(F.col(title_col).isNotNull(), val)).drop("_t", "_s", "_known")
 
 
 def metadata_answer(df: DataFrame, text: str, title_col: str, meta: DataFrame, summaries: DataFrame) -> DataFrame:
-    """Follow-up answer about the title in context.
+    """Follow-up answer about the title in context, looked up by J10.
 
     Keywords of the lower-cased question pick the field: ``pagin`` -> pages,
     ``autor``/``scris`` -> author, ``anul``/``publicat``/``aparit`` -> year,
@@ -187,7 +195,7 @@ def metadata_answer(df: DataFrame, text: str, title_col: str, meta: DataFrame, s
     """
     m = meta.select(F.col("title").alias("_mt"), F.col("author").alias("_author"),
                     F.col("year").alias("_year"), F.col("pages").alias("_pages"))
-    j = df.join(m, df[title_col] == m["_mt"], "left")
+    j = _known_as(df, title_col, meta).join(m, F.col("_known") == F.col("_mt"), "left").drop("_known")
     j = summary_lookup(j, title_col, summaries, "_summary")
     ql = F.lower(F.coalesce(F.col(text), F.lit("")))
     t = F.col(title_col)

@@ -42,4 +42,4 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so their queries register."""
-    from shiftwise.plans import helpers, ml, quality, relational, scalars, streams, text, warehouse  # noqa: F401
+    from shiftwise.plans import helpers, ml, quality, relational, reports, scalars, streams, text, warehouse  # noqa: F401

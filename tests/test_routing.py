@@ -35,4 +35,6 @@ def test_metadata_answers(spark):
     assert got[1][0].startswith("Nu am local numărul de pagini")
     assert got[2][0] == "„Alpha Book” este scrisă de A. Writer."
     assert got[3][0] == "„Alpha Book” a fost publicată în 1999."
+    other = metadata_answer(qs.where("id = 2").withColumn("title", F.lit(" alpha")), "text", "title", meta, summ).first()
+    assert other.answer == "„ alpha” este scrisă de A. Writer."  # a part of a known title stands for it
     assert got[4] == ("Despre „Alpha Book”: iată rezumatul pe scurt.", "Rezumat indisponibil pentru acest titlu.")
