@@ -10,8 +10,7 @@ _LENGTHS = [f"length(regexp_replace(t, '{p}', '', 'g'))" for p in _CLASS_OTHERS]
 
 QUALITY = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, lang, {WORDS} AS w FROM documents),
-lg AS (SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= CAST(0.001 AS DOUBLE) * (SELECT count(*) FROM documents)),
-e AS (SELECT d.rid, d.doc_id, d.t, d.w, len(d.w) AS n, coalesce(lg.lang, '') AS key FROM d LEFT JOIN lg ON d.lang = lg.lang),
+e AS (SELECT rid, doc_id, t, w, len(w) AS n, coalesce(lang, chr(1)) AS key FROM d),
 tri AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n
         FROM (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT rid, w, unnest(range(1, n - 1)) AS i FROM e WHERE n >= 3) a) b),
 rep AS (SELECT rid, count(DISTINCT i + o) AS n FROM tri, (VALUES (0), (1), (2)) v(o) WHERE n > 1 GROUP BY rid),

@@ -322,11 +322,23 @@ def _read_reference(row: dict) -> Reference:
     return _reference(hashes[order], [row["words"][i]["n"] for i in order], row["total"], steps)
 
 
+#: Bytes of text of a rare language in one share.
+RARE_BYTES = 64 << 20
+
+
 def _judge_rare(docs: DataFrame, rules: Rules, schema: T.StructType, answer) -> DataFrame:
-    """``answer(part, found)`` of the documents, each judged by the reference of its language."""
-    name = free_name(docs, "reference")
-    refs = _reference_table(docs, rules).withColumnRenamed("reference", name)
-    dealt = docs.unionByName(refs, allowMissingColumns=True).repartition("lang").sortWithinPartitions("lang", F.col(name).isNull())
+    """``answer(part, found)`` of the documents, each judged by the reference of its language.
+
+    A language is dealt out in shares of about ``RARE_BYTES``, each with a
+    copy of its reference before it.
+    """
+    name, share, own, n = (free_name(docs, x) for x in ("reference", "reference_share", "reference_lang", "reference_shares"))
+    size = F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))
+    sizes = stage(docs.groupBy(F.col("lang").alias(own)).agg((F.floor(size / RARE_BYTES) + 1).alias(n)), "shares")
+    refs = _reference_table(docs, rules).withColumnRenamed("reference", name).join(sizes, F.col("lang") == F.col(own))
+    refs = refs.select("lang", name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(share))
+    split = docs.join(sizes, F.col("lang") == F.col(own)).withColumn(share, F.pmod(F.xxhash64("text"), F.col(n))).drop(own, n)
+    dealt = split.unionByName(refs, allowMissingColumns=True).repartition("lang", share).sortWithinPartitions("lang", share, F.col(name).isNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}  # a language's reference comes before its documents
@@ -336,7 +348,7 @@ def _judge_rare(docs: DataFrame, rules: Rules, schema: T.StructType, answer) ->
                 new = part.filter(is_ref)
                 for lang, row in zip(new.column("lang").to_pylist(), new.column(name).to_pylist(), strict=True):
                     known[lang] = _read_reference(row)
-                part = part.filter(pc.invert(is_ref)).drop_columns([name])
+                part = part.filter(pc.invert(is_ref)).drop_columns([name, share])
                 if part.num_rows:
                     yield answer(part, _judge(Words(part.column("text")), part, frozenset(known), known, rules))
                 known = dict([*known.items()][-1:])

@@ -95,8 +95,25 @@ def test_rare_languages_have_their_own_references(spark):
     assert out.columns == df.columns and Counter(r["doc_id"] for r in out.collect()) == kept
 
 
-@pytest.mark.parametrize("name", ["documents", "edge_docs"])
-def test_both_ways_to_a_reference_agree(name, request):
+def test_rare_languages_agree_with_sql(spark):
+    """The SQL gives every language a reference of its own, too."""
+    import duckdb
+
+    from shiftwise.llm import oracles
+    rng = np.random.default_rng(5)
+    docs = [(i, "a few words", "en") for i in range(2500)] + [(3000 + i, " ".join(f"{lang}{j}" for j in rng.integers(0, 60 if i % 3 else 900, 300)), lang) for lang in ("xx", "yy") for i in range(2)] + [(4000, "x y " * 100, None)]
+    rows = quality_rules.judge(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), ["doc_id"])
+    got = Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows.collect())
+    con = duckdb.connect()
+    con.register("documents", pa.table(dict(zip(("doc_id", "text", "lang"), map(list, zip(*docs))))))
+    found = con.execute(oracles.QUALITY)
+    order = [[d[0] for d in found.description].index(c) for c in rows.columns]
+    assert Counter(tuple(r[i] for i in order) for r in found.fetchall()) == got
+
+
+@pytest.mark.parametrize("name, share", [("documents", 64 << 20), ("documents", 20_000), ("edge_docs", 64 << 20)])
+def test_both_ways_to_a_reference_agree(name, share, request, monkeypatch):
+    monkeypatch.setattr(quality_rules, "RARE_BYTES", share)  # a language in several shares
     df = request.getfixturevalue(name)
     def judged(rules):
         return Counter((r["doc_id"], r["kept"], round(r["class_distance"], 9), round(r["word_distance"], 9)) for r in quality_rules.judge(df, ["doc_id"], rules).collect())
