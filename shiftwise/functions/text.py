@@ -44,6 +44,9 @@ ORDINALS = [(["prima", "primă"], 1), (["a doua"], 2), (["a treia"], 3), (["a pa
 
 # Characters stripped from both ends of a title before matching.
 TITLE_QUOTES = "\"'”’“`"
+# What is cut from the end of a title, one after the other: a parenthesis; all from a
+# colon, hyphen or dash on; "de" and what follows it.
+TITLE_TAILS = [r"\s*\(.*?\)\s*$", r"\s*[:\-–—]\s*.*$", r"(?i)\s+de\s+.+$"]
 # ----------------------------------------------------------------------------
 
 _W = r"[\pL\pN_]"
@@ -118,9 +121,8 @@ def clean_title(x) -> Column:
     s = strip(F.col(x) if isinstance(x, str) else x)
     q = "".join("\\" + ch if ch in "\"'`" else ch for ch in TITLE_QUOTES)
     s = F.regexp_replace(s, f"^[{q}]+|[{q}]+$", "")
-    s = F.regexp_replace(s, r"\s*\(.*?\)\s*$", "")
-    s = F.regexp_replace(s, r"\s*[:\-–—]\s*.*$", "")
-    s = F.regexp_replace(s, r"(?i)\s+de\s+.+$", "")
+    for tail in TITLE_TAILS:
+        s = F.regexp_replace(s, tail, "")
     return s
 
 

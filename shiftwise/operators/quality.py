@@ -25,8 +25,8 @@ def _one(name: str, value: Column) -> Column:
 def check_primary_key(df: DataFrame, key: Sequence[str], name: str) -> DataFrame:
     """Q1: number of duplicated key values plus rows with a NULL key part."""
     any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
-    per_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    bad = F.when(any_null, F.col("n")).when(F.col("n") > 1, F.lit(1)).otherwise(F.lit(0))
+    per_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    bad = F.when(any_null, F.col("_n")).when(F.col("_n") > 1, F.lit(1)).otherwise(F.lit(0))
     return per_key.agg(F.coalesce(F.sum(bad), F.lit(0)).cast("long").alias("violations")).select(
         F.lit(name).alias("check_name"), "violations")
 
@@ -50,6 +50,32 @@ def row_checks(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return agg.select(F.explode(rows).alias("r")).select("r.check_name", "r.violations")
 
 
+def check_table(df: DataFrame, key: tuple[str, Sequence[str]] | None = None, checks: dict[str, Column] | None = None,
+                foreign: Sequence[tuple[str, str, DataFrame, str]] = ()) -> DataFrame:
+    """Q1-Q5 of one table in one pass over it: (check_name, violations).
+
+    ``key``: name and columns of the primary key; ``foreign``: (name, column,
+    parent, parent's column).  Parents' keys are joined as flags, then one
+    aggregate by the primary key, combined map-side, counts all violations; it
+    uses the partitioning of a join on a part of the key.
+    """
+    checks = dict(checks or {})
+    for i, (name, column, parent, parent_key) in enumerate(foreign):
+        keys = parent.select(F.col(parent_key).alias(f"_p{i}")).where(F.col(f"_p{i}").isNotNull()).distinct()
+        df = df.join(keys, F.col(column) == F.col(f"_p{i}"), "left")
+        checks[name] = F.col(column).isNotNull() & F.col(f"_p{i}").isNull()
+    if key is None:
+        return row_checks(df, checks)
+    name, columns = key
+    counts = [F.sum(F.when(cond, 1).otherwise(0)).alias(f"_c{i}") for i, cond in enumerate(checks.values())]
+    per_key = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"), *counts)
+    any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in columns])
+    bad = F.when(any_null, F.col("_n")).when(F.col("_n") > 1, F.lit(1)).otherwise(F.lit(0))
+    total = per_key.agg(F.sum(bad).alias("_key"), *[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(checks))])
+    rows = F.array(_one(name, F.coalesce("_key", F.lit(0))), *[_one(n, F.coalesce(F.col(f"_c{i}"), F.lit(0))) for i, n in enumerate(checks)])
+    return total.select(F.explode(rows).alias("r")).select("r.check_name", "r.violations")
+
+
 def not_null(col: str) -> Column:
     return F.col(col).isNull()
 

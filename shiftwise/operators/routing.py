@@ -28,6 +28,7 @@ from shiftwise.streaming.ordered import in_order
 from shiftwise.streaming.quotas import ANON_LIMIT, ANON_TTL_S, _walk, segmented
 
 _US = 1_000_000
+# Fixed value: lifetime of a context.
 CONTEXT_TTL_S = 3600
 
 # Answer templates of the follow-up branch (title in quotes).

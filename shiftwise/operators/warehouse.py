@@ -9,6 +9,7 @@ table and a rerun produces the same table (idempotent loads, G15).
 from __future__ import annotations
 
 import os
+import time
 import uuid
 from collections.abc import Sequence
 from functools import reduce
@@ -147,7 +148,8 @@ def scd2_store(spark: SparkSession, path: str, snapshots: DataFrame, key: Sequen
 
 # --- D7-D11, D16 ------------------------------------------------------------
 def upsert(current: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Insert or replace by key."""
+    """Insert or replace by key; of several incoming rows of a key the first in the order of their columns."""
+    incoming = first_per_key(incoming.select(*current.columns), list(key), [c for c in current.columns if c not in key])
     return current.join(incoming.select(*key), list(key), "left_anti").unionByName(
         incoming.select(*current.columns))
 
@@ -339,19 +341,20 @@ def stage_and_swap(df: DataFrame, path: str, spark: SparkSession | None = None)
     """Write ``df`` to a fresh sibling folder, then point readers at it.
 
     Returns the new folder; the previous version stays readable until the
-    caller drops it, so a failure mid-write never corrupts the table.
+    caller drops it, so a failure mid-write never corrupts the table.  Each
+    version adds a marker of its own, so a reader always finds one.
     """
     target = f"{path.rstrip('/')}.v{uuid.uuid4().hex[:12]}"
     df.write.mode("errorifexists").parquet(target)
     marker = os.path.join(path.rstrip("/") + ".current")
     sp = spark or df.sparkSession
-    sp.createDataFrame([(target,)], "path string").coalesce(1).write.mode("overwrite").text(marker)
+    sp.createDataFrame([(time.time_ns(), target)], "at long, path string").coalesce(1).write.mode("append").json(marker)
     return target
 
 
 def current_version(spark: SparkSession, path: str) -> str:
     marker = os.path.join(path.rstrip("/") + ".current")
-    return spark.read.text(marker).first()[0]
+    return spark.read.schema("at long, path string").json(marker).agg(F.max_by("path", "at")).first()[0]
 
 
 def refresh_materialized(df: DataFrame, path: str) -> str:

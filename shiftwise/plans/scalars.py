@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from shiftwise.functions import scalars as sc
 from shiftwise.operators import requests as rq
-from shiftwise.plans.common import c, money
+from shiftwise.plans.common import c, money, ts_range
 from shiftwise.plans.registry import query
+from shiftwise.sources.absence import absence_rows
 from shiftwise.sources.sections import split_sections
 from shiftwise.sources.tables import Tables
 
@@ -73,18 +74,30 @@ def safe_division_q(spark, sf):
                      sc.divide_error("l_discount").alias("error"))
 
 
-# --- S1 core: wide day matrix -> one row per key and day ----------------------
+# --- S1: calendar texts -> one row per employee and day ------------------------
 @query("unpivot_matrix", """
-SELECT o_custkey, CAST(dayofweek(o_orderdate) + 1 AS BIGINT) AS weekday, CAST(COUNT(*) AS BIGINT) AS orders
-FROM orders GROUP BY o_custkey, dayofweek(o_orderdate)
+SELECT 'unit ' || CAST(c.c_custkey // 100 AS VARCHAR) AS du, c.c_name AS employee_name, CAST(month(o.o_orderdate) AS BIGINT) AS month, CAST(day(o.o_orderdate) AS BIGINT) AS day,
+       max(o.o_orderstatus) AS absence_code, 'status ' || max(o.o_orderstatus) AS absence_description
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+WHERE o.o_orderdate >= TIMESTAMP '1996-01-01' AND o.o_orderdate < TIMESTAMP '1997-01-01'
+GROUP BY c.c_custkey, c.c_name, month(o.o_orderdate), day(o.o_orderdate)
 """)
 def unpivot_matrix_q(spark, sf):
-    o = Tables(spark, sf).orders.select("o_custkey", F.dayofweek("o_orderdate").alias("dow"))
-    days = list(range(1, 8))
-    wide = o.groupBy("o_custkey").pivot("dow", days).count()
-    long = wide.unpivot(["o_custkey"], [str(d) for d in days], "weekday", "orders")
-    return long.where(c("orders").isNotNull()).select(
-        "o_custkey", c("weekday").cast("long").alias("weekday"), c("orders").cast("long").alias("orders"))
+    """A monthly calendar text for every hundred customers, with the status of a day's orders as code, read back by the calendar reader."""
+    t = Tables(spark, sf)
+    orders = t.orders.where(ts_range("o_orderdate", "1996-01-01", "1997-01-01")).select("o_custkey", "o_orderstatus", F.to_date("o_orderdate").alias("at"))
+    cells = orders.groupBy("o_custkey", F.month("at").alias("m"), F.dayofmonth("at").alias("d")).agg(F.max("o_orderstatus").alias("code"))
+    rows = cells.groupBy("o_custkey", "m").agg(F.map_from_entries(F.collect_list(F.struct("d", "code"))).alias("codes"), F.count(F.lit(1)).alias("n"))
+    rows = rows.join(t.customer.select("c_custkey", "c_name"), c("o_custkey") == c("c_custkey"))
+    days = F.sequence(F.lit(1), F.lit(31))
+    line = F.concat_ws(",", c("c_name"), F.transform(days, lambda d: F.coalesce(F.try_element_at("codes", d), F.lit(""))), c("n").cast("string"), F.concat((c("n") * 8).cast("string"), F.lit("h")))
+    month = F.date_format(F.make_date(F.lit(1996), c("m"), F.lit(1)), "MMMM")
+    header = F.concat_ws(",", F.lit("Name"), F.transform(days, lambda d: d.cast("string")), F.lit("Total days"), F.lit("Missing time/h"))
+    unit = F.concat(F.lit("unit "), F.floor(c("c_custkey") / 100).cast("string"))
+    files = rows.groupBy(unit.alias("unit"), "m").agg(F.sort_array(F.collect_list(line)).alias("lines"))  # a hundred lines at most
+    text = F.concat_ws("\n", F.lit("Absences"), month, c("unit"), F.lit("F,status F,O,status O,P,status P"), F.lit(""), F.lit("year,1996"), F.lit(""), header, c("lines"), F.concat(month, F.lit(" total")))
+    read = absence_rows(files.select(F.concat(c("unit"), F.lit("-"), c("m").cast("string")).alias("file"), text.alias("value")))
+    return read.where(c("absence_code").isNotNull()).select("du", "employee_name", c("month").cast("long").alias("month"), c("day").cast("long").alias("day"), "absence_code", "absence_description")
 
 
 # --- S3 / P23 ------------------------------------------------------------------
@@ -143,6 +156,7 @@ def json_fields_q(spark, sf):
 
 
 # --- P21 / P22 / A11 / S9 -------------------------------------------------------
+# Dollars for 1000 tokens.
 PRICES = [("gpt-4.1-nano", 0.0004, 0.0016)]
 
 

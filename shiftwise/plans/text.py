@@ -24,9 +24,8 @@ def _sql_norm_title(x: str) -> str:
     quotes = tx.TITLE_QUOTES.replace("'", "''")
     s = _STRIP.format(x=x)
     s = f"regexp_replace({s}, '^[{quotes}]+|[{quotes}]+$', '', 'g')"
-    s = f"regexp_replace({s}, '\\s*\\(.*?\\)\\s*$', '')"
-    s = f"regexp_replace({s}, '\\s*[:\\-–—]\\s*.*$', '')"
-    s = f"regexp_replace({s}, '(?i)\\s+de\\s+.+$', '')"
+    for tail in tx.TITLE_TAILS:
+        s = f"regexp_replace({s}, '{tail}', '')"
     return f"regexp_replace(lower({_STRIP.format(x=s)}), '\\s+', ' ', 'g')"
 
 

@@ -39,8 +39,11 @@ def read_absence_matrix(spark: SparkSession, paths: str | list[str]) -> DataFram
     Blank day cells give a NULL code (as in the source); codes are trimmed
     (G1).  Use ``assign_keys`` on (file, line_no, day_pos) for dense ids.
     """
-    raw = (spark.read.text(paths, wholetext=True)
-           .select(F.col("_metadata.file_path").alias("file"), F.col("value")))
+    return absence_rows(spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value")))
+
+
+def absence_rows(raw: DataFrame) -> DataFrame:
+    """The rows of ``read_absence_matrix`` of calendar texts (file, value)."""
     lines = F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r\n|\r|\n")
     f = raw.select("file", lines.alias("lines"))
     month_cell = strip(F.element_at(_cells(_line(F.col("lines"), 2)), 1))

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from shiftwise.streaming import chains as ch
 
+# Limits and lifetimes (seconds) of the source's keys.
 ANON_LIMIT = 3
 ANON_TTL_S = 24 * 3600
 OTP_TTL_S = 600

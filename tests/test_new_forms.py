@@ -120,3 +120,18 @@ def test_capped_terms(spark):
     docs = spark.createDataFrame([(1, "aa bb aa cc"), (2, "bb cc"), (3, ""), (4, None), (5, "dd ee bb cc")], "id long, text string")
     got = {(r.id, r.term): r.tf for r in ml.term_weights(docs, "id", "text", (1, 2), 3).collect()}
     assert got == {(1, "bb"): 1, (1, "cc"): 1, (1, "aa"): 2, (2, "bb"): 1, (2, "cc"): 1, (5, "bb"): 1, (5, "cc"): 1}
+
+
+def test_one_pass_checks(spark):
+    """All checks of a table at once find what each finds alone; duplicates and nulls in keys, an empty table."""
+    from shiftwise.operators import quality as qc
+    df = spark.createDataFrame([(1, 1, "a", 5), (1, 1, "a", 6), (1, 2, None, None), (None, 1, "bbb", 7), (None, 1, "b", 5), (2, 2, "cccc", 9), (2, 2, "c", 9), (2, 2, "c", 9)], "k long, n long, s string, f long")
+    parent = spark.createDataFrame([(5,), (5,), (7,), (None,)], "f long")
+    checks = {"null_s": qc.not_null("s"), "long_s": qc.too_long("s", 2)}
+    for rows in (df, df.limit(0)):
+        alone = [qc.check_primary_key(rows, ["k", "n"], "pk"), qc.check_foreign_key(rows, parent, "f", "f", "fk"), qc.row_checks(rows, checks)]
+        want = {r.check_name: r.violations for x in alone for r in x.collect()}
+        got = qc.check_table(rows, ("pk", ["k", "n"]), checks, [("fk", "f", parent, "f")])
+        assert {r.check_name: r.violations for r in got.collect()} == want
+        without = qc.check_table(rows, None, checks, [("fk", "f", parent, "f")])
+        assert {r.check_name: r.violations for r in without.collect()} == {k: v for k, v in want.items() if k != "pk"}
