@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftwise.functions.text import normalize_title
+from shiftwise.functions.text import TOKEN_PATTERN, normalize_title
 from shiftwise.operators.automata import first_key_in
 
 GRAM = 3
@@ -73,6 +73,19 @@ def mention_join(texts: DataFrame, id_col: str, text_col: str, keys: DataFrame,
     return texts.join(named.select(F.col("_id").alias(id_col), out), id_col, "left")
 
 
+def offensive_by_list(texts: DataFrame, id_col: str, text_col: str, words: DataFrame, word_col: str, out: str = "offensive") -> DataFrame:
+    """P20 for a word list of any size: ``texts`` with whether a token (as in ``is_offensive_tokens``) is in ``words``.
+
+    The different tokens of each text are joined with the list by value; a text
+    moves by its id alone.  NULL texts have no tokens.
+    """
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(f"({TOKEN_PATTERN})"), 1))
+    listed = words.select(F.lower(F.col(word_col)).alias("_w")).where(F.col("_w").isNotNull())
+    found = texts.select(F.col(id_col).alias("_id"), F.explode(tokens).alias("_w")).join(listed, "_w", "left_semi")
+    found = found.select("_id", F.lit(True).alias("_found")).distinct()
+    return texts.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left").withColumn(out, F.col("_found").isNotNull()).drop("_id", "_found")
+
+
 def shortlist(hits: DataFrame, query_col: str, title_col: str, rank_col: str, allow: DataFrame,
               allow_col: str, k: int = 5, out: str = "shortlist") -> DataFrame:
     """Ranked hits -> distinct allowed titles in rank order (at most k per query).

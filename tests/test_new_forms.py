@@ -135,3 +135,13 @@ def test_one_pass_checks(spark):
         assert {r.check_name: r.violations for r in got.collect()} == want
         without = qc.check_table(rows, None, checks, [("fk", "f", parent, "f")])
         assert {r.check_name: r.violations for r in without.collect()} == {k: v for k, v in want.items() if k != "pk"}
+
+
+def test_offensive_words_of_a_list(spark):
+    """A list joined by value flags what the fixed list flags."""
+    from shiftwise.functions.text import OFFENSIVE_WORDS, is_offensive_tokens
+    from shiftwise.operators.matching import offensive_by_list
+    texts = spark.createDataFrame([(1, "Esti un BOU!"), (2, "boul nu"), (3, None), (4, ""), (5, "bou bou dracu"), (None, "tâmpit")], "id long, text string")
+    words = spark.createDataFrame([(w,) for w in [*OFFENSIVE_WORDS, None, "zzz"]], "w string")
+    got = {(r.id, r.text): r.offensive for r in offensive_by_list(texts, "id", "text", words, "w").collect()}
+    assert got == {(r.id, r.text): bool(r.o) for r in texts.withColumn("o", is_offensive_tokens("text")).collect()}
