@@ -20,7 +20,7 @@ def brute_texts(rows):
 def test_registered():
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
 
 
 def test_pipeline(spark):
