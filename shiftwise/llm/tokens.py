@@ -98,7 +98,7 @@ class Encoder:
         if not self.by_word:
             return self._each([x or "" for x in texts.to_pylist()])
         w = Words(texts)
-        code, used = pd.factorize(w.hashes())
+        code, used = pd.factorize(w.hashes(), sort=True)  # sorted, they are found nearer to each other among the known words
         at, there = self._find(used)
         if not there.all():
             if len(self.known) + len(used) > REMEMBERED:  # keep what is in use
@@ -107,7 +107,8 @@ class Encoder:
             where = np.zeros(len(used), dtype=np.int64)
             where[code[::-1]] = np.arange(len(code))[::-1]
             new = np.flatnonzero(~there)
-            self._learn(used[new], [w.word(i) for i in where[new].tolist()])
+            data, at = w.data.tobytes(), where[new]
+            self._learn(used[new], [data[a:b] for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)])
             at, _ = self._find(used)
         first, size = self.first[at][code], self.size[at][code]
         before = np.append(0, np.cumsum(size))
