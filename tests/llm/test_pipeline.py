@@ -40,3 +40,24 @@ def test_stages_keep_all_columns(spark, edge_docs, no_docs):
             if i < len(corpus_pipeline.STAGES) - 1:
                 assert out.schema.simpleString() == docs.schema.simpleString(), name
             out.write.format("noop").mode("overwrite").save()
+
+
+def test_staged_tables_are_made_in_small_batches(spark):
+    """A worker gets a bounded number of rows at a time; the session's own setting stays, and counts where it is smaller."""
+    import pyarrow as pa
+
+    from shiftwise.llm import staging
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    key, df = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.range(0, 5000, 1, 1)
+    held = spark.conf.get(key)
+    try:
+        for own, most in ((held, staging.BATCH_ROWS), ("0", staging.BATCH_ROWS), ("300", 300)):
+            spark.conf.set(key, own)
+            found = [r.n for r in staging.stage(df.mapInArrow(sizes, "n bigint"), "batches").collect()]
+            assert sum(found) == 5000 and max(found) <= most and spark.conf.get(key) == own
+    finally:
+        spark.conf.set(key, held)
