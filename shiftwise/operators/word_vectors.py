@@ -90,13 +90,13 @@ def _coded(lists: list[pa.Array]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def _train(size: int, window: int, rate: float, seed: int, block_words: int):
-    """(word, n, v): the words of each run of rows, their occurrences, and their trained vectors times these."""
+    """(word, n, v): the words of each run of rows, their occurrences, and their trained vectors."""
     def block(lists: list[pa.Array]) -> pa.RecordBatch:
         words, code, sizes = _coded(lists)
         counts = np.bincount(code, minlength=len(words))
         made = train_block(code, np.repeat(np.arange(len(sizes)), sizes), counts, first_vectors(words, size, seed), window, rate, seed) if len(code) else np.zeros((0, size), np.float32)
-        total = made.astype(np.float64) * counts[:, None]
-        return pa.RecordBatch.from_arrays([words, pa.array(counts, pa.int64()), *(pa.array(total[:, j]) for j in range(size))], names=["word", "n", *(f"v{j}" for j in range(size))])
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, size, dtype=np.int32)), pa.array(made.ravel()))
+        return pa.RecordBatch.from_arrays([words, pa.array(counts, pa.int64()), flat], names=["word", "n", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -153,8 +153,8 @@ class WordVectors(Estimator):
         checkpoint_dir(spark)
         n, v = _blocks(dataset, self.text), [f"v{j}" for j in range(self.size)]
         rows = dataset.repartition(n, F.xxhash64(*dataset.columns)).select(tokens(self.text).alias("_w"))
-        made = rows.mapInArrow(_train(self.size, self.window, self.rate, self.seed, BLOCK_BYTES // 4), "word string, n bigint, " + ", ".join(f"{x} double" for x in v))
-        made = made.repartition(n, "word").groupBy("word").agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in v))
+        made = rows.mapInArrow(_train(self.size, self.window, self.rate, self.seed, BLOCK_BYTES // 4), "word string, n bigint, v array<float>").repartition(n, "word")
+        made = made.select("word", "n", *((F.col("v")[j].cast("double") * F.col("n")).alias(x) for j, x in enumerate(v))).groupBy("word").agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in v))
         made = made.where(F.col("n") >= self.min_count).select("word", F.array(*((F.col(x) / F.col("n")).cast("float") for x in v)).alias("v"))
         return WordVectorsModel(made.checkpoint(), self.text, self.out, self.size)
 
